@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, simhash
+from vigil.llm import bpe, simhash, windows
 from vigil.llm.common import table
 
 
@@ -19,8 +19,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op6_simhash": op6_simhash,
+    "op10_windows": op10_windows,
 }
 ORACLES: dict[str, str] = {}
