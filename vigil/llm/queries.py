@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, simhash, windows
+from vigil.llm import bpe, simhash, suffixes, windows
 from vigil.llm.common import table
 
 
@@ -23,8 +23,13 @@ def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op4_suffix_array": op4_suffix_array,
     "op6_simhash": op6_simhash,
     "op10_windows": op10_windows,
 }

@@ -214,6 +214,12 @@ def named(docs: DataFrame, text: str, without: list[str]) -> DataFrame:
     return docs.select(row, t.alias("_text"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit("second"), t).alias("k2"))
 
 
+def restored(out: DataFrame, docs: DataFrame, text: str, new: list[str]) -> DataFrame:
+    """The columns of `docs` in their order, then the new ones."""
+    rest = docs.drop(*new).columns
+    return out.select(*(F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in rest), *new)
+
+
 def names_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([np.asarray(batch.column(c)).astype("<i8") for c in ("k1", "k2")], axis=1)
 

@@ -140,8 +140,7 @@ def removed_words(docs: DataFrame, text: str = "text", length: int = 35) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), *out], names=schema.names)
 
     out = marked.join(ranges, ["k1", "k2"], "left").mapInArrow(take, schema)
-    given = [F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c in (text, *marked.schema["_row"].dataType.names)]
-    return out.select(*given, *(f.name for f in new))
+    return R.restored(out, docs, text, [f.name for f in new])
 
 
 def digests(docs: DataFrame) -> DataFrame:
