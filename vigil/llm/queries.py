@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, simhash, suffixes, windows
+from vigil.llm import bpe, orderminhash, simhash, suffixes, windows
 from vigil.llm.common import table
 
 
@@ -27,7 +27,12 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op3_bpe": op3_bpe,
     "op4_suffix_array": op4_suffix_array,
     "op6_simhash": op6_simhash,
