@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, orderminhash, simhash, suffixes, windows
+from vigil.llm import bpe, orderminhash, simhash, suffixes, toxicity, windows
 from vigil.llm.common import table
 
 
@@ -31,8 +31,13 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_suffix_array": op4_suffix_array,
     "op6_simhash": op6_simhash,
