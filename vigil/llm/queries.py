@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, orderminhash, simhash, suffixes, toxicity, windows
+from vigil.llm import bpe, language, orderminhash, simhash, suffixes, toxicity, windows
 from vigil.llm.common import table
 
 
@@ -35,12 +35,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_suffix_array": op4_suffix_array,
     "op6_simhash": op6_simhash,
+    "op8_language": op8_language,
     "op10_windows": op10_windows,
 }
 ORACLES: dict[str, str] = {}
