@@ -31,3 +31,19 @@ def platt(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) ->
         if np.abs(size * step).max() < 1e-8:
             break
     return float(w[0] / wide), float(w[1] - w[0] * middle / wide)
+
+
+def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of a rising curve through labels y of 0 and 1, by pooling neighbours that fall; interpolate between them."""
+    if not len(x):
+        return np.array([0.0]), np.array([0.5])
+    order = np.argsort(x, kind="stable")
+    mean = float(y.mean())
+    blocks: list[list[float]] = []  # labels' sum, count, first and last x
+    for at, label in zip(x[order].tolist(), y[order].tolist()):
+        blocks.append([label, 1.0, at, at])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            label_sum, count, _, last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + label_sum, blocks[-1][1] + count, blocks[-1][2], last]
+    knots = np.array([(first + last) / 2 for _, _, first, last in blocks])
+    return knots, np.maximum.accumulate(np.array([(s + mean) / (n + 1) for s, n, _, _ in blocks]))

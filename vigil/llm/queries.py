@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, language, orderminhash, simhash, suffixes, toxicity, windows
+from vigil.llm import bpe, language, orderminhash, quality, simhash, suffixes, toxicity, windows
 from vigil.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_toxicity": op2_toxicity,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array": op4_suffix_array,
     "op6_simhash": op6_simhash,
     "op8_language": op8_language,
+    "op9_quality": op9_quality,
     "op10_windows": op10_windows,
 }
 ORACLES: dict[str, str] = {}
