@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, language, orderminhash, quality, simhash, suffixes, toxicity, windows
+from vigil.llm import bpe, language, mixing, orderminhash, quality, simhash, suffixes, toxicity, windows
 from vigil.llm.common import table
 
 
@@ -43,12 +43,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_suffix_array": op4_suffix_array,
     "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_windows": op10_windows,
