@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, language, mixing, orderminhash, quality, simhash, suffixes, toxicity, windows
+from vigil.llm import bpe, knn, language, mixing, orderminhash, quality, simhash, suffixes, toxicity, windows
 from vigil.llm.common import table
 
 
@@ -47,11 +47,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_suffix_array": op4_suffix_array,
+    "op5_voronoi_knn": op5_voronoi_knn,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_language": op8_language,
