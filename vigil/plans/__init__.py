@@ -1 +1 @@
-
+"""Fixtures over the driver's tables and the registered queries."""

@@ -6,5 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigil.plans.fixtures import Fixtures, with_views
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a function of Fixtures as a query, with its SQL over the same views."""
+
+    def add(f: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = with_views(sql)
+        return f
+
+    return add
