@@ -1,6 +1,6 @@
 """All registered queries; importing this package registers them."""
 
-from vigil.plans.queries import history, series, text
+from vigil.plans.queries import history, series, text, views
 from vigil.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "history", "series", "text"]
+__all__ = ["ORACLES", "QUERIES", "history", "series", "text", "views"]
