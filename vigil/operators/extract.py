@@ -389,3 +389,64 @@ def diagnose(docs: DataFrame, stages: Mapping[str, DataFrame], doc: Sequence[str
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in stages})
 
 
+
+
+def zone_cells(rows: DataFrame, bounds: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """rows(doc, page_no, cells): those on pages from `first_page` up to before `alert_page` that have seven cells, a name and a second cell.
+
+    bounds(doc, first_page, alert_page): a null alert page is no bound.
+    """
+    df = rows.join(bounds, list(doc)).where((F.col("page_no") >= F.col("first_page")) & (F.col("alert_page").isNull() | (F.col("page_no") < F.col("alert_page"))))
+    named = F.trim(F.coalesce(F.get("cells", F.lit(0)), F.lit(""))) != ""
+    return df.where((F.size("cells") >= 7) & named & F.get("cells", F.lit(1)).isNotNull()).drop("first_page", "alert_page")
+
+
+def grouped_blocks(lines: DataFrame, headers: Sequence[str], doc: Sequence[str]) -> DataFrame:
+    """(doc, line_no, province, kind, name, numbers): rows before the first Total, by the province above or at the head of their line.
+
+    kind is zone, subtotal or total; ND is null.
+    """
+    w = Window.partitionBy(*doc)
+    at = F.min(F.when(F.col("line").rlike(r"(?i)^\s*Total\b"), F.col("line_no"))).over(w)
+    df = lines.withColumn("_t", at).where(F.col("_t").isNull() | (F.col("line_no") <= F.col("_t")))
+    head = F.coalesce(*(F.when(F.lower("line").startswith(h.lower()), F.lit(h)) for h in headers))
+    df = df.withColumn("_h", head)
+    df = df.withColumn("province", F.last("_h", ignorenulls=True).over(w.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    rest = F.trim(F.when(F.col("_h").isNotNull(), F.expr("substring(line, length(_h) + 1)")).otherwise(F.col("line")))
+    name = F.trim(F.regexp_extract(rest, r"^(.*?)((?:\s+(?:\d+|ND))+)\s*$", 1))
+    tokens = F.split(F.trim(F.regexp_extract(rest, r"^(.*?)((?:\s+(?:\d+|ND))+)\s*$", 2)), r"\s+")
+    df = df.withColumns({"name": name, "numbers": F.transform(tokens, norm_int)}).where(F.col("name") != "")
+    kind = F.when(F.col("line_no") == F.col("_t"), "total").when(F.lower("name").rlike("^sous.total"), "subtotal").otherwise("zone")
+    return df.select(*doc, "line_no", F.when(kind != "total", F.col("province")).alias("province"), kind.alias("kind"), "name", "numbers")
+
+
+def cumulative_block(blocks: DataFrame, known: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """Zone rows of documents whose total row makes the two known values; `short` where zones sum to less.
+
+    blocks(doc, kind, province, name, tokens), known(doc, cases, deaths).
+    """
+    total = blocks.where("kind = 'total'").join(known, list(doc))
+    fits = total.where(split_to_known(F.col("tokens"), F.col("cases"), F.col("deaths")).isNotNull()).select(*doc, F.col("cases").alias("_c"))
+    zones = blocks.where("kind = 'zone'").join(fits, list(doc)).withColumn("cases", F.get("tokens", F.lit(0)).try_cast("bigint"))
+    return zones.withColumn("short", F.sum("cases").over(Window.partitionBy(*doc)) < F.col("_c")).drop("_c")
+
+
+def contact_rows(rows: DataFrame, provinces: Sequence[str], doc: Sequence[str], order: str = "row_no") -> DataFrame:
+    """(doc, row, first, kind, followed, seen, pct): rows from the header or the first province to Total, by their first cell that is not empty.
+
+    Counts leave out cells of a rate; the rate is the row's last plausible one.
+    """
+    full = F.filter("cells", lambda c: c.isNotNull() & (F.trim(c) != ""))
+    df = rows.withColumn("_full", full).withColumn("first", F.trim(F.regexp_replace(F.get("_full", F.lit(0)), r"\*+$", "")))
+    w = Window.partitionBy(*doc)
+    known = F.lower("first").isin(*(p.lower() for p in provinces))
+    begin = F.min(F.when(F.array_join("_full", " ").rlike(r"(?i)Taux\s+de\s+suivi") | known, F.col(order))).over(w)
+    df = df.withColumn("_a", begin)
+    df = df.withColumn("_b", F.min(F.when(F.lower("first").startswith("total") & (F.col(order) >= F.col("_a")), F.col(order))).over(w))
+    df = df.where((F.col(order) >= F.col("_a")) & (F.col("_b").isNull() | (F.col(order) <= F.col("_b"))))
+    rate = lambda c: norm_pct(c)
+    counts = F.filter(F.transform(F.filter("_full", lambda c: rate(c).isNull()), norm_int), lambda n: n.isNotNull())
+    pct = F.element_at(F.filter(F.transform("_full", rate), lambda p: p.isNotNull() & p.between(0, 100)), -1)
+    kind = F.when(F.lower("first").startswith("total"), "total").when(known, "province").otherwise("other")
+    safe = F.when(F.exists("_full", lambda c: rate(c).isNotNull() & rate(c).between(0, 100)), pct)
+    return df.select(*doc, order, "first", kind.alias("kind"), F.get(counts, F.lit(0)).alias("followed"), F.get(counts, F.lit(1)).alias("seen"), safe.alias("pct"))

@@ -352,3 +352,64 @@ def _(fx):
     total = s.join(n, "doc_date").select("doc_date", "confirmed", "deaths", F.when(day % 2 == 0, F.col("c")).otherwise(0).alias("new_cases"))
     high = s.where(day % 3 == 0).select("doc_date", F.lit(5).cast("bigint").alias("new_cases"), F.lit(1).cast("bigint").alias("deaths_community"), F.lit(2).cast("bigint").alias("deaths_centre"))
     return X.national_record(total, s, n, high, D)
+
+
+@query("x18_zone_cells", """
+WITH r AS (SELECT d AS doc_date, zone, ROW_NUMBER() OVER (PARTITION BY d ORDER BY zone) AS n FROM fx_zone_day)
+SELECT doc_date, CAST(n AS INT) AS page_no, zone FROM r WHERE n >= 2 AND (DAY(doc_date) % 2 = 0 OR n < 4) AND n % 5 <> 0""")
+def _(fx):
+    r = fx.sql("SELECT d AS doc_date, zone, CAST(ROW_NUMBER() OVER (PARTITION BY d ORDER BY zone) AS INT) AS page_no FROM fx_zone_day")
+    cells = F.array(F.col("zone"), F.when(F.col("page_no") % 5 != 0, "1"), *(F.lit("x") for _ in range(5)))
+    bounds = r.select("doc_date").distinct().select("doc_date", F.lit(2).alias("first_page"), F.when(F.dayofmonth("doc_date") % 2 == 1, 4).alias("alert_page"))
+    return X.zone_cells(r.withColumn("cells", cells), bounds, D).drop("cells")
+
+
+BLOCK = "SELECT d AS doc_date, province, zone, new_cases, new_deaths, ROW_NUMBER() OVER (PARTITION BY d, province ORDER BY zone) AS n, CAST(ROW_NUMBER() OVER (PARTITION BY d ORDER BY province, zone) AS INT) AS line_no FROM fx_zone_day"
+
+
+def block_lines(fx):
+    r = fx.sql(BLOCK)
+    deaths = F.when(F.col("new_deaths") == 0, "ND").otherwise(F.col("new_deaths").cast("string"))
+    line = F.concat(F.when(F.col("n") == 1, F.concat("province", F.lit(" "))).otherwise(""), F.replace(F.replace("zone", F.lit("_"), F.lit("")), F.lit("NATION"), F.lit("Zone")), F.lit(" x "), F.col("new_cases").cast("string"), F.lit(" "), deaths)
+    rows = r.select("doc_date", "line_no", line.alias("line"))
+    total = r.groupBy("doc_date").agg((F.max("line_no") + 1).alias("line_no"), F.sum("new_cases").alias("c"), F.sum("new_deaths").alias("x"))
+    after = total.select("doc_date", (F.col("line_no") + 1).alias("line_no"), F.lit("Note 1 2").alias("line"))
+    return rows.unionByName(total.select("doc_date", "line_no", F.concat(F.lit("Total "), F.lit("general "), F.col("c").cast("string"), F.lit(" "), F.col("x").cast("string")).alias("line"))).unionByName(after)
+
+
+@query("x21_grouped_blocks", f"""
+WITH r AS ({BLOCK}) SELECT doc_date, line_no, province, 'zone' AS kind, replace(replace(zone, '_', ''), 'NATION', 'Zone') || ' x' AS name, new_cases AS a, CASE WHEN new_deaths > 0 THEN new_deaths END AS b FROM r
+UNION ALL SELECT doc_date, CAST(MAX(line_no) + 1 AS INT), NULL, 'total', 'Total general', CAST(SUM(new_cases) AS BIGINT), CAST(SUM(new_deaths) AS BIGINT) FROM r GROUP BY doc_date""")
+def _(fx):
+    out = X.grouped_blocks(block_lines(fx), REGIONS, D)
+    return out.select("doc_date", "line_no", "province", "kind", "name", F.col("numbers")[0].alias("a"), F.col("numbers")[1].alias("b"))
+
+
+@query("x23_cumulative_block", """
+WITH t AS (SELECT d, SUM(cases) AS s FROM fx_zone_history GROUP BY d)
+SELECT h.d AS doc_date, h.province, h.zone AS name, h.cases, DAY(h.d) % 4 = 0 AS short FROM fx_zone_history h WHERE DAY(h.d) % 3 <> 0""")
+def _(fx):
+    h = fx.zone_history.withColumnRenamed("d", "doc_date")
+    day = F.dayofmonth("doc_date")
+    zones = h.select("doc_date", F.lit("zone").alias("kind"), "province", F.col("zone").alias("name"), F.array(F.col("cases").cast("string"), F.col("deaths").cast("string")).alias("tokens"))
+    sums = h.groupBy("doc_date").agg((F.sum("cases") + F.when(day % 4 == 0, 1000).otherwise(0)).alias("cases"), F.sum("deaths").alias("deaths"))
+    spaced = F.split(F.concat_ws(" ", F.replace(F.format_number("cases", 0), F.lit(","), F.lit(" ")), F.replace(F.format_number("deaths", 0), F.lit(","), F.lit(" "))), " ")
+    total = sums.select("doc_date", F.lit("total").alias("kind"), F.lit(None).cast("string").alias("province"), F.lit("TOTAL").alias("name"), spaced.alias("tokens"))
+    known = sums.withColumn("cases", F.col("cases") + F.when(day % 3 == 0, 1).otherwise(0))
+    return X.cumulative_block(zones.unionByName(total), known, D).select("doc_date", "province", "name", "cases", "short")
+
+
+@query("x24_contact_rows", """
+WITH p AS (SELECT d AS doc_date, province, SUM(new_cases) AS c, SUM(new_deaths) AS s FROM fx_zone_day GROUP BY d, province)
+SELECT doc_date, province AS first, 'province' AS kind, CAST(c AS BIGINT) AS followed, CAST(s AS BIGINT) AS seen, 12.5E0 AS pct FROM p
+UNION ALL SELECT doc_date, 'Total', 'total', CAST(SUM(c) AS BIGINT), CAST(SUM(s) AS BIGINT), CASE WHEN DAY(doc_date) % 2 = 0 THEN 81.5E0 END FROM p GROUP BY doc_date""")
+def _(fx):
+    p = fx.zone_day.groupBy(F.col("d").alias("doc_date"), "province").agg(F.sum("new_cases").alias("c"), F.sum("new_deaths").alias("s"))
+    t = p.groupBy("doc_date").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    text = lambda c: F.col(c).cast("string")
+    rows = p.select("doc_date", (F.abs(F.hash("province")) % 1000 + 10).alias("row_no"), F.array(F.lit(""), F.concat("province", F.lit("*")), text("c"), text("s"), F.lit("12,5%")).alias("cells"))
+    total = t.select("doc_date", F.lit(2000).alias("row_no"), F.array(F.lit(None).cast("string"), F.lit("Total"), text("c"), text("s"), F.when(F.dayofmonth("doc_date") % 2 == 0, "81,5 %").otherwise("NA")).alias("cells"))
+    before = t.select("doc_date", F.lit(1).alias("row_no"), F.array(F.lit("Alertes"), F.lit("3")).alias("cells"))
+    after = t.select("doc_date", F.lit(3000).alias("row_no"), F.array(F.lit("ASIA"), F.lit("3")).alias("cells"))
+    out = X.contact_rows(rows.unionByName(total).unionByName(before).unionByName(after), REGIONS, D)
+    return out.drop("row_no")

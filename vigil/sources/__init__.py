@@ -1 +1 @@
-
+"""Readers of histories, archives and crawled pages."""
