@@ -81,6 +81,11 @@ def starts_within(at: np.ndarray, length: int) -> np.ndarray:
     return ok > 0
 
 
+def text_of(at: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of consecutive texts with these offsets each place lies in."""
+    return np.searchsorted(at, places, "right") - 1
+
+
 def stretches(starts: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """First and last of each run of consecutive ascending starts; `cut`, by start, must be equal within a run."""
     if not len(starts):
@@ -101,9 +106,9 @@ def sent(
     """
     first, last = runs
     bucket = (anchor % np.uint64(of)).astype(np.int64)
-    text = np.searchsorted(at, first, "right") - 1
+    text = text_of(at, first)
     s_first, s_last = settled
-    s_text = np.searchsorted(at, s_first, "right") - 1
+    s_text = text_of(at, s_first)
     s_bucket = (names[s_text, 0].view(np.uint64) % np.uint64(of)).astype(np.int64)
     by, s_by = np.argsort(bucket, kind="stable"), np.argsort(s_bucket, kind="stable")
     rows: dict[str, list] = {x: [] for x in ("bucket", "names", "run", "anchor", "load", "settled")}

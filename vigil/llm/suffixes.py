@@ -179,7 +179,7 @@ def removed_bytes(docs: DataFrame, text: str = "text", length: int = 400) -> Dat
             place = np.unique(anchor)
             key = grams[place]
             twice, send = R.again(key), R.first_of_each(key)
-            yield R.sent(of, names, at, (place[send], place[send]), key[send], None, R.stretches(place[twice]))
+            yield R.sent(of, names, at, (place[send], place[send]), key[send], None, R.stretches(place[twice], R.text_of(at, place[twice])))
 
     def sort_shards(batches: R.Pieces) -> R.Pieces:
         for batch, names, use, data, at in shards(batches):

@@ -76,7 +76,7 @@ def removed_words(docs: DataFrame, text: str = "text", length: int = 35) -> Data
             key = grams[place]
             twice = R.again(key)
             send = R.first_of_each(key)
-            yield R.sent(of, names[use], at, (place[send], place[send]), key[send], None, R.stretches(place[twice]))
+            yield R.sent(of, names[use], at, (place[send], place[send]), key[send], None, R.stretches(place[twice], R.text_of(at, place[twice])))
 
     def one_repeats(run: np.ndarray, anchor: np.ndarray, loads: list[bytes]) -> np.ndarray:
         return run[R.again(anchor)]
