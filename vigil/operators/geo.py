@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.session import checkpointed
 from vigil.functions.text import haversine_km, in_box
 
 ROUNDS = 64
@@ -61,7 +62,7 @@ def _thinned(rings: DataFrame, tol: Column, keys: Sequence[str]) -> DataFrame:
         step = step.withColumn("_d", F.when(~F.col("_keep"), away))
         far = F.max(F.struct("_d", (-F.col("seq")).alias("s"))).over(Window.partitionBy(*keys, "_a.seq"))
         step = step.withColumn("_new", ~F.col("_keep") & (F.col("_d") > tol) & (far["s"] == -F.col("seq")))
-        df = step.withColumn("_keep", F.col("_keep") | F.col("_new")).drop("_a", "_b", "_d").checkpoint()
+        df = checkpointed(step.withColumn("_keep", F.col("_keep") | F.col("_new")).drop("_a", "_b", "_d"))
         if not df.where("_new").limit(1).count():
             break
         df = df.drop("_new")

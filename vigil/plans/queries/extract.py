@@ -125,9 +125,9 @@ def _(fx):
 
 
 @query("x12_highlight_counts", """
-SELECT d, confirmed AS new_cases, CASE WHEN deaths IS NOT NULL THEN deaths END AS deaths FROM fx_sitreps""")
+SELECT d, ABS(confirmed) AS new_cases, deaths FROM fx_sitreps""")
 def _(fx):
-    text = F.concat(F.lit("On note "), F.replace(F.format_number("confirmed", 0), F.lit(","), F.lit(" ")), F.lit(" nouveaux cas confirmés"), F.coalesce(F.concat(F.lit(" et "), F.col("deaths").cast("string"), F.lit(" décès")), F.lit(".")))
+    text = F.concat(F.lit("On note "), F.replace(F.format_number(F.abs("confirmed"), 0), F.lit(","), F.lit(" ")), F.lit(" nouveaux cas confirmés"), F.coalesce(F.concat(F.lit(" et "), F.col("deaths").cast("string"), F.lit(" décès")), F.lit(".")))
     docs = fx.sitreps.select("d", text.alias("text"))
     return X.highlight_counts(docs, {"new_cases": r"([\d ]+) nouveaux cas", "deaths": r"(\d+) décès"}).drop("text")
 

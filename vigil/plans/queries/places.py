@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from vigil.functions.session import shared_dir
 from vigil.operators import geo as G
 from vigil.operators import match as M
 from vigil.plans.registry import query
@@ -15,9 +15,8 @@ from vigil.streaming import ingest as I
 
 
 def scratch(fx, name):
-    """A new place in the shared checkpoint folder; one of this machine only where none is set."""
-    base = fx.spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="vigil-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder."""
+    return f"{shared_dir(fx.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 R = "ROUND({0}, 6) AS {1}"
