@@ -29,7 +29,7 @@ from vigil.llm.common import pieces
 
 LONG = 200
 NO_RANK = 1 << 60
-CACHE = 400_000
+CACHE = 120_000
 
 # Letters and numbers of Unicode 17 that the tokenizer's older tables do not know.
 UNKNOWN = (

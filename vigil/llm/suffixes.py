@@ -28,7 +28,7 @@ from vigil.llm import repeats as R
 from vigil.llm.common import buckets, pieces, texts
 
 GRAM = 64
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Bytes of runs that a merge holds at a time.
 MERGE = 1 << 20
 #: Along a chain of falling common prefixes a comparison is made anew after so many bytes.

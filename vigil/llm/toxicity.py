@@ -35,7 +35,7 @@ BITS = 20
 MOST = 16_000
 SHARDS = 4
 STEM = 5
-CACHE = 300_000
+CACHE = 150_000
 WORD = re.compile(r"[^\W_]+")
 #: Odd multipliers that tell words, neighbours and pairs with a gap apart.
 ONE, NEXT, GAP, STEMS = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F))
@@ -118,6 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         kept, rows = WordHashes(), []
         for batch in group.to_batches(max_chunksize=500):
             found, at = distinct(*features(batch.column("t").to_pylist(), kept))
+            found = found.astype(np.int32)
             rows += [found[a:b] for a, b in zip(at, at[1:])]
         at, w, seen = ftrl(rows, np.asarray(group.column("y")).astype(float), epochs, 7)
         return pa.table({"at": pa.array(at, pa.int64()), "w": pa.array(w, pa.float64())})
@@ -145,7 +146,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         weights = np.zeros(1 << BITS, np.float32)
         weights[at] = w
         kept = WordHashes()
-        for batch in pieces(batches, text, 2 << 20):
+        for batch in pieces(batches, text):
             found, offsets = features(batch.column(text).to_pylist(), kept)
             some = np.flatnonzero(weights[found])  # the others add nothing, so only these are made distinct
             owner = np.searchsorted(offsets, some, "right") - 1

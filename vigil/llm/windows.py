@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from vigil.llm import repeats as R
 from vigil.llm.common import buckets, pieces, texts
 
-CACHE = 300_000
+CACHE = 150_000
 
 
 class WordHashes(dict):
