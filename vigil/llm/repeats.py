@@ -206,9 +206,10 @@ def met(dealt: DataFrame, repeated: Callable[[np.ndarray, np.ndarray, list[bytes
         )
 
     found = dealt.groupBy("bucket").applyInArrow(meet, FOUND)
-    # At most a few stretches for each start of one text.
-    gathered = found.groupBy("k1", "k2").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    return gathered.select("k1", "k2", F.flatten("first").alias("first"), F.flatten("last").alias("last"))
+    # At most a few stretches for each start of one text. Grouped by the pair as one value, so that a
+    # join by the two names deals these rows anew and Spark can split a name that very many rows have.
+    gathered = found.groupBy(F.struct("k1", "k2").alias("k")).agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    return gathered.select("k.k1", "k.k2", F.flatten("first").alias("first"), F.flatten("last").alias("last"))
 
 
 def named(docs: DataFrame, text: str, without: list[str]) -> DataFrame:
