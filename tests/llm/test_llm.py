@@ -368,6 +368,24 @@ def test_knn_hard_cases(spark, monkeypatch):
     assert found(df.limit(0), 10) == []
 
 
+@pytest.mark.parametrize("which", ["long", "wider"])
+def test_knn_large_finite_values(spark, monkeypatch, which):
+    rng = random.Random(8)
+    if which == "long":  # scores that a long holds and a float does not
+        rows = [(i, [2.0**22 + i % 7, 2.0**23 - i % 5, 1.0 * i, float(rng.choice([0, 1, -70_000]))]) for i in range(300)]
+    else:
+        some = [0.0, 1.0, -1.0, 65_537.0, -70_000.0, 3.0e9, 3.0e9 + 256, 1e20, -1e20, 3.4e38, -3.4e38]
+        rows = [(i, [rng.choice(some[: 2 + i % 10]) for _ in range(4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute_knn([(r["vec_id"], r["embedding"]) for r in df.collect()], 10)
+    want = [(q, r, j, s if -(2**63) <= s < 2**63 else None) for q, r, j, s in want]
+    assert any(s > 2**53 for *_, s in want) if which == "long" else any(s is None for *_, s in want)
+    assert found(df, 10) == want
+    monkeypatch.setattr(knn, "GROUP", 8)
+    monkeypatch.setattr(knn, "BLOCK", 50)
+    assert found(df.repartition(3), 10) == want
+
+
 def test_knn_clusters_are_pruned_without_loss(spark):
     rows = [(i, [float(x) for x in np.eye(8)[i % 8] * 5 + np.random.default_rng(i).normal(0, 0.1, 8)]) for i in range(600)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

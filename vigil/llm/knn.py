@@ -1,7 +1,9 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Components x become floor(SCALE * x); rows whose vector is null, empty of finite numbers or holds a
-null, a non-finite component or one of over LIMIT after scaling take no part, nor do null ids.
+Components x become floor(SCALE * x); rows whose vector is null or holds a null or a non-finite
+component take no part, nor do null ids. Every finite float takes part; doubles of over LIMIT after
+scaling, which no float reaches, end the run. Scores are exact whole numbers of any size and ranked as
+such; one that a long cannot hold is returned as null.
 Shorter vectors count as followed by zeros. A query's own row is no candidate; other rows with its
 id are. Ties go to the smaller id. Queries are rows whose id is divisible by `every`.
 
@@ -23,23 +25,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
-LIMIT = 1 << 24
+LIMIT = 2.0**500
 #: Queries that a group holds, and rows that a block holds, at most; groups made at least.
 GROUP, BLOCK, GROUPS = 2048, 8192, 4
 #: Pivots at most; rows of the data sample at most.
 PIVOTS, SAMPLE = 4096, 4096
-EXACT = float(1 << 53)
+#: Floats are whole up to this; bytes of a score that a long cannot hold.
+EXACT, WIDE = float(1 << 53), 136
 
 
 def whole(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     """(vec_id, v): whole components, rows that take part only."""
-    x = F.transform(vector, lambda e: F.floor(e.cast("double") * SCALE))
-    fine = F.forall(vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) * SCALE <= LIMIT))
-    return rows.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & fine).select("vec_id", F.transform(x, lambda e: e.cast("int")).alias("v"))
+    finite = F.forall(vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+
+    def scaled(e: Column) -> Column:
+        x = e.cast("double") * SCALE
+        over = F.raise_error(F.lit("knn: a component is too large")).cast("double")
+        return F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).when(F.abs(x) <= LIMIT, x).otherwise(over)
+
+    known = rows.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & finite)
+    return known.select("vec_id", F.transform(vector, scaled).alias("v"))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -54,12 +63,35 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return out
 
 
-def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products as whole numbers; by floats where they hold these exactly."""
-    top = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    if top < EXACT:
-        return (q @ x.T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+def scores(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Inner products as floats, and how far each may be off; None if they are exact."""
+    score = q @ x.T
+    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1]) < EXACT:
+        return score, None
+    return score, np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)) * (max(1, q.shape[1]) * 2.0**-50)
+
+
+def least(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """For each q a number that its k-th best score is not below."""
+    score, off = scores(q, x)
+    return np.partition(score if off is None else score - off, len(x) - k, axis=1)[:, len(x) - k]
+
+
+def top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(row, column, score) of the k highest of each q, ties to smaller ids; where floats are too
+    short, those that may be among them are computed again as whole numbers."""
+    score, off = scores(q, x)
+    if off is None:
+        row, column = best(score.astype(np.int64), ids, k)
+        return row, column, score[row, column].astype(np.int64).tolist()
+    may = score + off >= least(q, x, min(k, len(x)))[:, None]
+    found = []
+    wide_q = [[int(a) for a in v] for v in q.tolist()]
+    wide_x = {n: [int(a) for a in x[n].tolist()] for n in np.flatnonzero(may.any(axis=0)).tolist()}
+    for n, v in enumerate(wide_q):
+        exact = sorted((-sum(a * b for a, b in zip(v, wide_x[m])), int(ids[m]), m) for m in np.flatnonzero(may[n]).tolist())
+        found += [(n, m, -s) for s, _, m in exact[:k]]
+    return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64), [f[2] for f in found]
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,18 +131,20 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, vector: str = "embeddin
         p, s = shared.value
         for batch in batches:
             q = matrix(batch.column("v"), dim)
-            away = np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ p.T + (p * p).sum(1), 0))
+            size = (q * q).sum(1)[:, None] + (p * p).sum(1)
+            away = np.maximum(size - 2 * q @ p.T, 0)
+            away = np.sqrt(away + np.where(size < EXACT / 4, 0, size * (max(1, dim) * 2.0**-49)))  # not below the truth
             g = away.argmin(axis=1)
             bound = np.full(len(q), -np.inf)
             if len(s) > k:
                 for a in range(0, len(q), 512):
-                    bound[a : a + 512] = np.partition(scores(q[a : a + 512], s), len(s) - k - 1, axis=1)[:, len(s) - k - 1]
+                    bound[a : a + 512] = least(q[a : a + 512], s, k + 1)
             out = [pa.array(g, pa.int32()), pa.array(away[np.arange(len(q)), g]), pa.array(bound)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, "g", "away", "bound"])
 
-    placed = asked.mapInArrow(place, "vec_id bigint, v array<int>, times bigint, g int, away double, bound double")
-    summary = placed.groupBy("g").agg(F.max("away").alias("r"), F.min("bound").alias("least"), F.count("*").alias("n")).collect()  # a row a pivot
-    groups = [(r["g"], r["r"], r["least"], -(-r["n"] // GROUP)) for r in summary]
+    placed = asked.mapInArrow(place, "vec_id bigint, v array<double>, times bigint, g int, away double, bound double")
+    summary = placed.groupBy("g").agg(F.max("away").alias("r"), F.min("bound").alias("low"), F.count("*").alias("n")).collect()  # a row a pivot
+    groups = [(r["g"], r["r"], r["low"], -(-r["n"] // GROUP)) for r in summary]
     parts = max(1, -(-n // BLOCK))
     known = spark.sparkContext.broadcast(groups)
     splits = F.create_map(*(F.lit(x) for g, _, _, s in groups for x in (g, s))) if groups else F.create_map(F.lit(0), F.lit(1))
@@ -124,8 +158,9 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, vector: str = "embeddin
             size = np.sqrt((x * x).sum(axis=1))
             block = np.asarray(batch.column("h")).view(np.uint64) ^ np.asarray(batch.column("vec_id")).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             block = ((block >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            for g, r, least, split in known.value:
-                reach = np.flatnonzero(x @ p[g] + r * size * (1 + 1e-9) + 1 >= least)  # one more than any rounding
+            for g, r, low, split in known.value:
+                slack = size * ((r + np.linalg.norm(p[g])) * (1e-9 + dim * 2.0**-49)) + 1  # more than any rounding
+                reach = np.flatnonzero(x @ p[g] + r * size + slack >= low - abs(low) * 1e-9)
                 if len(reach):
                     for part in range(split):
                         own = batch.take(pa.array(reach))
@@ -135,23 +170,28 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, vector: str = "embeddin
                             names=["vec_id", "v", "h", "g", "part", "block"],
                         )
 
-    dealt = data.mapInArrow(deal, "vec_id bigint, v array<int>, h bigint, g int, part int, block int")
+    dealt = data.mapInArrow(deal, "vec_id bigint, v array<double>, h bigint, g int, part int, block int")
 
     def solve(asked: pa.Table, given: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64),) * 5]
+        found = [(np.zeros(0, np.int64),) * 4]
+        score: list[int] = []
         if asked.num_rows and given.num_rows:
             x, q = matrix(given.column("v"), dim), matrix(asked.column("v"), dim)
             ids, h = np.asarray(given.column("vec_id")), np.asarray(given.column("h"))
             own, own_h = np.asarray(asked.column("vec_id")), np.asarray(asked.column("h"))
             for a in range(0, len(q), 256):
-                score = scores(q[a : a + 256], x)
-                row, column = best(score, ids, k + 1)
-                found.append((own[a + row], own_h[a + row], ids[column], h[column], score[row, column]))
-        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["query_id", "qh", "vec_id", "h", "score"])
+                row, column, some = top(q[a : a + 256], x, ids, k + 1)
+                found.append((own[a + row], own_h[a + row], ids[column], h[column]))
+                score += some
+        side = [0 if -(1 << 63) <= s < 1 << 63 else 1 if s > 0 else -1 for s in score]
+        wide = [(s + (1 << 8 * WIDE - 1)).to_bytes(WIDE) if y else None for s, y in zip(score, side)]  # sorts as the numbers do
+        kept = [None if y else s for s, y in zip(score, side)]
+        columns = [*(pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)), pa.array(side, pa.int32()), pa.array(wide, pa.binary()), pa.array(kept, pa.int64())]
+        return pa.table(columns, names=["query_id", "qh", "vec_id", "h", "side", "wide", "score"])
 
     keys = ["g", "part", "block"]
-    some = queries.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(solve, "query_id long, qh long, vec_id long, h long, score long")
-    order = [F.col("score").desc(), "vec_id"]
+    some = queries.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(solve, "query_id long, qh long, vec_id long, h long, side int, wide binary, score long")
+    order = [F.col("side").desc(), F.col("wide").desc(), F.col("score").desc(), "vec_id"]
     of_query = Window.partitionBy("query_id", "qh")
     some = some.withColumn("n", F.row_number().over(of_query.orderBy(*order))).where(F.col("n") <= k + 1)
     mine = (F.col("vec_id") == F.col("query_id")) & (F.col("h") == F.col("qh"))
