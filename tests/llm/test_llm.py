@@ -333,6 +333,27 @@ def test_anchors_depend_on_content_alone():
         assert place[200 + n] - (200 + n) == place[30 + n] - (30 + n)
 
 
+@pytest.mark.parametrize("alphabets", [("абв", "где"), ("αβγ", "δεζ"), ("山川木", "人月日"), ("𐌰𐌱𐌲", "𐌳𐌴𐌵")])
+def test_languages_of_one_script_are_told_apart(spark, alphabets):
+    rng = random.Random(6)
+    # the n-th letters of both leave the same rest by 3, and words are dealt alike
+    alphabets = [sorted(x, key=lambda c: ord(c) % 3) for x in alphabets]
+    rows = [(i, " ".join("".join(rng.choices(alphabets[i % 2], k=rng.randint(2, 6))) for _ in range(20)), f"l{i % 2}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["lang_pred"] for r in language.predictions(docs).collect()}
+    assert all(out[i] == lang for i, _, lang in rows)
+    made, _ = language.vectors([rows[0][1], "a" + rows[0][1]])
+    grams = [f" {rows[0][1]} "[n : n + 3] for n in range(len(rows[0][1]))]
+    code = lambda c: int(language.letter_codes(np.array([ord(c)], np.uint32))[0])
+    bound = [np.roll(language.signs(code(a)), 2) * np.roll(language.signs(code(b)), 1) * language.signs(code(c)) for a, b, c in grams]
+    assert (made[0] == np.sum(bound, axis=0, dtype=int)).all()
+
+
+def test_rare_languages_are_learnt(spark):
+    docs = spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(4000)] + [(i, "le chat et le chien", "fr") for i in range(4001, 4007)], "doc_id long, text string, lang string")
+    assert language.train(docs, most=40)[0] == ["en", "fr"]
+
+
 # --- 5: kNN
 
 
