@@ -160,6 +160,12 @@ def test_simplified_rings_stay_within_the_tolerance(spark):
     assert len(all_kept) >= 4  # finer tolerances until a ring is left
 
 
+def test_rings_that_split_deeply_keep_what_strays(spark):
+    # each round settles one vertex only, the last but one of what is left
+    df = spark.createDataFrame([(1, 0, i, float(i), 125.0**i) for i in range(71)], "zone_id int, ring_no int, seq int, lon double, lat double")
+    assert sorted(r["seq"] for r in G.simplify_rings(df, F.lit(0.2)).collect()) == list(range(71))
+
+
 def test_features_are_json(spark):
     import json
 

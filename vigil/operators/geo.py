@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from vigil.functions.session import checkpointed
 from vigil.functions.text import haversine_km, in_box
 
-ROUNDS = 64
-
 
 def boxes(vertices: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, x0, y0, x1, y1, w, h)."""
@@ -46,11 +44,14 @@ def province_frames(zone_boxes: DataFrame, province: str, margin: float = 0.14)
 
 
 def _thinned(rings: DataFrame, tol: Column, keys: Sequence[str]) -> DataFrame:
-    """Douglas-Peucker by rounds over all rings at once: each round keeps the farthest vertex of every stretch that strays."""
+    """Douglas-Peucker by rounds over all rings at once: each round keeps the farthest vertex of every stretch that strays.
+
+    Rounds go on until none strays: each but the last keeps a vertex more, so they end.
+    """
     w = Window.partitionBy(*keys).orderBy("seq")
     ends = Window.partitionBy(*keys)
     df = rings.withColumn("_keep", (F.col("seq") == F.min("seq").over(ends)) | (F.col("seq") == F.max("seq").over(ends)))
-    for _ in range(ROUNDS):
+    while True:
         at = F.when(F.col("_keep"), F.struct("seq", "lon", "lat"))
         a = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         b = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
