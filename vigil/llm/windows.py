@@ -1,17 +1,24 @@
 """Substring dedup over words: windows repeated at one length alone are extended to twice that length.
 
-The wanted length is halved once: level one holds windows of half the words, level two those of the
-full length. Level one is thinned without loss: of each full window only its own anchor is looked
-at, the half window in it with the least hash; equal full windows have equal anchors, so a window
-whose anchor occurs nowhere else cannot repeat. Level two extends only the windows whose anchors
-repeat. Both levels meet by content in buckets (see repeats.py); repeats within a piece of some
-megabytes are settled before anything is sent.
+The wanted length is halved STEPS times (35: 9, 18, 35 words), and the levels run from the shortest
+up. A window that repeats at one level is extended to twice its words, to the right where that stays
+inside the full window it stands for, else to the left; the next level judges only such extensions,
+and the last one only full windows that hold a survivor. A level without survivors leaves nothing to
+judge for those above it, so the work ends where no candidates survive.
+
+The first level is thinned without loss: a full window is stood for by one of its shortest windows,
+the one with the least hash. Which one that is, and how it is extended, depends on the words of the
+full window alone, so equal full windows climb by equal windows: if one of these occurs nowhere
+else, neither does the full window. Every level meets by content in buckets (see repeats.py); repeats
+within a piece of some megabytes are settled before anything is sent.
 
 Words are runs of other characters than space, tab, line feed, vertical tab, form feed and carriage
 return. Every covered word goes, the first occurrence included; windows never reach over documents
 and are judged on the input. Null and empty texts have no words. Equal texts share their result;
-repeated rows count as occurrences. Windows are told apart by 64-bit hashes of the window and of its
-anchor, both equal only by chance of about 2**-128 a pair.
+repeated rows count as occurrences. Very long texts are read whole, one at a time where they exceed a
+piece. An empty table gives an empty one. Columns of the caller that have the names of new ones are
+replaced by these, all others pass through. Windows are told apart by 64-bit hashes of the window and
+of the one it was extended from, both equal only by chance of about 2**-128 a pair.
 """
 
 from __future__ import annotations
@@ -27,6 +34,8 @@ from vigil.llm import repeats as R
 from vigil.llm.common import buckets, pieces, texts
 
 CACHE = 150_000
+#: Times that the wanted length is halved.
+STEPS = 2
 
 
 class WordHashes(dict):
@@ -47,56 +56,78 @@ def hashed(found: list[bytes], kept: WordHashes) -> tuple[np.ndarray, np.ndarray
     return flat, at
 
 
-def anchored(values: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of whole windows, the place of each one's anchor, hashes of all grams)."""
-    grams = R.rolled(values, gram, 1)
+def levels(length: int) -> list[int]:
+    """Window lengths from the shortest up; each is at most twice the one before."""
+    out = [length]
+    while len(out) <= STEPS and out[0] > 1:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def climbed(values: np.ndarray, at: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(starts of full windows; for each level below the last the places of the windows they climb by; hashes of all windows of its length).
+
+    sizes: the levels' lengths, or the first of them: as far as is needed. The last entry is the full length.
+    """
+    length = sizes[-1]
+    grams = [R.rolled(values, size, 1) for size in sizes[:-1]]
     if len(values) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), grams
+        return np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in grams], grams
     starts = np.flatnonzero(R.starts_within(at, length)[: len(values) - length + 1])
-    return starts, R.anchors(grams, length - gram + 1)[starts], grams
+    places = [R.anchors(grams[0], length - sizes[0] + 1)[starts]]
+    for short, long in zip(sizes, sizes[1:-1]):
+        last = places[-1]
+        places.append(np.where(last + long <= starts + length, last, last + short - long))
+    return starts, places, grams
 
 
 def removed_words(docs: DataFrame, text: str = "text", length: int = 35) -> DataFrame:
     """The documents with `kept` (the words that stay, joined by a space), `n_words` and `n_removed`; a null text becomes empty."""
     if length < 2:
         raise ValueError("a window has two words at least")
-    spark, of, gram = docs.sparkSession, buckets(docs.sparkSession), -(-length // 2)
+    of, sizes = buckets(docs.sparkSession), levels(length)
     new = [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     marked = R.named(docs, text, [f.name for f in new])
 
-    def level_one(batches: R.Pieces) -> R.Pieces:
-        kept = WordHashes()
-        for batch in pieces(batches, "_text"):
-            names = R.names_of(batch)
-            use = R.distinct_twice(names)
-            all_texts = texts(batch.column("_text"))
-            values, at = hashed([all_texts[n] for n in use.tolist()], kept)
-            _, anchor, grams = anchored(values, at, length, gram)
-            place = np.unique(anchor)
-            key = grams[place]
-            twice = R.again(key)
-            send = R.first_of_each(key)
-            yield R.sent(of, names[use], at, (place[send], place[send]), key[send], None, R.stretches(place[twice], R.text_of(at, place[twice])))
-
-    def one_repeats(run: np.ndarray, anchor: np.ndarray, loads: list[bytes]) -> np.ndarray:
-        return run[R.again(anchor)]
-
-    def level_two(batches: R.Pieces) -> R.Pieces:
+    def hashes(batches: R.Pieces):
         kept = WordHashes()
         for batch in pieces(batches, "_text"):
             names = R.names_of(batch)
             use = R.distinct_twice(names)
             all_texts = texts(batch.column("_text"))
-            values, at = hashed([all_texts[n] for n in use.tolist()], kept)
-            edge = np.zeros(len(values) + 1, np.int64)
-            firsts, lasts = batch.column("first"), batch.column("last")
-            for k, n in enumerate(use.tolist()):
-                np.add.at(edge, np.asarray(firsts[n].values) + at[k], 1)
-                np.add.at(edge, np.asarray(lasts[n].values) + at[k] + 1, -1)
-            candidate = np.cumsum(edge[:-1]) > 0
-            starts, anchor, grams = anchored(values, at, length, gram)
-            own = candidate[anchor]
-            starts, anchor = starts[own], anchor[own]
+            yield batch, names[use], use, *hashed([all_texts[n] for n in use.tolist()], kept)
+
+    def survivors(batch: pa.RecordBatch, use: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """For each place whether its window of the level before repeats."""
+        edge = np.zeros(n + 1, np.int64)
+        firsts, lasts = batch.column("first"), batch.column("last")
+        for k, row in enumerate(use.tolist()):
+            np.add.at(edge, np.asarray(firsts[row].values) + at[k], 1)
+            np.add.at(edge, np.asarray(lasts[row].values) + at[k] + 1, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    def level(k: int):
+        """Sends the windows of level k: at the first all that full windows are stood for by, at others the extensions of survivors."""
+
+        def run(batches: R.Pieces) -> R.Pieces:
+            for batch, names, use, values, at in hashes(batches):
+                _, places, grams = climbed(values, at, [*sizes[: k + 1], length])
+                place = places[k]
+                if k:
+                    place = place[survivors(batch, use, at, len(values))[places[k - 1]]]
+                place = np.unique(place)
+                key = grams[k][place]
+                twice, send = R.again(key), R.first_of_each(key)
+                yield R.sent(of, names, at, (place[send], place[send]), key[send], None, R.stretches(place[twice], R.text_of(at, place[twice])))
+
+        return run
+
+    def full(batches: R.Pieces) -> R.Pieces:
+        """Sends the full windows that hold a survivor, as runs that climbed by the same one."""
+        for batch, names, use, values, at in hashes(batches):
+            starts, places, grams = climbed(values, at, sizes)
+            own = survivors(batch, use, at, len(values))[places[-1]]
+            starts, anchor = starts[own], places[-1][own]
             key = R.rolled(values, length)[starts]
             twice = R.again(key)
             first, last = R.stretches(starts, anchor)
@@ -104,21 +135,24 @@ def removed_words(docs: DataFrame, text: str = "text", length: int = 35) -> Data
             begun = np.searchsorted(starts, first)
             send = np.add.reduceat(R.first_of_each(key), begun) > 0 if len(begun) else np.zeros(0, bool)
             keys = [key[a:b].tobytes() for a, b in zip(begun, np.append(begun[1:], len(starts)))]
-            runs, hashes = (first[send], last[send]), grams[anchor[begun[send]]]
-            yield R.sent(of, names[use], at, runs, hashes, [x for x, s in zip(keys, send) if s], R.stretches(starts[twice]))
+            runs, met = (first[send], last[send]), grams[-1][anchor[begun[send]]]
+            yield R.sent(of, names, at, runs, met, [x for x, s in zip(keys, send) if s], R.stretches(starts[twice]))
+
+    def repeated(run: np.ndarray, anchor: np.ndarray, loads: list[bytes]) -> np.ndarray:
+        return run[R.again(anchor)]
 
-    def two_repeats(run: np.ndarray, anchor: np.ndarray, loads: list[bytes]) -> np.ndarray:
+    def full_repeated(run: np.ndarray, anchor: np.ndarray, loads: list[bytes]) -> np.ndarray:
         key = np.frombuffer(b"".join(loads), "<u8")
-        sizes = run[:, 2] - run[:, 1] + 1
-        which = np.repeat(np.arange(len(run)), sizes)
-        start = run[which, 1] + np.arange(len(key)) - R.offsets(sizes)[which]
+        counts = run[:, 2] - run[:, 1] + 1
+        which = np.repeat(np.arange(len(run)), counts)
+        start = run[which, 1] + np.arange(len(key)) - R.offsets(counts)[which]
         return R.stretched(run[:, 0], which, start, R.again(key, anchor[which]))
 
-    sent = marked.select("k1", "k2", "_text").mapInArrow(level_one, R.SENT)
-    candidates = R.met(sent, one_repeats)
-    # The same columns as below, so that the texts are dealt out once for both joins.
-    second = marked.join(candidates, ["k1", "k2"]).mapInArrow(level_two, R.SENT)
-    ranges = R.met(second, two_repeats)
+    found = R.met(marked.select("k1", "k2", "_text").mapInArrow(level(0), R.SENT), repeated)
+    # All joins take the same columns, so that the texts are dealt out once for all of them.
+    for k in range(1, len(sizes) - 1):
+        found = R.met(marked.join(found, ["k1", "k2"]).mapInArrow(level(k), R.SENT), repeated)
+    ranges = R.met(marked.join(found, ["k1", "k2"]).mapInArrow(full, R.SENT), full_repeated)
     schema = T.StructType([marked.schema["_row"], T.StructField("_text", T.StringType()), *new])
 
     def take(batches: R.Pieces) -> R.Pieces:
