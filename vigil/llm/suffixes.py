@@ -7,13 +7,17 @@ in the corpus cannot repeat. The shard's suffix array over the rest is built by
 refinement (groups of equal prefixes are sorted by the rank of what follows, doubling the prefix
 until it has the wanted length), the common prefixes of neighbours by Kasai's rule (along a text they
 shrink by one byte at most, so a comparison begins only where the neighbour's place jumps). Common
-prefixes of the wanted length are repeats within the shard. Across shards, strings that are first
-of their kind in their shard meet by anchor; the shards' sorted keys are merged and each string looked
-up by binary search.
+prefixes of the wanted length are repeats within the shard. Across shards, the strings that are first of their
+kind in their shard meet by anchor. There they are dealt to slices of a bounded number by a hash, so
+that equal ones come together; strings that share their hash with no other are done with. In a slice
+the bytes of the shards' strings are merged into one sorted array and each string is looked up in it
+by binary search: one that is found more than once is a repeat. Equality is that of bytes throughout.
 
 Texts are UTF-8 bytes, null and empty ones have none. Every covered byte goes, the first occurrence
 included; strings never reach over documents and are judged on the input. Equal texts share their
-result; repeated rows count as occurrences.
+result; repeated rows count as occurrences. Very long texts are read whole, one at a time where they
+exceed a shard. An empty table gives an empty one. Columns of the caller that have the names of new
+ones are replaced by these, all others pass through.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ from vigil.llm.common import buckets, pieces, texts
 
 GRAM = 64
 SHARD = 2 << 20
-#: Bytes of runs that a merge holds at a time.
+#: Bytes of runs that a merge reads at a time, and bytes of strings that a slice holds, about.
 MERGE = 1 << 20
+SLICE = 8 << 20
 #: Along a chain of falling common prefixes a comparison is made anew after so many bytes.
 ANEW = 256
 VALUE = R.mixed(np.arange(1, 257, dtype=np.uint64))
@@ -133,6 +138,27 @@ def in_shard(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
     return repeats[small[starts]], ~same[small[starts]]
 
 
+def looked_up(data: np.ndarray, places: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings at these places occur more than once; key: a hash of each string.
+
+    A slice takes all strings of the hashes in it, so equal strings never part.
+    """
+    out = np.zeros(len(places), bool)
+    may = np.flatnonzero(R.again(key))
+    may = may[np.argsort(key[may], kind="stable")]
+    if not len(may):
+        return out
+    string = np.ndarray(len(data) - length + 1, f"S{length}", data, strides=(1,))
+    new = np.append(True, np.diff(key[may]) != 0)
+    part = np.flatnonzero(new)[np.cumsum(new) - 1] // max(1, SLICE // length)
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(part) != 0)), len(may))
+    for a, b in zip(cuts, cuts[1:]):
+        own = string[places[may[a:b]]]
+        merged = np.sort(own)
+        out[may[a:b]] = np.searchsorted(merged, own, "right") - np.searchsorted(merged, own, "left") > 1
+    return out
+
+
 def across_shards(length: int):
     def merge(run: np.ndarray, anchor: np.ndarray, loads: list[bytes]) -> np.ndarray:
         data = np.frombuffer(b"".join(loads), np.uint8)
@@ -150,8 +176,7 @@ def across_shards(length: int):
             places = np.flatnonzero(R.starts_within(inner, length)[: len(joined) - length + 1])
             which = np.searchsorted(inner, places, "right") - 1
             key = R.rolled(VALUE[joined], length)[places] ^ R.mixed(anchor[own][which])
-            merged = np.sort(key)
-            hit = np.searchsorted(merged, key, "right") - np.searchsorted(merged, key, "left") > 1
+            hit = looked_up(joined, places, key, length)
             out.append(R.stretched(run[own, 0], which, run[own, 1][which] + places - inner[which], hit))
         return np.concatenate(out)
 
