@@ -18,22 +18,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only where none is set."""
+    """The checkpoint folder the cluster names; a temporary one only where none is set and Spark runs in this process."""
     sc = spark.sparkContext
-    if (sc.getCheckpointDir() or "") == "":
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vigil-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or ""
+    if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="vigil-checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder: cuts the lineage."""
+    """The same rows, read back from a Parquet table in the shared folder: cuts the lineage. The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """These names, lengthened until no column of `df` has them (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -12,7 +12,9 @@ vectors in a table, and sums over texts are sums of its rows by count; the vecto
 as they occur, a few thousand at a time.
 
 A text that is null or holds no letter gets `und` with score 0. The score of others is the softmax of
-the cosines times SHARP, between 0 and 1. Without learnable rows all get `und`.
+the cosines times SHARP, between 0 and 1. Without learnable rows all get `und`. Repeated rows have
+equal results, very long texts are read whole, an empty table gives an empty one. Columns of the caller
+that have the names of new ones are replaced, others pass through.
 """
 
 from __future__ import annotations

@@ -6,10 +6,16 @@ occurrence in the text, so that repeats count. For each of `size` orders of all
 `tuple_size` least are selected, put back into their order in the text and hashed together: two texts
 share a component if they share these k-mers in the same order, which falls with the edit distance.
 
-The orders are rotations of one: numbered k-mers have 64-bit hashes, and order j counts from
-j / size of the hash range upwards and around. One sorted array of hashes, with a marker for each
-rotation, serves all orders. Components are 1 to 65535; a text without tokens has zeros only.
-Fewer tokens than k make one k-mer; null is as empty.
+Numbered k-mers have 64-bit hashes, and the hash range is cut into `size` cells. Order j begins with
+cell j and goes on through the others as a hash seeded by j puts them; within a cell it goes by the
+hash. So each order has a start of its own, and where a cell is empty, as most are in short texts,
+the next ones come in an order of its own, too. Each order is one of all numbered k-mers, the same for
+every text. Components are 1 to 65535; a text without tokens has zeros only. Fewer tokens than k make
+one k-mer, fewer k-mers than a tuple holds a shorter tuple; null is as empty.
+
+Repeated rows have equal fingerprints; an empty table gives an empty one. Very long texts are read
+whole, in arrays of a few values a token. A column of the caller that has the name of the new one is
+replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.llm.common import fresh
+
 TOKEN = r"[^\x20\x09-\x0D]{1,8}"
 RANGES = 256
 #: Documents that one group of neighbours holds, about.
@@ -52,33 +60,42 @@ def signature(text: Column, size: int = 64, k: int = 3, tuple_size: int = 2) ->
 
         return let(new, lambda starts: F.when(F.size(starts) == F.size(s), s).otherwise(later(starts)))
 
+    cells = F.sequence(F.lit(0), F.lit(size - 1))
+
     def components(g: Column) -> Column:
-        marks = F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)),
-            lambda j: F.struct(((j - F.lit(size // 2)).cast("bigint") * F.lit((1 << 64) // size)).alias("g"), F.lit(-1).alias("i")),
-        )
+        marks = F.transform(cells, lambda j: F.struct(((j - F.lit(size // 2)).cast("bigint") * F.lit((1 << 64) // size)).alias("g"), F.lit(-1).alias("i")))
 
         def pick(s: Column) -> Column:
             at = F.filter(F.transform(s, lambda e, p: F.when(e["i"] < 0, p)), lambda p: p.isNotNull())
-            own = F.filter(s, lambda e: e["i"] >= 0)
+            starts = F.concat(F.transform(at, lambda p, j: p - j), F.array(F.size(s) - size))
+            return let(F.filter(s, lambda e: e["i"] >= 0), lambda own: let(starts, lambda begin: each(own, begin)))
 
-            def one(own: Column) -> Column:
-                def component(p: Column, j: Column) -> Column:
-                    least = F.transform(F.sequence(F.lit(0), F.lit(tuple_size - 1)), lambda t: own[F.pmod(p - j + t, F.size(own))])
-                    in_text = F.sort_array(F.transform(least, lambda e: F.struct(e["i"].alias("i"), e["g"].alias("g"))))
-                    return (F.pmod(F.xxhash64(F.transform(in_text, lambda e: e["g"])), F.lit(65535)) + 1).cast("int")
+        def each(own: Column, begin: Column) -> Column:
+            """own: sorted; begin: where each cell begins in it, and the end."""
+            full = F.filter(cells, lambda c: begin[c + 1] > begin[c])
 
-                if tuple_size != 2:
-                    return F.transform(at, component)
+            def tuple_of(least: Column) -> Column:
+                in_text = F.sort_array(F.transform(least, lambda e: F.struct(e["i"].alias("i"), e["g"].alias("g"))))
+                return hashed(F.xxhash64(F.transform(in_text, lambda e: e["g"])))
 
-                def pair(p: Column, j: Column) -> Column:
-                    a, b = own[F.pmod(p - j, F.size(own))], own[F.pmod(p - j + 1, F.size(own))]
-                    hashed = F.when(a["i"] <= b["i"], F.xxhash64(a["g"], b["g"])).otherwise(F.xxhash64(b["g"], a["g"]))
-                    return (F.pmod(hashed, F.lit(65535)) + 1).cast("int")
+            def hashed(h: Column) -> Column:
+                return (F.pmod(h, F.lit(65535)) + 1).cast("int")
 
-                return F.transform(at, pair)
+            def elsewhere(j: Column, full: Column) -> Column:
+                """The least by order j: of its own cell, then of the next cells that hold any."""
+                rank = lambda c: F.when(c == j, F.lit(-(1 << 63))).otherwise(F.xxhash64(j, c))
+                by = F.sort_array(F.transform(full, lambda c: F.struct(rank(c).alias("r"), c.alias("c"))))
+                some = F.transform(F.slice(by, 1, tuple_size), lambda x: F.slice(own, begin[x["c"]] + 1, F.least(begin[x["c"] + 1] - begin[x["c"]], F.lit(tuple_size))))
+                return tuple_of(F.slice(F.flatten(some), 1, tuple_size))
+
+            def within(j: Column) -> Column:
+                if tuple_size != 2:
+                    return tuple_of(F.slice(own, begin[j] + 1, tuple_size))
+                a, b = own[begin[j]], own[begin[j] + 1]
+                return hashed(F.when(a["i"] <= b["i"], F.xxhash64(F.array(a["g"], b["g"]))).otherwise(F.xxhash64(F.array(b["g"], a["g"]))))
 
-            return let(own, one)
+            one = lambda full: F.transform(cells, lambda j: F.when(begin[j + 1] - begin[j] >= tuple_size, within(j)).otherwise(elsewhere(j, full)))
+            return let(full, one)
 
         return let(F.sort_array(F.concat(g, marks)), pick)
 
@@ -118,17 +135,17 @@ def with_next(rows: DataFrame, add: Callable[[DataFrame], DataFrame], carried: l
     if within > 1:
         share = (F.col("doc_id") - ends[group.cast("int")]) / (ends[group.cast("int") + 1] - ends[group.cast("int")] + 1)
         group = group * within + F.least(F.lit(within - 1), F.greatest(F.lit(0), F.floor(share * within)))
-    rows = rows.withColumn("_group", F.coalesce(F.when(F.col("doc_id").isNotNull(), group), F.lit(-1).cast("bigint")))
-    heads = rows.groupBy("_group").agg(F.max("doc_id").alias("_head"))  # a row for each GROUP rows
-    order = Window.orderBy("_group")
-    above = F.coalesce(F.lead("_group").over(order), F.min("_group").over(Window.partitionBy()))
-    heads = heads.select("_head", above.alias("_serves"))
-    first = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")))
-    first = first.withColumn("_group", F.col("_serves")).drop("_head", "_serves").withColumn("_added", F.lit(1))
-    all_rows = add(rows.withColumn("_added", F.lit(0))).unionByName(add(first))
-    w = Window.partitionBy("_group").orderBy("_added", F.col("doc_id").desc_nulls_last(), "text")
+    own, added, head, serves = fresh(rows, "_group", "_added", "_head", "_serves")
+    rows = rows.withColumn(own, F.coalesce(F.when(F.col("doc_id").isNotNull(), group), F.lit(-1).cast("bigint")))
+    heads = rows.groupBy(own).agg(F.max("doc_id").alias(head))  # a row for each GROUP rows
+    above = F.coalesce(F.lead(own).over(Window.orderBy(own)), F.min(own).over(Window.partitionBy()))
+    heads = heads.select(head, above.alias(serves))
+    first = rows.join(heads, F.col("doc_id").eqNullSafe(F.col(head)))
+    first = first.withColumn(own, F.col(serves)).drop(head, serves).withColumn(added, F.lit(1))
+    all_rows = add(rows.withColumn(added, F.lit(0))).unionByName(add(first))
+    w = Window.partitionBy(own).orderBy(added, F.col("doc_id").desc_nulls_last(), "text")
     nexts = {f"next_{c}": F.lead(c).over(w) for c in carried}
-    return all_rows.withColumns(nexts).where("_added = 0").drop("_group", "_added")
+    return all_rows.withColumns(nexts).where(F.col(added) == 0).drop(own, added)
 
 
 def fingerprints(docs: DataFrame, size: int = 64, k: int = 3, tuple_size: int = 2) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import pieces, spans, texts, written
+from vigil.llm.common import fresh, pieces, spans, texts, written
 from vigil.llm.graph import components
 
 SHORT = 16
@@ -137,9 +137,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Rows are told apart by two 64-bit hashes of key and text; of rows that share both one stays.
     Columns stay as they are.
     """
-    hashes = {"_h": F.xxhash64(key, text), "_g": F.xxhash64(F.lit("second"), key, text)}
-    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *(v.alias(n) for n, v in hashes.items()))
+    h, g = fresh(docs, "_h", "_g")
+    hashes = {h: F.xxhash64(key, text), g: F.xxhash64(F.lit("second"), key, text)}
+    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), hashes[h].alias("h"), hashes[g].alias("g"))
     marked = written(fingerprints(marked, "t", words).drop("t"))
-    first = F.min(F.struct(F.col("k").isNull(), "k", "_h", "_g")).alias("first")
-    chosen = grouped(marked, most).groupBy("root").agg(first).select("first._h", "first._g")
-    return docs.withColumns(hashes).join(chosen, ["_h", "_g"], "left_semi").dropDuplicates(["_h", "_g"]).drop("_h", "_g")
+    first = F.min(F.struct(F.col("k").isNull(), "k", "h", "g")).alias("first")
+    chosen = grouped(marked, most).groupBy("root").agg(first).select(F.col("first.h").alias(h), F.col("first.g").alias(g))
+    return docs.withColumns(hashes).join(chosen, [h, g], "left_semi").dropDuplicates([h, g]).drop(h, g)

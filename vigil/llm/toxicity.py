@@ -13,7 +13,9 @@ scale and one offset are fitted to the sums of weights of the same documents. La
 learnt from; without two kinds of labels every score is the share of label 1 (0.5 without labels).
 
 Scores: the logistic function of the bias and the weights of the text's features; null and empty
-texts have the bias alone.
+texts have the bias alone, very long ones are read whole. Repeated rows have equal scores (a doc_id
+with several labels counts as 1 if any is; each of its texts is learnt from). An empty table gives an
+empty one. A column of the caller that has the name of the score is replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.calibration import platt
-from vigil.llm.common import held_out, pieces, sampled, spans
+from vigil.llm.common import fresh, held_out, pieces, sampled, spans, written
 
 BITS = 20
 MOST = 16_000
@@ -106,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = sampled(known, F.col("doc_id"), most)
-    taken = docs.select("doc_id", F.col(text).alias("t")).join(known, "doc_id").select("t", "y", "doc_id")
+    taken = written(docs.select("doc_id", F.col(text).alias("t")).join(known, "doc_id").select("t", "y", "doc_id"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:
         share = 0.5 if not counts else float(next(iter(counts)))
@@ -165,5 +167,5 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", from_score: float = 0.5) -> DataFrame:
     """The documents that score less; columns unchanged."""
-    scored = score(docs, train(docs, labels, text), text, "_toxicity")
-    return scored.where(F.col("_toxicity") < from_score).select(docs.columns)
+    name = fresh(docs, "toxicity")[0]
+    return score(docs, train(docs, labels, text), text, name).where(F.col(name) < from_score).drop(name)
