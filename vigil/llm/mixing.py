@@ -8,18 +8,24 @@ target is above: targets are min(most * size, level * weight) for one level, whi
 sums give.
 
 A source is taken wholly as often as its target holds it; the rest of its target is a subset sum over
-its documents: they are counted by exact size, the same share of each size is taken, and what that
-leaves over is filled from large sizes down to about WIDE words, which bounded-knapsack dynamic
-programming fits with the smallest sizes still free. Of each size, documents are selected by cells of
-a seeded hash and by the hash within the last cell; cells keep large groups of one size apart. Reruns
-give the same rows.
-
-Rows stay one to one. Documents of size 0 are never taken; a source without words has target 0.
-Repeated rows (equal doc_id, equal text) are told apart by no more than their order.
+its documents, counted by exact size. First the same share of each size is taken; what that leaves
+over is filled from large sizes down to about WIDE words, which bounded-knapsack dynamic programming
+fits with the ITEMS smallest sizes still free. If that misses the best sum that can be (the budget,
+lowered to a multiple of the sizes' common divisor), the programming takes over more: twice the words
+and sizes, again and again, in the end all documents from an empty start, which is exact. So neither
+bound decides over the result. Of each size, documents are selected by cells of a seeded hash and by
+the hash within the last cell; cells keep large groups of one size apart. Reruns give the same rows.
+
+Rows stay one to one. Documents of size 0 (null and empty texts) are never taken; a source without
+words has target 0. Very long texts are one size more. Repeated rows (equal doc_id, equal text) are told
+apart by no more than their order. An empty table gives an empty one. Columns of the caller that have
+the names of new ones are replaced, others pass through.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +35,9 @@ from vigil.llm.common import written
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-#: Words that are kept for the dynamic programming, at most.
+#: Words that are kept for the dynamic programming at first.
 WIDE = 1 << 14
-#: Sizes (of the free ones, smallest first) that it uses.
+#: Sizes (of the free ones, smallest first) that it uses at first.
 ITEMS = 64
 #: Cells over which documents of one size are dealt.
 CELLS = 256
@@ -43,43 +49,52 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def programmed(free: dict[int, int], budget: int) -> dict[int, int]:
+    """Counts of the sizes in `free`, none above its own, with the greatest sum up to `budget`."""
+    # Bit v of reached[k]: the first k sizes make the sum v. Lots of 1, 2, 4, ... stand for a count.
+    reached, sizes = [1], sorted(free)
+    for s in sizes:
+        now, left, lot = reached[-1], min(free[s], budget // s), 1
+        while left > 0:
+            n = min(lot, left)
+            now = (now | (now << (s * n))) & ((1 << (budget + 1)) - 1)
+            left, lot = left - n, lot * 2
+        reached.append(now)
+    best, taken = reached[-1].bit_length() - 1, {}
+    for k in range(len(sizes), 0, -1):
+        while not reached[k - 1] >> best & 1:
+            taken[sizes[k - 1]] = taken.get(sizes[k - 1], 0) + 1
+            best -= sizes[k - 1]
+    return taken
+
+
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each size to take, so that sizes sum to `budget` or as near below it as the programming finds.
+    """How many documents of each size to take, none above its count, so that sizes have the greatest sum up to `budget`.
 
-    counts: documents by size, sizes over 0. No more are taken than there are.
+    counts: documents by size, sizes over 0.
     """
     total = sum(s * c for s, c in counts.items())
     budget = max(0, min(budget, total))
-    if not total or not budget:
+    if not budget:
         return {}
-    taken = {s: c * budget // total for s, c in counts.items()}
-    rest = budget - sum(s * n for s, n in taken.items())
-    free = {s: counts[s] - taken[s] for s in counts if counts[s] > taken[s]}
-    small = sorted(free)[:ITEMS]
-    kept = min(WIDE, sum(s * free[s] for s in small) // 2)
-    # Large sizes first, down to what is kept for the programming over the small ones.
-    for s in sorted(free.keys() - set(small), reverse=True):
-        n = min(free[s], max(0, rest - kept) // s)
-        taken[s] += n
-        rest -= n * s
-    top = rest
-    # Bit v of reached[k]: sums v that the first k lots make. Lots of 1, 2, 4, ... stand for a count.
-    lots, reached = [], [1]
-    for s in small:
-        left, lot = min(free[s], top // s), 1
-        while left > 0:
-            n = min(lot, left)
-            lots.append((s, n))
-            reached.append((reached[-1] | (reached[-1] << (s * n))) & ((1 << (top + 1)) - 1))
-            left -= n
-            lot *= 2
-    best = reached[-1].bit_length() - 1
-    for k in range(len(lots), 0, -1):
-        s, n = lots[k - 1]
-        if not reached[k - 1] >> best & 1:
+    goal, wide, items = budget - budget % gcd(*counts), WIDE, ITEMS
+    while True:
+        everything = items >= len(counts) and wide >= total
+        taken = {s: 0 if everything else c * budget // total for s, c in counts.items()}
+        rest = budget - sum(s * n for s, n in taken.items())
+        free = {s: counts[s] - taken[s] for s in counts if counts[s] > taken[s]}
+        small = sorted(free)[:items]
+        kept = min(wide, sum(s * free[s] for s in small) // 2)
+        # Large sizes first, down to what is kept for the programming over the small ones.
+        for s in sorted(free.keys() - set(small), reverse=True):
+            n = min(free[s], max(0, rest - kept) // s)
+            taken[s] += n
+            rest -= n * s
+        for s, n in programmed({s: free[s] for s in small}, rest).items():
             taken[s] += n
-            best -= s * n
-    return {s: n for s, n in taken.items() if n}
+        if everything or sum(s * n for s, n in taken.items()) == goal:
+            return {s: n for s, n in taken.items() if n}
+        wide, items = 2 * wide, 2 * items
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:

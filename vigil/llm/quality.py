@@ -5,10 +5,16 @@ the two totals (bad less good), divided by the text's bytes, tells how much bett
 dictionary knows it. A rising curve fitted to labelled documents turns that into a score.
 
 Training takes at most about `most` labelled documents, chosen by a hash: half for the dictionaries,
-each built by one task from up to SAMPLES pieces of its class (evenly spaced ones of each text), half
-for the curve, of which only the differences are gathered. Labels other than 0 and 1 are not learnt
-from; without both kinds of labels every score is the share of label 1 (0.5 without labels). Too few
-samples for a trained dictionary serve as a raw one. Null and empty texts have difference 0.
+half for the curve, of which only the differences are gathered. For the dictionaries texts are cut,
+where they are read, into up to EACH evenly spaced pieces; of each class about SAMPLES pieces, chosen
+by a hash among all of them, go to the one task that builds its dictionary (PIECE * SAMPLES bytes at
+most, about). Labels other than 0 and 1 are not learnt from; without both kinds of labels every score
+is the share of label 1 (0.5 without labels). Too few samples for a trained dictionary serve as a raw
+one.
+
+Null and empty texts have difference 0, very long ones are read whole. Repeated rows have equal scores
+(a doc_id with several labels counts as 1 if any is). An empty table gives an empty one. A column of
+the caller that has the name of the score is replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -17,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.calibration import rising
-from vigil.llm.common import held_out, pieces, sampled, texts
+from vigil.llm.common import held_out, pieces, sampled, texts, written
 
 MOST = 12_000
 CHUNK = 1500
@@ -34,17 +41,13 @@ DICTIONARY = 256 << 10
 LEVEL = 3
 
 
-def samples(found: list[bytes]) -> list[bytes]:
-    """Up to EACH pieces of each text, evenly spaced."""
-    out = []
-    for t in found:
-        places = np.unique(np.linspace(0, max(0, len(t) - PIECE), min(EACH, max(1, -(-len(t) // PIECE)))).astype(int))
-        out += [t[a : a + PIECE] for a in places.tolist() if t]
-    return out[:SAMPLES]
+def cut(text: bytes) -> list[bytes]:
+    """Up to EACH pieces, evenly spaced."""
+    places = np.unique(np.linspace(0, max(0, len(text) - PIECE), min(EACH, max(1, -(-len(text) // PIECE)))).astype(int))
+    return [text[a : a + PIECE] for a in places.tolist() if text]
 
 
-def dictionary(found: list[bytes]) -> bytes:
-    parts = samples(found)
+def dictionary(parts: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY, parts, k=64, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -87,14 +90,30 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = sampled(known, F.col("doc_id"), most)
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half")
-    taken = docs.select("doc_id", F.col(text).alias("t")).join(known, "doc_id").select("doc_id", "t", "y", half)
+    taken = written(docs.select("doc_id", F.col(text).alias("t")).join(known, "doc_id").select("doc_id", "t", "y", half))
+
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "t"):
+            parts = [cut(t) for t in texts(batch.column("t"))]
+            of = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            flat = [x for own in parts for x in own]
+            h = pa.array([xxhash.xxh64_intdigest(x, 3) >> 1 for x in flat], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("y").take(pa.array(of)), h, pa.array(flat, pa.binary())], names=["y", "h", "piece"])
+
+    cuts = taken.where("half = 0").select("t", "y").mapInArrow(pieces_of, "y int, h long, piece binary")
+    # Equal pieces count once, so that copies neither fill the sample nor the task.
+    cuts = written(cuts.dropDuplicates(["y", "h"]))
+    rate = {r["y"]: min(1.0, SAMPLES / r["count"]) for r in cuts.groupBy("y").count().collect()}
+    chosen = F.lit(False)
+    for y, share in rate.items():
+        chosen |= (F.col("y") == y) & (F.col("h") <= int(share * ((1 << 63) - 1)))
 
     def build(group: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(group.column("doc_id")), kind="stable")
-        made = dictionary(texts(group.column("t").take(pa.array(order))))
+        order = np.argsort(np.asarray(group.column("h")), kind="stable")
+        made = dictionary(group.column("piece").take(pa.array(order)).to_pylist())
         return pa.table({"y": group.column("y").slice(0, 1), "content": pa.array([made], pa.binary())})
 
-    made = {r["y"]: bytes(r["content"]) for r in taken.where("half = 0").groupBy("y").applyInArrow(build, "y int, content binary").collect()}
+    made = {r["y"]: bytes(r["content"]) for r in cuts.where(chosen).groupBy("y").applyInArrow(build, "y int, content binary").collect()}
     if len(made) < 2:
         share = float(next(iter(made))) if made else 0.5
         return (b"", b""), np.array([0.0]), np.array([share])
