@@ -1,6 +1,11 @@
 """Worked examples and properties."""
 
 import datetime
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +17,10 @@ from vigil.operators import history as H
 from vigil.operators import match as M
 from vigil.operators import quality as Q
 from vigil.operators import series as S
+from vigil.sources import catalog as C
+from vigil.streaming import ingest as I
+
+ROOT = str(Path(__file__).parent.parent)
 
 DAY = datetime.date(2026, 7, 1)
 
@@ -175,8 +184,103 @@ def test_features_are_json(spark):
     assert got == {"type": "Feature", "properties": {"name": "Z"}, "geometry": {"type": "Polygon", "coordinates": [[[1.0, 1.0], [2.0, 3.0]]]}}
 
 
-def test_entry_runs_without_the_subpackage(spark):
-    import __spark_entry__ as e
+ENTRY = """
+import importlib.abc, sys
+class Missing(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path=None, target=None):
+        if name in {names!r}:
+            raise ModuleNotFoundError(name=name)
+sys.meta_path.insert(0, Missing())
+import __spark_entry__ as e
+q, o = e.queries(), e.oracle_sql()
+assert {{"w1_increments", "q15_verdict"}} <= set(q) and set(o) <= set(q)
+assert not [x for x in q if x.startswith("op") or x == "pipeline"], sorted(q)
+"""
+
+
+@pytest.mark.parametrize("names", [("public_tokenizers",), ("xxhash",), ("vigil.llm",)])
+def test_entry_stands_without_a_package(names):
+    subprocess.run([sys.executable, "-c", ENTRY.format(names=names)], cwd=ROOT, check=True)
+
+
+def test_entry_stands_without_the_subpackage(tmp_path):
+    away = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "*.md", "*.json")
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=away)
+    subprocess.run([sys.executable, "-c", ENTRY.format(names=())], cwd=tmp_path / "copy", check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
+def lines_of(spark, *lines):
+    return spark.createDataFrame([("a", n, x) for n, x in enumerate(lines)], "doc string, line_no int, line string")
+
+
+def test_zone_lines_with_thousands_apart_and_without_counts(spark):
+    lines = ["Bunia 1 878 452 24,1% 3 1", "Beni NA NA NA", "Nia-Nia* 12 3 25 % 4", "Oicha 12 NA NA 5", "Mambasa 0 0 0,0%", "Tableau 3 : zones", "12 4 33,3%", "Boma Mangbetu 1 200 1 150 95,8%"]
+    out = {r["name"]: (r["cases"], r["deaths"], r["cfr"], r["tail"]) for r in X.parse_zone_lines(lines_of(spark, *lines)).collect()}
+    assert out == {
+        "Bunia": (1878, 452, 24.1, [3, 1]), "Beni": (None, None, None, []), "Nia-Nia": (12, 3, 25.0, [4]), "Oicha": (12, None, None, [5]),
+        "Mambasa": (0, 0, 0.0, []), "Boma Mangbetu": (1200, 1150, 95.8, []),
+    }
+
+
+def test_totals_with_thousands_apart(spark):
+    df = lines_of(spark, "Ituri 680 463 68,1% 17 10 1 11", "Total 4 257 1 878 44,1% 12 3 1 4", "Ituri 1 680 463 27,6% 1 017 10 1 11", "Total 1 1 100% 1 1 1 1", "Total 5 4 80%")
+    total = X.detail_total(df, ["doc"]).first()
+    assert (total["cases"], total["deaths"], total["cfr"], total["new_cases"], total["total"]) == (4257, 1878, 44.1, 12, 4)
+    sub = X.province_subtotals(df, ["doc"]).collect()
+    assert [(r["name"], r["cases"], r["deaths"], r["new_cases"], r["deaths_community"]) for r in sub] == [("Ituri", 1680, 463, 1017, 10)]
+
+
+def test_province_lines(spark):
+    lines = ["Ituri** 4257 1 878 44,1% 12/36 (33,3%) 7", "Bas Uélé 12 3 25,0 % 2 sur 11 0", "Total 1 2 3", "Nord-Kivu 10 5 50% 3 7"]
+    out = [tuple(r[c] for c in ("name", "confirmed", "deaths", "zones", "zones_total", "new_cases")) for r in X.parse_province_lines(lines_of(spark, *lines)).orderBy("line_no").collect()]
+    assert out == [("Ituri", 4257, 1878, 12, 36, 7), ("Bas Uélé", 12, 3, 2, 11, 0)]
+
+
+def test_names_of_weekly_files_and_titles(spark):
+    files = spark.createDataFrame([("x/Weekly_Report_07_2026-05-30.pdf",), ("x/Weekly_7_2026-05-30.txt",), ("Weekly_a7_2026-05-30.pdf",), ("_8_2026-13-30.pdf",)], "path string")
+    good, bad = C.weekly_index(files)
+    assert {(r["number"], str(r["date"])) for r in good.collect()} == {("07", "2026-05-30"), ("8", "None")} and bad.count() == 2
+    titles = {"SitRep N° 045 du 12 mai": "045", "sitrep n7": "007", "Note mai": "Note_mai", "N°1234": "123", "Rapport NO 12": "012"}
+    assert {t: one(spark, C.title_to_number(F.lit(t))) for t in titles} == titles
+
+
+def test_aliases_name_the_same_place(spark):
+    ours = spark.createDataFrame([("Muku", "A"), ("Beni", "A")], "zone string, province string")
+    ref = spark.createDataFrame([("Mukú Centre", "A"), ("beni", "A")], "zone string, province string")
+    out = {r["zone"]: r["matched"] for r in M.resolve_zone(ours, ref, {"muku": "Mukú centre"}).collect()}
+    assert out == {"Muku": "Mukú Centre", "Beni": "beni"}
+
+
+def test_last_known_of_each_field(spark):
+    rows = [("a", DAY, 1, None), ("a", DAY + datetime.timedelta(days=2), 5, 7), ("a", DAY + datetime.timedelta(days=1), 3, 6), ("a", DAY + datetime.timedelta(days=3), None, 8), ("b", DAY, None, None)]
+    df = spark.createDataFrame(rows, "k string, d date, x bigint, y bigint")
+    out = {r["k"]: (r["last_x"], r["previous_x"], r["last_y"], r["previous_y"], r["last_y_date"]) for r in S.last_known(df, ["x", "y"], ["k"]).collect()}
+    assert out == {"a": (5, 3, 8, 7, DAY + datetime.timedelta(days=3)), "b": (None, None, None, None, None)}
+
+
+def test_recomputing_equals_the_whole(spark):
+    rows = [(z, DAY + datetime.timedelta(days=n), 10 * n + len(z)) for n in range(8) for z in ("A", "BB", "CCC") if (n + len(z)) % 3]
+    df = spark.createDataFrame(rows, "zone string, d date, cases bigint")
+    whole = H.carry_forward(df, df.select("d"), ["zone"], ["cases"])
+    for n in (0, 1, 5):
+        begin = DAY + datetime.timedelta(days=n)
+        got = H.recompute_from(df, df.where(F.col("d") == begin), ["zone"], ["cases"])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.where(F.col("d") >= begin).collect()))
+    assert H.recompute_from(df, df.limit(0), ["zone"], ["cases"]).count() == 0
+
+
+def test_a_new_checkpoint_loses_nothing_and_touches_its_parts_only(spark, tmp_path):
+    schema, history = "k string, d date, v bigint", f"{tmp_path}/history"
+
+    def feed(rows, source, seen):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/{source}")
+        I.ingest_stream(spark, f"{tmp_path}/{source}", schema, history, f"{tmp_path}/{seen}", ["k", "d"], F.date_format("d", "yyyy-MM")).awaitTermination()
+        return sorted(map(tuple, I.current(spark, history, schema).collect()))
 
-    assert {"w1_increments", "q15_verdict"} <= set(e.queries())
-    assert set(e.oracle_sql()) <= set(e.queries())
+    june = datetime.date(2026, 6, 3)
+    assert feed([("a", DAY, 1), ("b", june, 2)], "one", "seen1") == [("a", DAY, 1), ("b", june, 2)]
+    files = set((tmp_path / "history" / "_part=2026-06").glob("*.parquet"))
+    assert feed([("a", DAY, 5), (None, DAY, 9)], "one", "seen1") == [("a", DAY, 5), ("b", june, 2)]
+    assert set((tmp_path / "history" / "_part=2026-06").glob("*.parquet")) == files
+    assert feed([("c", DAY, 7)], "two", "seen2") == [("a", DAY, 5), ("b", june, 2), ("c", DAY, 7)]
+    assert [r[0] for r in feed([("e", june, 8)], "two", "seen3")] == ["a", "b", "c", "e"]

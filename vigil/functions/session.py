@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of this machine only where none is set."""
+    """The checkpoint folder that the cluster names; one of this machine only where Spark runs in one process."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or ""
+    if not named:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="vigil-checkpoint-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vigil-checkpoint-"))
-    return named or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,14 +17,14 @@ MONTHS = {
     "janvier": 1, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6,
     "juillet": 7, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12,
 }
-#: Known spellings of one zone.
+# Known spellings of one zone.
 ZONE_ALIASES = {"GETHY": "GETY"}
 # Short month labels.
 SHORT_MONTHS = {
     "fr": ["janv", "févr", "mars", "avr", "mai", "juin", "juil", "août", "sept", "oct", "nov", "déc"],
     "en": ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"],
 }
-#: Reports that are never read.
+#: The space between groups of thousands.
 NARROW_SPACE = " "
 
 
@@ -149,11 +151,17 @@ def iso_date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
 
 
+# What names of no zone hold, and names that are none; openings of lines that are no zone rows.
+PLACEHOLDERS = ("AUTRES ZONE", "NON PRÉCISÉE", "NON PRECISEE", "NON IDENTIFIÉE", "NON IDENTIFIEE")
+NO_ZONES = ("Karissibi", "Kilo Mission")
+OTHER_LINES = ("A VENTILER", "TOTAL", "AUTRES ZONES")
+
+
 def is_placeholder(c: Column) -> Column:
     """Names that stand for cases of no named zone."""
-    return F.upper(c).rlike("AUTRES ZONE|NON PRÉCISÉE|NON PRECISEE|NON IDENTIFIÉE|NON IDENTIFIEE") | c.isin("Karissibi", "Kilo Mission")
+    return reduce(or_, (F.upper(c).contains(x) for x in PLACEHOLDERS)) | c.isin(*NO_ZONES)
 
 
 def is_non_zone(c: Column) -> Column:
     """Lines that open with a total or another heading of no zone."""
-    return F.upper(F.trim(c)).rlike("^(A VENTILER|TOTAL|AUTRES ZONES)")
+    return reduce(or_, (F.upper(F.trim(c)).startswith(x) for x in OTHER_LINES))

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import iso_date, month_number, norm_int, norm_pct
 
-NAME_FRAGMENT = r"^\p{L}[\p{L}\p{M}]*[-.']?\p{L}*$"
-NUMBERS = r"^[\d\s,%]+$"
 
 
 def labelled_date(text: Column, label: str, within: int = 60) -> Column:
@@ -57,8 +55,10 @@ def unwrap_names(lines: DataFrame, doc: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*doc).orderBy("line_no")
     text = F.trim("line")
     df = lines.withColumns({"line": text, "_1": F.trim(F.lead("line", 1).over(w)), "_2": F.trim(F.lead("line", 2).over(w)), "_i": F.row_number().over(w)})
-    part = lambda c: F.col(c).rlike(NAME_FRAGMENT)
-    df = df.withColumn("_c", F.coalesce(part("line") & F.col("_1").rlike(NUMBERS) & part("_2"), F.lit(False)))
+    letters = lambda c: F.regexp_replace(c, "[-.']", "")
+    part = lambda c: letters(c).rlike(r"^[\p{L}\p{M}]+$") & (F.length(c) - F.length(letters(c)) <= 1)
+    numbers = F.col("_1").rlike(r"\d") & ~F.col("_1").rlike(r"[^\d,%\s]")
+    df = df.withColumn("_c", F.coalesce(part("line") & numbers & part("_2"), F.lit(False)))
     odd = Window.partitionBy(*doc, F.col("_i") % 2).orderBy("_i")
     breaks = F.sum(F.when(~F.col("_c"), 1).otherwise(0)).over(odd)
     df = df.withColumn("_run", breaks).withColumn("_k", F.row_number().over(Window.partitionBy(*doc, F.col("_i") % 2, "_run", "_c").orderBy("_i")))
@@ -78,24 +78,55 @@ def assign_header(lines: DataFrame, headers: Sequence[str], doc: Sequence[str])
     return df.withColumn("province", F.last("_h", ignorenulls=True).over(w)).where("_h IS NULL AND province IS NOT NULL").drop("_h")
 
 
-ZONE_LINE = r"^(.+?)\**\s+(\d+)\s+(\d+)\s+(NA|\d+(?:,\d+)?\s*%)(.*)$"
+def line_parts(line: Column) -> Column:
+    """struct(name, counts, rate, tail) of a table row set as text; null where the line is none.
 
+    The row's words, asterisks behind them dropped: up to the first number or NA they are the name,
+    up to the rate the counts (two at least, thousands perhaps apart), behind it the tail. The rate is
+    the first word in per cent, else the first NA with two words of counts before it.
+    """
+    words = F.filter(F.transform(F.split(F.trim(F.regexp_replace(line, r"\s+%", "%")), r"\s+"), lambda w: F.rtrim(w, F.lit("*"))), lambda w: w != "")
+    is_count = lambda w: w.rlike(r"^\d+$") | (w == "NA")
+    is_rate = lambda w: w.rlike(r"^\d[\d,]*%$")
+    place = lambda a, test: F.array_min(F.filter(F.transform(a, lambda w, i: F.when(test(w, i), i)), lambda i: i.isNotNull()))
+
+    def cut(w: Column) -> Column:
+        begin = place(w, lambda x, i: is_count(x) & (i > 0))
+        rest = F.slice(w, begin + 1, F.size(w))
+        at = F.coalesce(place(rest, lambda x, i: is_rate(x)), place(rest, lambda x, i: (x == "NA") & (i > 1)))
+        made = F.struct(
+            F.array_join(F.slice(w, 1, begin), " ").alias("name"), F.slice(rest, 1, at).alias("counts"),
+            F.get(rest, at).alias("rate"), F.slice(rest, at + 2, F.size(rest)).alias("tail"),
+        )
+        return F.when((at > 1) & F.forall(made["counts"], is_count), made)
+
+    return F.transform(F.array(words), cut)[0]
+
+
+def as_number(words: Column) -> Column:
+    """The number that these words make together; null if any is no number."""
+    return F.array_join(words, "").try_cast("bigint")
 
-def parse_zone_lines(lines: DataFrame) -> DataFrame:
-    """Adds name, cases, deaths, cfr and tail (numbers behind) of lines that are zone rows; others are dropped."""
-    part = lambda n: F.regexp_extract("line", ZONE_LINE, n)
-    df = lines.withColumn("name", F.trim(part(1))).where(F.col("name") != "")
-    tail = F.transform(F.regexp_extract_all(part(5), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("bigint"))
-    return df.withColumns({"cases": part(2).cast("bigint"), "deaths": part(3).cast("bigint"), "cfr": norm_pct(part(4)), "tail": tail})
 
+def two_counts(counts: Column, rate: Column) -> Column:
+    """struct(cases, deaths) of the words before a rate (a double, null for none): NA is null, others are cut by the rate or, without it, before the last."""
+    n = F.size(counts)
+    at = F.when(F.get(counts, F.lit(0)) == "NA", 1).when((rate.isNull()) | (F.get(counts, n - 1) == "NA") | (n == 2), n - 1)
+    plain = F.struct(as_number(F.slice(counts, 1, at)).alias("cases"), as_number(F.slice(counts, at + 1, n)).alias("deaths"))
+    return F.when(at.isNotNull(), plain).otherwise(split_by_rate(counts, rate))
 
-PROVINCE_LINE = r"^(.+?)\**\s+([\d ]+?)\**\s*([\d,]+)\s*%\s+(\d+)\s*(?:/|sur)\s*(\d+)\s*(?:\([\d,]+\s*%\))?\s+(\d+)\s*$"
+
+def parse_zone_lines(lines: DataFrame) -> DataFrame:
+    """Adds name, cases, deaths, cfr and tail (numbers behind) of lines that are zone rows; others are dropped."""
+    df = lines.withColumn("_r", line_parts(F.col("line"))).where("_r IS NOT NULL")
+    df = df.withColumn("cfr", norm_pct(F.col("_r.rate"))).withColumn("_c", two_counts(F.col("_r.counts"), F.col("cfr")))
+    tail = F.filter(F.transform("_r.tail", lambda w: F.regexp_extract(w, r"\d+", 0).try_cast("bigint")), lambda n: n.isNotNull())
+    return df.withColumns({"name": F.col("_r.name"), "cases": F.col("_c.cases"), "deaths": F.col("_c.deaths"), "tail": tail}).drop("_r", "_c")
 
 
 def split_by_rate(numbers: Column, rate: Column) -> Column:
     """struct(cases, deaths): the cut of these tokens into two numbers whose rate is nearest; null for fewer than two or no cases."""
-    joined = lambda a: F.array_join(a, "").try_cast("bigint")
-    cuts = F.transform(F.sequence(F.lit(1), F.size(numbers) - 1), lambda k: F.struct(joined(F.slice(numbers, 1, k)).alias("cases"), joined(F.slice(numbers, k + 1, F.size(numbers))).alias("deaths"), k.alias("k")))
+    cuts = F.transform(F.sequence(F.lit(1), F.size(numbers) - 1), lambda k: F.struct(as_number(F.slice(numbers, 1, k)).alias("cases"), as_number(F.slice(numbers, k + 1, F.size(numbers))).alias("deaths"), k.alias("k")))
     scored = F.transform(F.filter(cuts, lambda c: c["cases"] > 0), lambda c: F.struct(F.abs(100.0 * c["deaths"] / c["cases"] - rate).alias("diff"), c["k"].alias("k"), c["cases"].alias("cases"), c["deaths"].alias("deaths")))
     best = F.array_min(scored)
     return F.when((F.size(numbers) >= 2) & best.isNotNull(), F.struct(best["cases"].alias("cases"), best["deaths"].alias("deaths")))
@@ -103,29 +134,33 @@ def split_by_rate(numbers: Column, rate: Column) -> Column:
 
 def split_to_known(numbers: Column, a: Column, b: Column) -> Column:
     """The cut k after which the tokens make the two known values; null if there is none."""
-    joined = lambda x: F.array_join(x, "").try_cast("bigint")
-    cuts = F.filter(F.sequence(F.lit(1), F.size(numbers) - 1), lambda k: (joined(F.slice(numbers, 1, k)) == a) & (joined(F.slice(numbers, k + 1, F.size(numbers))) == b))
+    cuts = F.filter(F.sequence(F.lit(1), F.size(numbers) - 1), lambda k: (as_number(F.slice(numbers, 1, k)) == a) & (as_number(F.slice(numbers, k + 1, F.size(numbers))) == b))
     return F.when(F.size(numbers) >= 2, F.get(cuts, F.lit(0)))
 
 
 def parse_province_lines(lines: DataFrame) -> DataFrame:
-    """Adds name, confirmed, deaths, cfr, zones, zones_total and new_cases of province rows; others are dropped."""
-    part = lambda n: F.regexp_extract("line", PROVINCE_LINE, n)
-    df = lines.withColumn("name", F.trim(part(1))).where(F.col("name") != "")
-    rate = F.translate(part(3), ",", ".").try_cast("double")
-    df = df.withColumns({"cfr": rate, "_s": split_by_rate(F.split(F.trim(part(2)), r"\s+"), rate)})
-    out = {"confirmed": F.col("_s.cases"), "deaths": F.col("_s.deaths"), "zones": part(4).cast("int"), "zones_total": part(5).cast("int"), "new_cases": part(6).cast("bigint")}
-    return df.withColumns(out).drop("_s").where("confirmed IS NOT NULL")
-
+    """Adds name, confirmed, deaths, cfr, zones, zones_total and new_cases of province rows; others are dropped.
 
-SUBTOTAL = r"^(.+?)\s+(\d+)\s+(\d+)\s+([\d,]+\s*%)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s*$"
+    Behind their rate these rows hold `zones / all zones`, or `zones sur all zones`, perhaps a share in brackets, and new cases.
+    """
+    df = lines.withColumn("_r", line_parts(F.col("line"))).where("_r IS NOT NULL")
+    df = df.withColumn("cfr", norm_pct(F.col("_r.rate"))).withColumn("_s", two_counts(F.col("_r.counts"), F.col("cfr")))
+    behind = F.regexp_replace(F.array_join("_r.tail", " "), r"\(.*?\)", " ")
+    df = df.withColumn("_n", F.filter(F.split(F.regexp_replace(behind, "/|sur", " / "), r"\s+"), lambda w: w != ""))
+    n = lambda i: F.get("_n", F.lit(i)).try_cast("bigint")
+    out = {"name": F.col("_r.name"), "confirmed": F.col("_s.cases"), "deaths": F.col("_s.deaths"), "zones": n(0).cast("int"), "zones_total": n(2).cast("int"), "new_cases": n(3)}
+    whole = (F.size("_n") == 4) & (F.get("_n", F.lit(1)) == "/")
+    return df.where(whole).withColumns(out).drop("_r", "_s", "_n").where("confirmed IS NOT NULL AND zones IS NOT NULL AND zones_total IS NOT NULL AND new_cases IS NOT NULL")
 
 
 def _subtotals(lines: DataFrame) -> DataFrame:
-    part = lambda n: F.regexp_extract("line", SUBTOTAL, n)
-    df = lines.withColumn("name", part(1)).where(F.col("name") != "")
-    fields = ("cases", "deaths", None, "new_cases", "deaths_community", "deaths_centre", "total")
-    return df.withColumns({"cfr": norm_pct(part(4)), **{f: part(n + 2).cast("bigint") for n, f in enumerate(fields) if f}})
+    """Rows with four numbers behind their rate; of more words the first make one number, the new cases."""
+    df = lines.withColumn("_r", line_parts(F.col("line"))).where(F.size("_r.tail") >= 4)
+    df = df.withColumn("cfr", norm_pct(F.col("_r.rate"))).withColumn("_c", two_counts(F.col("_r.counts"), F.col("cfr")))
+    n = F.size("_r.tail")
+    behind = {"new_cases": as_number(F.slice("_r.tail", 1, n - 3)), **{f: F.get("_r.tail", n - 3 + i).try_cast("bigint") for i, f in enumerate(("deaths_community", "deaths_centre", "total"))}}
+    df = df.withColumns({"name": F.col("_r.name"), "cases": F.col("_c.cases"), "deaths": F.col("_c.deaths"), **behind}).drop("_r", "_c")
+    return df.dropna(subset=["cfr", *behind])
 
 
 FIELDS = ("cases", "deaths", "cfr", "new_cases", "deaths_community", "deaths_centre", "total")
@@ -268,15 +303,21 @@ def contact_rate(rows: DataFrame, doc: Sequence[str]) -> DataFrame:
     return df.select(*doc, F.coalesce("printed", "summed", "computed").alias("rate"), method.alias("method"), F.coalesce(warn, F.lit(False)).alias("warning"))
 
 
+def thousands(words: Column) -> Column:
+    """Numbers of these words; three digits behind a number are its thousands."""
+    join = lambda got, w: F.when((F.length(w) == 3) & (F.size(got) > 0), F.concat(F.slice(got, 1, F.size(got) - 1), F.array(F.concat(F.element_at(got, -1), w)))).otherwise(F.concat(got, F.array(w)))
+    return F.transform(F.aggregate(words, F.array().cast("array<string>"), join), lambda w: w.try_cast("bigint"))
+
+
 def contact_rate_lines(lines: DataFrame, title: str, doc: Sequence[str], within: int = 10) -> DataFrame:
-    """(doc, rate, computed): the first `Total … d,d%` of the ten lines from the title on, thousands put together."""
+    """(doc, rate, computed): the first row `Total … d,d%` of the ten lines from the title on; the title is known by its words."""
     w = Window.partitionBy(*doc)
-    at = F.min(F.when(F.col("line").rlike(title), F.col("line_no"))).over(w)
+    bare = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}]+", " "))
+    at = F.min(F.when(bare(F.col("line")).contains(bare(F.lit(title))), F.col("line_no"))).over(w)
     df = lines.withColumn("_at", at).where((F.col("line_no") >= F.col("_at")) & (F.col("line_no") < F.col("_at") + within))
-    pattern = r"^\s*Total\b(.*?)([\d,]+)\s*%\s*$"
-    df = df.withColumn("rate", norm_pct(F.concat(F.regexp_extract("line", pattern, 2), F.lit("%")))).where(F.col("rate").between(0, 100))
-    numbers = F.regexp_extract_all(F.regexp_replace(F.regexp_extract("line", pattern, 1), r"(\d) (?=\d{3}\b)", "$1"), F.lit(r"(\d+)"), F.lit(1))
-    n = lambda i: F.get(numbers, F.lit(i)).try_cast("bigint")
+    df = df.withColumn("_r", line_parts(F.col("line"))).where(F.lower(F.substring_index("_r.name", " ", 1)) == "total").where(F.size("_r.tail") == 0)
+    df = df.withColumn("rate", norm_pct(F.col("_r.rate"))).where(F.col("rate").between(0, 100))
+    n = lambda i: F.get(thousands(F.col("_r.counts")), F.lit(i))
     df = df.withColumn("computed", F.when(n(0) > 0, F.round(100.0 * n(1) / n(0), 1)))
     return df.groupBy(*doc).agg(F.min_by(F.struct("rate", "computed"), "line_no").alias("_t")).select(*doc, "_t.*")
 

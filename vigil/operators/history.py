@@ -110,7 +110,15 @@ def diff_versions(old: DataFrame, new: DataFrame, key: Sequence[str], value: str
 
 
 def recompute_from(history: DataFrame, changed: DataFrame, entity: Sequence[str], values: Sequence[str], date: str = "d") -> DataFrame:
-    """Carry-forward of the dates from the earliest changed one on, from whatever was observed before, in any order of arrival."""
-    begin = changed.agg(F.min(date).alias("_begin"))
-    full = carry_forward(history, history.select(date).distinct(), entity, values, (), date)
-    return full.join(F.broadcast(begin), F.col(date) >= F.col("_begin")).drop("_begin")  # one row
+    """Carry-forward of the dates from the earliest changed one on, whatever the order of arrival; no change gives no rows.
+
+    Of the dates before, only each entity's last values are taken, and carried as if they were of the day before the change.
+    """
+    begin = changed.agg(F.min(date)).first()[0]  # one date
+    if begin is None:
+        return carry_forward(history.limit(0), history.limit(0), entity, values, (), date)
+    later, eve = history.where(F.col(date) >= F.lit(begin)), F.date_sub(F.lit(begin), 1)
+    held = history.where(F.col(date) < F.lit(begin)).groupBy(*entity).agg(F.max_by(F.struct(*values), date).alias("_v"))
+    observed = later.select(*entity, date, *values).unionByName(held.select(*entity, eve.alias(date), "_v.*"))
+    reports = later.select(date).unionByName(history.select(eve.alias(date)).limit(1))
+    return carry_forward(observed, reports, entity, values, (), date).where(F.col(date) >= F.lit(begin))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +16,16 @@ def join_zone(a: DataFrame, b: DataFrame, how: str = "inner", name: str = "zone"
     return a.withColumns(key).join(b.withColumns(key).drop(name, province), ["_z", "_p"], how).drop("_z", "_p")
 
 
-def resolve_zone(ours: DataFrame, reference: DataFrame, name: str = "zone", province: str = "province") -> DataFrame:
-    """ours with `matched` (the reference name) or null: a key unique on both sides matches; otherwise the province must agree and be unique."""
-    key, p = zone_key_tight(zone_key_upper(F.col(name))), zone_key_tight(F.col(province))
+def resolve_zone(ours: DataFrame, reference: DataFrame, aliases: Mapping[str, str] | None = None, name: str = "zone", province: str = "province") -> DataFrame:
+    """ours with `matched` (the reference name) or null: a key unique on both sides matches; otherwise the province must agree and be unique.
+
+    aliases: other spellings and the names they stand for, compared as keys, on both sides.
+    """
+    as_key = lambda c: zone_key_tight(zone_key_upper(c))
+    key, p = as_key(F.col(name)), zone_key_tight(F.col(province))
+    if aliases:
+        known = F.create_map(*(as_key(F.lit(x)) for pair in aliases.items() for x in pair))
+        key = F.coalesce(F.try_element_at(known, key), key)
     a = ours.withColumns({"_k": key, "_p": p})
     a = a.withColumns({"_n": F.count("*").over(Window.partitionBy("_k")), "_np": F.count("*").over(Window.partitionBy("_k", "_p"))})
     b = reference.select(key.alias("_k"), p.alias("_rp"), F.col(name).alias("matched"))

@@ -36,16 +36,13 @@ def cfr(deaths: Column, cases: Column, on_zero: float | None = None) -> Column:
 
 def last_known(series: DataFrame, fields: Sequence[str], keys: Sequence[str], date: str = "d") -> DataFrame:
     """One row a key: for each field its last value that is not null, that value's date and the value known before it."""
+    earlier = Window.partitionBy(*keys).orderBy(F.unix_date(date)).rangeBetween(Window.unboundedPreceding, -1)
+    df = series.withColumns({f"_{f}": F.last(f, ignorenulls=True).over(earlier) for f in fields})
     aggs = []
     for f in fields:
-        top = F.max_by(F.struct(date, f), F.when(F.col(f).isNotNull(), F.col(date)))
-        aggs += [top[f].alias(f"last_{f}"), top[date].alias(f"last_{f}_date")]
-    last = series.groupBy(*keys).agg(*aggs)
-    for f in fields:
-        known = series.where(F.col(f).isNotNull()).join(last.select(*keys, f"last_{f}_date"), list(keys))
-        before = known.where(F.col(date) < F.col(f"last_{f}_date")).groupBy(*keys).agg(F.max_by(f, date).alias(f"previous_{f}"))
-        last = last.join(before, list(keys), "left")
-    return last
+        top = F.max_by(F.struct(date, f, f"_{f}"), F.when(F.col(f).isNotNull(), F.col(date)))
+        aggs += [top[f].alias(f"last_{f}"), top[date].alias(f"last_{f}_date"), top[f"_{f}"].alias(f"previous_{f}")]
+    return df.groupBy(*keys).agg(*aggs)
 
 
 def kpi_delta(last: DataFrame, field: str) -> DataFrame:
@@ -61,21 +58,18 @@ def densify(series: DataFrame, keys: Sequence[str], date: str = "d") -> DataFram
     return days.join(series, [*keys, date], "left")
 
 
-def bridge_gaps(dense: DataFrame, field: str, keys: Sequence[str], date: str = "d", low: float = 0.0, high: float = 100.0, wiggle: bool = False) -> DataFrame:
+def bridge_gaps(dense: DataFrame, field: str, keys: Sequence[str], date: str = "d", low: float = 0.0, high: float = 100.0) -> DataFrame:
     """Adds `bridged` (gaps between known days filled on a straight line, within low..high) and `illustrative`."""
     w = _ordered(keys, date)
     known = F.when(F.col(field).isNotNull(), F.struct(F.col(date).alias("d"), F.col(field).alias("v")))
     a = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    df = dense.withColumns({"_a": a, "_b": b, "_n": F.row_number().over(w) - 1})
+    df = dense.withColumns({"_a": a, "_b": b})
     share = F.datediff(date, "_a.d") / F.datediff("_b.d", "_a.d")
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share
-    if wiggle:
-        x = F.sin(F.col("_n") * 12.9898) * 43758.5453
-        line = line + (x - F.floor(x) - 0.5) * 6
     line = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), line)))
     gap = F.col(field).isNull()
-    return df.withColumns({"bridged": F.when(gap, line).otherwise(F.col(field)), "illustrative": gap & line.isNotNull()}).drop("_a", "_b", "_n")
+    return df.withColumns({"bridged": F.when(gap, line).otherwise(F.col(field)), "illustrative": gap & line.isNotNull()}).drop("_a", "_b")
 
 
 def weekly_deltas(daily: DataFrame, fields: Sequence[str], keys: Sequence[str], date: str = "d") -> DataFrame:

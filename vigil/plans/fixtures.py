@@ -9,6 +9,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+
+
+def spaced(x: str) -> str:
+    """A number below a million as text, a space before its last three digits."""
+    thousands = f"CONCAT(CAST(CAST(FLOOR({x} / 1000) AS BIGINT) AS VARCHAR(20)), ' ', LPAD(CAST({x} % 1000 AS VARCHAR(20)), 3, '0'))"
+    return f"CASE WHEN {x} >= 1000 THEN {thousands} ELSE CAST({x} AS VARCHAR(20)) END"
+
+
 VIEWS: dict[str, str] = {
     "fx_zone_day": """
 SELECT r.r_name AS province, n.n_name AS zone, CAST(o.o_orderdate AS DATE) AS d,
@@ -53,11 +61,12 @@ SELECT CAST(ts AS DATE) AS d,
        ROUND(100.0E0 * SUM(CASE WHEN event_type IN ('click','view','signup') THEN 1 ELSE 0 END) / COUNT(*), 1) AS rate
 FROM events WHERE DAY(CAST(ts AS DATE)) NOT IN (5, 6, 7, 19) GROUP BY CAST(ts AS DATE)
 """,
-    "fx_bulletin_lines": """
+    "fx_bulletin_lines": f"""
 SELECT d AS doc_date, province, zone,
-       CONCAT(zone, CASE WHEN DAY(d) % 2 = 0 THEN '* ' ELSE ' ' END, CAST(cases AS VARCHAR(20)), ' ', CAST(deaths AS VARCHAR(20)), ' ',
-              CASE WHEN cases = 0 THEN 'NA' ELSE CONCAT(REPLACE(CAST(CAST(ROUND(1000.0E0 * deaths / cases, 0) AS BIGINT) / 10 AS VARCHAR(20)), '.', ','), '%') END) AS line
-FROM fx_zone_history
+       CONCAT(zone, CASE WHEN DAY(d) % 2 = 0 THEN '* ' ELSE ' ' END,
+              CASE WHEN DAY(d) = 3 THEN 'NA NA NA' ELSE CONCAT({spaced("cases")}, ' ', {spaced("deaths")}, ' ',
+                REPLACE(CAST(CAST(ROUND(1000.0E0 * deaths / cases, 0) AS BIGINT) / 10 AS VARCHAR(20)), '.', ','), '%') END, ' 3 1') AS line
+FROM (SELECT province, zone, d, cases * 9 AS cases, deaths * 9 AS deaths FROM fx_zone_history) t
 """,
     "fx_report_lines": """
 SELECT doc_date, CAST(ROW_NUMBER() OVER (PARTITION BY doc_date ORDER BY province, kind, zone) AS INT) AS line_no, line
@@ -68,13 +77,14 @@ FROM (SELECT DISTINCT doc_date, province, 0 AS kind, '' AS zone,
       SELECT doc_date, province, 1 AS kind, zone, line FROM fx_bulletin_lines) t
 """,
     "fx_report_cells": """
-SELECT d AS doc_date, 1 AS table_no, zone AS row_key, province, col_no, cell
-FROM (SELECT d, zone, province, 0 AS col_no, zone AS cell FROM fx_zone_day
-      UNION ALL SELECT d, zone, province, 1, CASE WHEN DAY(d) % 4 = 0 THEN '' ELSE NULL END FROM fx_zone_day
-      UNION ALL SELECT d, zone, province, 2, CAST(new_deaths AS VARCHAR(20)) FROM fx_zone_day
-      UNION ALL SELECT d, zone, province, 3, CASE WHEN DAY(d) % 4 = 1 THEN '' ELSE NULL END FROM fx_zone_day
-      UNION ALL SELECT d, zone, province, 4, CAST(new_cases - new_deaths AS VARCHAR(20)) FROM fx_zone_day
-      UNION ALL SELECT d, zone, province, 5, CAST(new_cases + CASE WHEN DAY(d) = 11 THEN 1 ELSE 0 END AS VARCHAR(20)) FROM fx_zone_day) t
+SELECT d AS doc_date, 1 AS table_no, zone AS row_key, province, col_no,
+       CASE col_no WHEN 0 THEN zone
+                   WHEN 1 THEN CASE WHEN DAY(d) % 4 = 0 THEN '' END
+                   WHEN 2 THEN CAST(new_deaths AS VARCHAR(20))
+                   WHEN 3 THEN CASE WHEN DAY(d) % 4 = 1 THEN '' END
+                   WHEN 4 THEN CAST(new_cases - new_deaths AS VARCHAR(20))
+                   ELSE CAST(new_cases + CASE WHEN DAY(d) = 11 THEN 1 ELSE 0 END AS VARCHAR(20)) END AS cell
+FROM fx_zone_day CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS c(col_no)
 """,
     "fx_report_words": """
 SELECT d AS doc_date, 1 AS page_no, x0, 260.0E0 AS top, CASE WHEN DAY(d) = 9 THEN 8.0E0 ELSE 12.0E0 END AS height, text
@@ -83,14 +93,20 @@ FROM (SELECT d, 70.0E0 AS x0, CAST(CAST(FLOOR(confirmed / 1000) AS BIGINT) AS VA
       UNION ALL SELECT d, 80.0E0, CAST(confirmed AS VARCHAR(20)) FROM fx_sitreps WHERE confirmed BETWEEN 0 AND 999
       UNION ALL SELECT d, 170.0E0, CAST(deaths AS VARCHAR(20)) FROM fx_sitreps WHERE deaths IS NOT NULL
       UNION ALL SELECT d, 420.0E0, CAST(recovered AS VARCHAR(20)) FROM fx_sitreps WHERE recovered IS NOT NULL) t
+""",
+    "fx_customer_name": """
+SELECT c_custkey, n_nationkey AS zone_id, n_name AS zone, r_name AS province,
+       CASE c_custkey % 4 WHEN 0 THEN CONCAT(LOWER(n_name), '*')
+                          WHEN 1 THEN CONCAT(REPLACE(n_name, '_', '-'), ' bis')
+                          WHEN 2 THEN REPLACE(n_name, 'TION', 'TON')
+                          ELSE CONCAT('Other ', n_name, ' area') END AS spelled
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """,
     "fx_zone_alias": """
-SELECT n_name AS zone, r_name AS province,
-       CASE n_nationkey % 4 WHEN 0 THEN CONCAT(LOWER(n_name), '*')
-                            WHEN 1 THEN REPLACE(n_name, '_', '-')
-                            WHEN 2 THEN REPLACE(n_name, 'TION', 'TON')
-                            ELSE CONCAT('Other ', n_name, ' area') END AS spelled
-FROM nation JOIN region ON n_regionkey = r_regionkey
+SELECT DISTINCT zone, province, spelled FROM fx_customer_name
+""",
+    "fx_zone_name": """
+SELECT DISTINCT zone, province FROM fx_customer_name
 """,
     "fx_points": """
 SELECT s_suppkey AS point_id, s_nationkey AS zone_id,
@@ -100,9 +116,9 @@ FROM supplier
 """,
     "fx_ring": """
 SELECT n_nationkey AS zone_id, 0 AS ring_no, CAST(s_suppkey AS INT) AS seq,
-       12.204E0 + n_nationkey * 0.8E0 + (s_suppkey % 10) * 0.05E0 AS lon,
-       -13.459E0 + (s_suppkey * 7 % 13) * 0.01E0 AS lat
-FROM nation CROSS JOIN supplier WHERE s_suppkey < 10
+       12.204E0 + n_nationkey * 0.8E0 + (s_suppkey * 37 % 101) * 0.005E0 AS lon,
+       -13.459E0 + (s_suppkey * 53 % 97) * 0.002E0 AS lat
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """,
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.operators import extract as X
@@ -22,14 +23,15 @@ def _(fx):
     return fx.sitreps.select("d", text.alias("text")).select("d", X.labelled_date(F.col("text"), "Date de rapportage", 25).alias("reported"))
 
 
-@query("x2_bulletin_meta", """
-SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lpad(CAST(doc_id % 900 AS VARCHAR), 3, '0') WHEN doc_id % 2 = 0 THEN lpad(CAST((doc_id + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) % 900 AS VARCHAR), 3, '0') END AS sitrep,
- CASE WHEN doc_id % 3 <> 0 AND doc_id % 2 = 0 AND doc_id % 5 = 0 THEN lpad(CAST((doc_id + 1) % 900 AS VARCHAR), 3, '0') END AS source_number_mismatch,
- CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 1 THEN 'no number' END AS error FROM documents""")
+@query("x2_bulletin_meta", r"""
+WITH t AS (SELECT doc_id, doc_id % 4 AS k, lpad(CAST(n_chars % 900 AS VARCHAR), 3, '0') AS a, lpad(CAST((n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) % 900 AS VARCHAR), 3, '0') AS b,
+  lpad(NULLIF(regexp_extract(regexp_replace(text, '\s+', '', 'g'), '(?i)sitrepn[°o]?0*(\d{1,3})', 1), ''), 3, '0') AS own FROM documents)
+SELECT doc_id, CASE WHEN k <> 0 THEN a WHEN doc_id % 8 = 0 THEN b ELSE own END AS sitrep, CASE WHEN k <> 0 THEN CASE WHEN k = 2 THEN CASE WHEN a <> b THEN b END WHEN own <> a THEN own END END AS source_number_mismatch,
+ CASE WHEN k = 0 AND doc_id % 8 <> 0 AND own IS NULL THEN 'no number' END AS error FROM t""")
 def _(fx):
-    k = F.col("doc_id")
-    printed = F.concat(F.lit("Sit Rep  N° "), ((k + F.when(k % 5 == 0, 1).otherwise(0)) % 900).cast("string"), F.lit(" x"))
-    docs = fx.table("documents").select("doc_id", F.when(k % 2 == 0, printed).otherwise("none").alias("text"), F.when(k % 3 != 0, F.lpad((k % 900).cast("string"), 3, "0")).alias("file_id"))
+    k, n = F.col("doc_id"), F.col("n_chars")
+    printed = F.concat(F.lit("Sit Rep  N° "), ((n + F.when(k % 5 == 0, 1).otherwise(0)) % 900).cast("string"), F.lit(" \n"), "text")
+    docs = fx.table("documents").select("doc_id", F.when((k % 4 == 2) | (k % 8 == 0), printed).otherwise(F.col("text")).alias("text"), F.when(k % 4 != 0, F.lpad((n % 900).cast("string"), 3, "0")).alias("file_id"))
     return X.bulletin_meta(docs).select("doc_id", "sitrep", "source_number_mismatch", "error")
 
 
@@ -63,10 +65,11 @@ def _(fx):
 
 
 @query("x6_parse_zone_lines", """
-SELECT h.province, h.zone, h.d AS doc_date, h.zone AS name, h.cases, h.deaths, CASE WHEN h.cases > 0 THEN TRUNC(ROUND(1000.0E0 * h.deaths / h.cases, 0)) / 10 END AS cfr FROM fx_zone_history h""")
+SELECT province, zone, d AS doc_date, zone AS name, CASE WHEN k THEN cases * 9 END AS cases, CASE WHEN k THEN deaths * 9 END AS deaths, CASE WHEN k THEN ROUND(1000.0E0 * deaths / cases, 0) / 10 END AS cfr, 3 AS first_tail, 1 AS second_tail
+FROM (SELECT *, DAY(d) <> 3 AS k FROM fx_zone_history) h""")
 def _(fx):
     out = X.parse_zone_lines(fx.bulletin_lines)
-    return out.select("province", "zone", "doc_date", "name", "cases", "deaths", "cfr")
+    return out.select("province", "zone", "doc_date", "name", "cases", "deaths", "cfr", F.col("tail")[0].cast("int").alias("first_tail"), F.col("tail")[1].cast("int").alias("second_tail"))
 
 
 PROVINCE_LINES = """SELECT province, d AS doc_date, confirmed, CAST(confirmed / 3 AS BIGINT) AS deaths, ROW_NUMBER() OVER (PARTITION BY d ORDER BY province) AS line_no FROM fx_province_history WHERE confirmed > 20"""
@@ -106,11 +109,13 @@ def _(fx):
 
 def subtotal_lines(fx):
     z = fx.zone_day
-    line = lambda name: F.concat(name, F.lit(" "), F.col("new_cases").cast("string"), F.lit(" "), F.col("new_deaths").cast("string"), F.lit(" 12,5% 4 "), F.col("new_cases").cast("string"), F.lit(" 2 9"))
+    spaced = lambda c: F.replace(F.format_number(F.col(c) * 700, 0), F.lit(","), F.lit(" "))
+    rate = F.replace(F.format_string("%.1f", F.round(100.0 * F.col("new_deaths") / F.col("new_cases"), 1)), F.lit("."), F.lit(","))
+    line = lambda name: F.concat(name, F.lit(" "), spaced("new_cases"), F.lit(" "), spaced("new_deaths"), F.lit(" "), rate, F.lit("% 1 204 "), F.col("new_cases").cast("string"), F.lit(" 2 9"))
     return tuple(z.select(F.col("d").alias("doc_date"), F.col("zone").alias("line_no"), line(n).alias("line")) for n in (F.col("province"), F.lit("Total")))
 
 
-ROWS = "SELECT d AS doc_date, {n} AS name, new_cases AS cases, new_deaths AS deaths, 12.5E0 AS cfr, CAST(4 AS BIGINT) AS new_cases, new_cases AS deaths_community, CAST(2 AS BIGINT) AS deaths_centre, CAST(9 AS BIGINT) AS total FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {p} ORDER BY zone {o}) AS n FROM fx_zone_day) t WHERE n = 1"
+ROWS = "SELECT d AS doc_date, {n} AS name, new_cases * 700 AS cases, new_deaths * 700 AS deaths, ROUND(100.0E0 * new_deaths / new_cases, 1) AS cfr, CAST(1204 AS BIGINT) AS new_cases, new_cases AS deaths_community, CAST(2 AS BIGINT) AS deaths_centre, CAST(9 AS BIGINT) AS total FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {p} ORDER BY zone {o}) AS n FROM fx_zone_day) t WHERE n = 1"
 
 
 @query("x10_province_subtotals", ROWS.format(n="province", p="d, province", o="DESC"))
@@ -165,15 +170,14 @@ def _(fx):
 
 
 def numbered_cells(fx):
-    rows = fx.report_cells.select("doc_date", "table_no", "row_key").distinct().selectExpr("doc_date", "table_no", "row_key", "CAST(ROW_NUMBER() OVER (PARTITION BY doc_date ORDER BY row_key) - 1 AS INT) AS row_no")
-    return fx.report_cells.join(rows, ["doc_date", "table_no", "row_key"])
+    return fx.report_cells.withColumn("row_no", F.dense_rank().over(Window.partitionBy("doc_date", "table_no").orderBy("row_key")) - 1)
 
 
 @query("x16_find_table", """
 WITH r AS (SELECT doc_date, zone, ROW_NUMBER() OVER (PARTITION BY doc_date ORDER BY zone) AS n FROM (SELECT d AS doc_date, zone FROM fx_zone_day) q)
-SELECT doc_date, 1 AS table_no FROM r WHERE n <= 2 GROUP BY doc_date HAVING string_agg(zone, ' ') LIKE '%CHINA%' AND string_agg(zone, ' ') NOT LIKE '%BRAZIL%'""")
+SELECT doc_date, 1 AS table_no FROM r WHERE n <= 2 GROUP BY doc_date HAVING contains(string_agg(zone, ' '), 'NATION_1') AND NOT contains(string_agg(zone, ' '), 'NATION_2')""")
 def _(fx):
-    return X.find_table(numbered_cells(fx), ["China"], D, 2, ["Brazil"], 6)
+    return X.find_table(numbered_cells(fx), ["Nation_1"], D, 2, ["Nation_2"], 6)
 
 
 CHECKED = """WITH c AS (SELECT d AS doc_date, zone, new_deaths AS a, new_cases - new_deaths AS b, new_cases + CASE WHEN DAY(d) = 11 THEN 1 ELSE 0 END AS t FROM fx_zone_day)
@@ -196,9 +200,10 @@ def _(fx):
 
 
 @query("x22_infer_column", """
-SELECT d AS doc_date, 1 AS col FROM fx_zone_day GROUP BY d HAVING SUM(new_cases) <> SUM(new_deaths) + 1 AND DAY(d) <> 5""")
+SELECT d AS doc_date, 1 AS col FROM fx_zone_day GROUP BY d HAVING SUM(new_cases) <> SUM(new_deaths) + 1 AND DAY(d) <> 5 AND SUM(CASE WHEN zone = 'NATION_7' THEN 1 ELSE 0 END) = 0
+UNION ALL SELECT d, 0 FROM fx_zone_day GROUP BY d HAVING SUM(new_cases) = SUM(new_deaths) + 1 AND DAY(d) <> 5 AND SUM(CASE WHEN zone = 'NATION_7' THEN 1 ELSE 0 END) > 0""")
 def _(fx):
-    numbers = F.array((F.col("new_deaths") + F.when(F.col("zone") == "CHINA", 0).otherwise(0)), F.col("new_cases"))
+    numbers = F.array("new_deaths", F.when(F.col("zone") != "NATION_7", F.col("new_cases")))  # a gap in the right column
     rows = fx.zone_day.select(F.col("d").alias("doc_date"), "province", numbers.alias("numbers"))
     sums = fx.zone_day.groupBy(F.col("d").alias("doc_date"), "province").agg(F.sum("new_deaths").alias("a"), F.sum("new_cases").alias("b"))
     known = sums.groupBy("doc_date").agg(F.array(F.sum("a") + 1, F.sum("b")).alias("total"), (F.sum("b") + F.when(F.dayofmonth("doc_date") == 5, 7).otherwise(0)).alias("value"))
@@ -228,7 +233,7 @@ def contact_lines(fx):
 
 @query("x26_contact_rate_lines", "SELECT d AS doc_date, 80.0E0 AS rate, 80.0E0 AS computed FROM fx_sitreps WHERE confirmed > 0 AND DAY(d) % 4 <> 0")
 def _(fx):
-    return X.contact_rate_lines(contact_lines(fx), r"(?i)Tableau\s*\d*\s*[.:]\s*Suivi des contacts", D)
+    return X.contact_rate_lines(contact_lines(fx), "Tableau: suivi des contacts", D)
 
 
 def prose(fx):
@@ -250,11 +255,11 @@ def _(fx):
 
 @query("x29_revalidate", """
 WITH g AS (SELECT d AS doc_date, zone, province, cases, deaths FROM fx_zone_history WHERE NOT (cases > 0 AND deaths = 0)),
-t AS (SELECT d AS doc_date, zone, CASE WHEN zone = 'CHINA' THEN 'EUROPE' ELSE province END AS province, cases, deaths + 1 AS deaths FROM fx_zone_history)
-SELECT doc_date, zone, province, cases, deaths FROM g WHERE zone <> 'CHINA' UNION ALL SELECT t.doc_date, t.zone, t.province, t.cases, t.deaths FROM t LEFT JOIN g ON t.doc_date = g.doc_date AND t.zone = g.zone WHERE g.zone IS NULL OR t.zone = 'CHINA'""")
+t AS (SELECT d AS doc_date, zone, CASE WHEN zone = 'NATION_7' THEN 'ELSEWHERE' ELSE province END AS province, cases, deaths + 1 AS deaths FROM fx_zone_history)
+SELECT doc_date, zone, province, cases, deaths FROM g WHERE zone <> 'NATION_7' UNION ALL SELECT t.doc_date, t.zone, t.province, t.cases, t.deaths FROM t LEFT JOIN g ON t.doc_date = g.doc_date AND t.zone = g.zone WHERE g.zone IS NULL OR t.zone = 'NATION_7'""")
 def _(fx):
     rows = fx.zone_history.select(F.col("d").alias("doc_date"), "zone", "province", "cases", "deaths", (F.col("deaths") * 1.0).alias("cfr"))
-    text = rows.withColumns({"province": F.when(F.col("zone") == "CHINA", "EUROPE").otherwise(F.col("province")), "deaths": F.col("deaths") + 1})
+    text = rows.withColumns({"province": F.when(F.col("zone") == "NATION_7", "ELSEWHERE").otherwise(F.col("province")), "deaths": F.col("deaths") + 1})
     return X.revalidate(rows, text, D, "zone").drop("cfr")
 
 
@@ -288,9 +293,9 @@ def _(fx):
 
 
 @query("x37_keyword_context", """
-SELECT doc_date, line_no, line FROM (SELECT *, MAX(CASE WHEN contains(line, 'CHINA') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_date ORDER BY line_no RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM fx_report_lines) t WHERE near = 1""")
+SELECT doc_date, line_no, line FROM (SELECT *, MAX(CASE WHEN contains(line, 'NATION_7') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_date ORDER BY line_no RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM fx_report_lines) t WHERE near = 1""")
 def _(fx):
-    return X.keyword_context(fx.report_lines, "CHINA", 2, D)
+    return X.keyword_context(fx.report_lines, "NATION_7", 2, D)
 
 
 @query("x38_table_profile", """

@@ -158,33 +158,33 @@ SIDES = r"regexp_replace(lower(regexp_replace(zone, '\*', '')), '[^a-z0-9]+', ''
 
 
 @query("j2_resolve_zone", r"""
-WITH o AS (SELECT province, spelled AS zone, regexp_replace(lower(spelled), '[^a-z0-9]+', '', 'g') AS k FROM fx_zone_alias UNION ALL SELECT 'ASIA', 'ALGERIA', 'algeria'),
-r AS (SELECT province, zone, regexp_replace(lower(zone), '[^a-z0-9]+', '', 'g') AS k FROM fx_zone_alias UNION ALL SELECT 'ASIA', 'Algeria', 'algeria'),
+WITH o AS (SELECT province, spelled AS zone, CASE WHEN spelled = 'Other NATION_3 area' THEN 'nation4' ELSE regexp_replace(lower(spelled), '[^a-z0-9]+', '', 'g') END AS k FROM fx_zone_alias WHERE spelled <> 'nation_4*' UNION ALL SELECT 'ASIA', 'ALGERIA', 'algeria'),
+r AS (SELECT province, zone, regexp_replace(lower(zone), '[^a-z0-9]+', '', 'g') AS k FROM fx_zone_name UNION ALL SELECT 'ASIA', 'Algeria', 'algeria'),
 oc AS (SELECT *, COUNT(*) OVER (PARTITION BY k) AS n, COUNT(*) OVER (PARTITION BY k, province) AS np FROM o), rc AS (SELECT *, COUNT(*) OVER (PARTITION BY k) AS n, COUNT(*) OVER (PARTITION BY k, province) AS np FROM r)
 SELECT oc.zone, oc.province, rc.zone AS matched FROM oc LEFT JOIN rc ON oc.k = rc.k AND ((oc.n = 1 AND rc.n = 1) OR (oc.province = rc.province AND oc.np = 1 AND rc.np = 1))""")
 def _(fx):
-    ours = fx.zone_alias.select("province", F.col("spelled").alias("zone")).unionByName(fx.spark.sql("SELECT 'ASIA' AS province, 'ALGERIA' AS zone"))
-    ref = fx.zone_alias.select("province", "zone").unionByName(fx.spark.sql("SELECT 'ASIA' AS province, 'Algeria' AS zone"))
-    return M.resolve_zone(ours, ref)
+    ours = fx.zone_alias.where("spelled <> 'nation_4*'").select("province", F.col("spelled").alias("zone")).unionByName(fx.spark.sql("SELECT 'ASIA' AS province, 'ALGERIA' AS zone"))
+    ref = fx.zone_name.select("province", "zone").unionByName(fx.spark.sql("SELECT 'ASIA' AS province, 'Algeria' AS zone"))
+    return M.resolve_zone(ours, ref, {"other nation-3 area": "Nation 4"})
 
 
 @query("j3_fuzzy_match", r"""
 WITH o AS (SELECT province, spelled, regexp_replace(lower(spelled), '[^a-z0-9]+', '', 'g') AS k FROM fx_zone_alias),
-r AS (SELECT province, zone, regexp_replace(lower(zone), '[^a-z0-9]+', '', 'g') AS k FROM fx_zone_alias),
+r AS (SELECT province, zone, regexp_replace(lower(zone), '[^a-z0-9]+', '', 'g') AS k FROM fx_zone_name),
 e AS (SELECT o.spelled AS zone, o.province, o.k, (SELECT MIN(zone) FROM r WHERE r.k = o.k) AS matched FROM o),
 f AS (SELECT e.zone, e.province, r.zone AS m, levenshtein(e.k, r.k) AS dist, ROW_NUMBER() OVER (PARTITION BY e.zone, e.province ORDER BY levenshtein(e.k, r.k), r.zone) AS n FROM e JOIN r ON e.province = r.province WHERE e.matched IS NULL AND levenshtein(e.k, r.k) <= 2)
 SELECT e.zone, e.province, COALESCE(e.matched, f.m) AS matched, CASE WHEN e.matched IS NOT NULL THEN 0 ELSE CAST(f.dist AS INT) END AS distance,
  CASE WHEN e.matched IS NOT NULL THEN 'exact' WHEN f.m IS NOT NULL THEN 'spelling' ELSE 'missing' END AS status FROM e LEFT JOIN f ON e.zone = f.zone AND e.province = f.province AND f.n = 1""")
 def _(fx):
-    return M.fuzzy_match(fx.zone_alias.select("province", F.col("spelled").alias("zone")), fx.zone_alias.select("province", "zone"))
+    return M.fuzzy_match(fx.zone_alias.select("province", F.col("spelled").alias("zone")), fx.zone_name.select("province", "zone"))
 
 
 @query("j4_name_candidates", r"""
 WITH o AS (SELECT province, spelled AS zone, regexp_replace(lower(spelled), '[^a-z0-9]+', '', 'g') AS k FROM fx_zone_alias),
-s AS (SELECT o.zone, o.province, r.zone AS candidate, ROUND(1 - levenshtein(o.k, regexp_replace(lower(r.zone), '[^a-z0-9]+', '', 'g')) * 1.0E0 / GREATEST(LENGTH(o.k), LENGTH(regexp_replace(lower(r.zone), '[^a-z0-9]+', '', 'g'))), 6) AS score FROM o JOIN fx_zone_alias r ON o.province = r.province),
+s AS (SELECT o.zone, o.province, r.zone AS candidate, ROUND(1 - levenshtein(o.k, regexp_replace(lower(r.zone), '[^a-z0-9]+', '', 'g')) * 1.0E0 / GREATEST(LENGTH(o.k), LENGTH(regexp_replace(lower(r.zone), '[^a-z0-9]+', '', 'g'))), 6) AS score FROM o JOIN fx_zone_name r ON o.province = r.province),
 t AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY zone, province ORDER BY score DESC, candidate) AS INT) AS rank FROM s WHERE score >= 0.6) SELECT zone, province, candidate, score, rank FROM t WHERE rank <= 3""")
 def _(fx):
-    return M.name_candidates(fx.zone_alias.select("province", F.col("spelled").alias("zone")), fx.zone_alias.select("province", "zone"))
+    return M.name_candidates(fx.zone_alias.select("province", F.col("spelled").alias("zone")), fx.zone_name.select("province", "zone"))
 
 
 @query("j5_asof_join", """
@@ -206,10 +206,10 @@ def _(fx):
 
 
 @query("j10_canonical_province", """
-SELECT zone, CASE WHEN zone LIKE 'I%' THEN 'unknown' ELSE province END AS province FROM fx_zone_alias""")
+SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'unknown' ELSE province END AS province FROM fx_customer_name""")
 def _(fx):
-    spelled = F.when(F.col("zone").startswith("I"), "unknown").otherwise(F.replace(F.lower("province"), F.lit(" "), F.lit("-")))
-    return M.canonical_province(fx.zone_alias.select("zone", spelled.alias("province")), fx.table("region").select(F.col("r_name").alias("canonical")))
+    spelled = F.when(F.col("c_custkey") % 7 == 0, "unknown").otherwise(F.replace(F.lower("province"), F.lit(" "), F.lit("-")))
+    return M.canonical_province(fx.customer_name.select("c_custkey", spelled.alias("province")), fx.table("region").select(F.col("r_name").alias("canonical")))
 
 
 @query("j11_validate_against", """

@@ -81,10 +81,10 @@ def _(fx):
     return G.audit_coordinates(p, n, "point_id", (-13.459, 12.204, 5.386, 33.2))
 
 
-@query("g7_unmatched_zones", "SELECT zone, province FROM fx_zone_alias WHERE spelled <> lower(zone) || '*'")
+@query("g7_unmatched_zones", "SELECT zone_id, c_custkey, zone, province FROM fx_customer_name WHERE zone_id NOT IN (SELECT zone_id FROM fx_ring WHERE seq % 40 = 0)")
 def _(fx):
-    known = fx.zone_alias.where(F.col("spelled") == F.concat(F.lower("zone"), F.lit("*"))).select("zone")
-    return G.unmatched_zones(fx.zone_alias.select("zone", "province"), known, "zone")
+    ours = fx.customer_name.select("zone_id", "c_custkey", "zone", "province")
+    return G.unmatched_zones(ours, fx.ring.where("seq % 40 = 0"), "zone_id")
 
 
 @query("g8_within_search_frame", f"""
@@ -93,10 +93,9 @@ def _(fx):
     return G.within_search_frame(fx.points.join(zones(fx), "zone_id"), frames(fx), "province").select("point_id", "inside")
 
 
-@query("g9_name_column_vote", "SELECT 'n_name' AS \"column\", COUNT(*) AS hits FROM nation")
+@query("g9_name_column_vote", "SELECT 'zone' AS \"column\", COUNT(DISTINCT zone) AS hits FROM fx_customer_name")
 def _(fx):
-    attrs = fx.table("nation").withColumn("note", F.lit("x"))
-    return G.name_column_vote(attrs, zones(fx), ["n_name", "n_regionkey", "note"], "zone")
+    return G.name_column_vote(fx.customer_name, zones(fx), ["zone", "c_custkey", "spelled"], "zone")
 
 
 @query("j12_frame_zones", f"""
@@ -201,5 +200,6 @@ def _(fx):
     base = scratch(fx, "stream")
     rows = fx.province_history.withColumn("rev", F.lit(0)).unionByName(fx.province_history.where(F.dayofmonth("d") == 3).withColumns({"confirmed": F.col("confirmed") + 1, "rev": F.lit(1)}))
     rows.repartition(4).write.json(f"{base}/in")
-    I.ingest_stream(fx.spark, f"{base}/in", "province STRING, d DATE, confirmed BIGINT, rev INT", f"{base}/history", f"{base}/seen", ["province", "d"], ["rev"]).awaitTermination()
-    return I.current(fx.spark, f"{base}/history").drop("rev")
+    schema = "province STRING, d DATE, confirmed BIGINT, rev INT"
+    I.ingest_stream(fx.spark, f"{base}/in", schema, f"{base}/history", f"{base}/seen", ["province", "d"], F.year("d"), ["rev"]).awaitTermination()
+    return I.current(fx.spark, f"{base}/history", schema).drop("rev")

@@ -175,13 +175,13 @@ def _(fx):
 
 
 @query("w13_advance_status", """
-WITH p AS (SELECT n_name AS zone, CASE n_nationkey % 3 WHEN 0 THEN 'epicentre' WHEN 1 THEN 'active' END AS status, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS INT) END AS days_no_case FROM nation WHERE n_nationkey % 5 <> 4),
-t AS (SELECT n_name AS zone, CASE WHEN n_nationkey % 4 = 0 THEN CAST(1 AS BIGINT) WHEN n_nationkey % 4 = 1 THEN CAST(0 AS BIGINT) END AS new_cases FROM nation)
+WITH p AS (SELECT c_custkey AS zone, CASE c_custkey % 3 WHEN 0 THEN 'epicentre' WHEN 1 THEN 'active' END AS status, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 90 AS INT) END AS days_no_case FROM customer WHERE c_custkey % 5 <> 4),
+t AS (SELECT c_custkey AS zone, CASE WHEN c_custkey % 4 = 0 THEN CAST(1 AS BIGINT) WHEN c_custkey % 4 = 1 THEN CAST(0 AS BIGINT) END AS new_cases FROM customer)
 SELECT t.zone, CASE WHEN COALESCE(new_cases, 0) > 0 AND status = 'epicentre' THEN 'epicentre' WHEN COALESCE(new_cases, 0) > 0 OR status IS NULL THEN 'active' ELSE status END AS status,
  CASE WHEN COALESCE(new_cases, 0) > 0 THEN NULL ELSE days_no_case + 1 END AS days_no_case FROM t LEFT JOIN p ON t.zone = p.zone""")
 def _(fx):
-    prev = fx.sql("SELECT n_name AS zone, CASE n_nationkey % 3 WHEN 0 THEN 'epicentre' WHEN 1 THEN 'active' END AS status, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS INT) END AS days_no_case FROM nation WHERE n_nationkey % 5 <> 4")
-    today = fx.sql("SELECT n_name AS zone, CASE WHEN n_nationkey % 4 = 0 THEN CAST(1 AS BIGINT) WHEN n_nationkey % 4 = 1 THEN CAST(0 AS BIGINT) END AS new_cases FROM nation")
+    prev = fx.sql("SELECT c_custkey AS zone, CASE c_custkey % 3 WHEN 0 THEN 'epicentre' WHEN 1 THEN 'active' END AS status, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 90 AS INT) END AS days_no_case FROM customer WHERE c_custkey % 5 <> 4")
+    today = fx.sql("SELECT c_custkey AS zone, CASE WHEN c_custkey % 4 = 0 THEN CAST(1 AS BIGINT) WHEN c_custkey % 4 = 1 THEN CAST(0 AS BIGINT) END AS new_cases FROM customer")
     return S.advance_status(prev, today, "zone")
 
 

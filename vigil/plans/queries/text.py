@@ -40,22 +40,22 @@ def _(fx):
 
 
 @query("f5_zone_key_upper", r"""
-SELECT spelled, upper(regexp_replace(trim(regexp_replace(trim(spelled), '\*+$', '')), '[-\s]+', ' ', 'g')) AS key FROM fx_zone_alias""")
+SELECT c_custkey, spelled, upper(regexp_replace(trim(regexp_replace(trim(spelled), '\*+$', '')), '[-\s]+', ' ', 'g')) AS key FROM fx_customer_name""")
 def _(fx):
-    return fx.zone_alias.select("spelled", T.zone_key_upper(F.col("spelled")).alias("key"))
+    return fx.customer_name.select("c_custkey", "spelled", T.zone_key_upper(F.col("spelled")).alias("key"))
 
 
 @query("f6_zone_key_tight", r"""
-SELECT spelled, replace(trim(regexp_replace(strip_accents(lower(spelled)), '[^a-z0-9]+', ' ', 'g')), ' ', '') AS tight,
-  trim(regexp_replace(strip_accents(lower(spelled)), '[^a-z0-9]+', ' ', 'g')) AS loose FROM fx_zone_alias""")
+SELECT c_custkey, spelled, replace(trim(regexp_replace(strip_accents(lower(spelled)), '[^a-z0-9]+', ' ', 'g')), ' ', '') AS tight,
+  trim(regexp_replace(strip_accents(lower(spelled)), '[^a-z0-9]+', ' ', 'g')) AS loose FROM fx_customer_name""")
 def _(fx):
     c = F.col("spelled")
-    return fx.zone_alias.select("spelled", T.zone_key_tight(c).alias("tight"), T.zone_key_tight(c, tight=False).alias("loose"))
+    return fx.customer_name.select("c_custkey", "spelled", T.zone_key_tight(c).alias("tight"), T.zone_key_tight(c, tight=False).alias("loose"))
 
 
-@query("f7_zone_key_lower", r"SELECT spelled, regexp_replace(lower(trim(spelled)), '[\s-]+', ' ', 'g') AS key FROM fx_zone_alias")
+@query("f7_zone_key_lower", r"SELECT c_custkey, spelled, regexp_replace(lower(trim(spelled)), '[\s-]+', ' ', 'g') AS key FROM fx_customer_name")
 def _(fx):
-    return fx.zone_alias.select("spelled", T.zone_key_lower(F.col("spelled")).alias("key"))
+    return fx.customer_name.select("c_custkey", "spelled", T.zone_key_lower(F.col("spelled")).alias("key"))
 
 
 FILES = "SELECT doc_id, 'reports/SitRep_' || lpad(CAST(doc_id AS VARCHAR), 3, '0') || CASE doc_id % 4 WHEN 1 THEN '_bis' WHEN 2 THEN '-TER' WHEN 3 THEN 'x' ELSE '' END || '.pdf' AS name FROM documents"
@@ -141,12 +141,12 @@ def _(fx):
 
 
 @query("x31_is_placeholder", """
-SELECT n_name, label, upper(label) LIKE '%AUTRES ZONE%' OR upper(label) LIKE '%NON IDENTIFI_E%' OR upper(label) LIKE '%NON PR_CIS_E%' OR label IN ('Karissibi', 'Kilo Mission') AS placeholder
-FROM (SELECT n_name, CASE n_nationkey % 5 WHEN 0 THEN 'Autres zones' WHEN 1 THEN n_name || ' (zone non précisée)' WHEN 2 THEN 'Kilo Mission' WHEN 3 THEN 'zones non identifiées' ELSE n_name END AS label FROM nation) t""")
+SELECT c_custkey, label, upper(label) LIKE '%AUTRES ZONE%' OR upper(label) LIKE '%NON IDENTIFI_E%' OR upper(label) LIKE '%NON PR_CIS_E%' OR label IN ('Karissibi', 'Kilo Mission') AS placeholder
+FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Autres zones' WHEN 1 THEN spelled || ' (zone non précisée)' WHEN 2 THEN 'Kilo Mission' WHEN 3 THEN 'zones non identifiées' ELSE spelled END AS label FROM fx_customer_name) t""")
 def _(fx):
-    k = F.col("n_nationkey") % 5
-    label = F.when(k == 0, "Autres zones").when(k == 1, F.concat("n_name", F.lit(" (zone non précisée)"))).when(k == 2, "Kilo Mission").when(k == 3, "zones non identifiées").otherwise(F.col("n_name"))
-    return fx.table("nation").select("n_name", label.alias("label")).withColumn("placeholder", T.is_placeholder(F.col("label")))
+    k = F.col("c_custkey") % 5
+    label = F.when(k == 0, "Autres zones").when(k == 1, F.concat("spelled", F.lit(" (zone non précisée)"))).when(k == 2, "Kilo Mission").when(k == 3, "zones non identifiées").otherwise(F.col("spelled"))
+    return fx.customer_name.select("c_custkey", label.alias("label")).withColumn("placeholder", T.is_placeholder(F.col("label")))
 
 
 @query("x32_is_non_zone", r"""

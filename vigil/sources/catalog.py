@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import report_id
 
-#: Explicit schemas of the history documents.
+# Key names of the JSON files that are read.
 SCHEMAS = {
     "sitreps": "date DATE, confirmed BIGINT, deaths BIGINT, recovered BIGINT, approx BOOLEAN",
     "province_history": "date DATE, provinces ARRAY<STRUCT<name STRING, confirmed BIGINT>>",
@@ -51,14 +51,13 @@ def latest_report(files: DataFrame) -> DataFrame:
     return files.agg(F.max("sitrep").alias("sitrep"), F.max_by("path", "sitrep").alias("path"))
 
 
-WEEKLY = r"_(\d+)_(\d{4}-\d{2}-\d{2})\.pdf$"
-
-
 def weekly_index(files: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
-    """((number, date, path), rejected paths): names end in _NN_yyyy-mm-dd.pdf."""
-    good = F.col(path).rlike(WEEKLY)
-    named = files.where(good).select(F.regexp_extract(path, WEEKLY, 1).alias("number"), F.try_to_date(F.regexp_extract(path, WEEKLY, 2), "yyyy-MM-dd").alias("date"), path)
-    return named, files.where(~F.coalesce(good, F.lit(False))).select(path)
+    """((number, date, path), rejected paths): the last two parts of a name, between underscores, are a number and a day."""
+    name = F.element_at(F.split(path, "/"), -1)
+    parts = F.split(F.when(name.endswith(".pdf"), F.substring(name, F.lit(1), F.length(name) - 4)), "_")
+    number, day = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
+    good = F.coalesce((F.size(parts) > 2) & (F.translate(number, "0123456789", "") == "") & (number != "") & (F.translate(day, "0123456789", "##########") == "####-##-##"), F.lit(False))
+    return files.where(good).select(number.alias("number"), F.try_to_date(day, "yyyy-MM-dd").alias("date"), path), files.where(~good).select(path)
 
 
 LINK = r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -103,7 +102,9 @@ def fetch_backlog(links: DataFrame, archived: DataFrame, key: str) -> DataFrame:
 
 def title_to_number(c: Column) -> Column:
     """The number after N, three digits wide; else the title's first 20 characters, other signs as underscores."""
-    number = F.regexp_extract(c, r"(?i)N[°O]?\s*0*(\d{1,3})", 1)
+    behind = F.transform(F.slice(F.split(F.upper(c), "N"), 2, 1000), lambda x: F.ltrim(x, F.lit("°O ")))
+    first = F.get(F.filter(behind, lambda x: x.rlike("^[0-9]")), F.lit(0))
+    number = F.coalesce(F.regexp_extract(first, "^0*([0-9]{1,3})", 1), F.lit(""))
     return F.when(number != "", F.lpad(number, 3, "0")).otherwise(F.substring(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", "_"), 1, 20))
 
 

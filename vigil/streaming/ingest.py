@@ -4,47 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vigil.functions.session import checkpointed
 from vigil.operators.history import upsert
 
+PART = "_part"
 
-def _version(spark: SparkSession, history: str) -> int:
-    """The last complete version of a history folder; -1 if there is none."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(history)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return -1
-    names = [s.getPath() for s in fs.listStatus(fs_path)]
-    done = [int(p.getName()[1:]) for p in names if p.getName().startswith("v") and fs.exists(p.suffix("/_SUCCESS"))]
-    return max(done, default=-1)
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
-def current(spark: SparkSession, history: str) -> DataFrame | None:
-    n = _version(spark, history)
-    return None if n < 0 else spark.read.parquet(f"{history}/v{n}")
+
+def _history(spark: SparkSession, history: str, schema: str) -> DataFrame:
+    """The history with its parts as texts; no rows if there is none yet."""
+    typed = spark.createDataFrame([], schema).withColumn(PART, F.lit("").cast("string"))
+    return spark.read.schema(typed.schema).parquet(history) if _exists(spark, history) else typed
+
+
+def current(spark: SparkSession, history: str, schema: str) -> DataFrame:
+    return _history(spark, history, schema).drop(PART)
 
 
 def ingest_stream(
-    spark: SparkSession, source: str, schema: str, history: str, checkpoint: str, keys: Sequence[str], order: Sequence[str] = ()
+    spark: SparkSession, source: str, schema: str, history: str, checkpoint: str, keys: Sequence[str], by: Column, order: Sequence[str] = ()
 ) -> StreamingQuery:
-    """Processes files not seen yet; each batch writes the version after the one it read, last wins.
+    """Processes files not seen yet into one history, last wins.
 
-    A batch is a version: one that is run again after a failure writes the same version from the
-    same one before, so replays change nothing. The checkpoint keeps the seen files.
+    by: which part of the history a row belongs to, by its keys alone (a month, a bucket of keys). A batch
+    reads and rewrites only the parts that its rows fall in; Spark replaces these as it commits. Merging is by
+    key, so a batch that is run again after a failure, or by a stream with a new checkpoint, changes
+    nothing that it wrote before, and rows of other streams stay. One stream writes a history at a time.
+    The checkpoint keeps the seen files.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = batch.dropna(subset=list(keys))
-        if batch_id == 0:
-            empty = session.createDataFrame([], batch.schema)
-            out = upsert(empty, rows, keys, order)
-        else:
-            out = upsert(session.read.parquet(f"{history}/v{batch_id - 1}"), rows, keys, order)
-        out.write.mode("overwrite").parquet(f"{history}/v{batch_id}")
+        rows = checkpointed(batch.dropna(subset=list(keys)).withColumn(PART, F.coalesce(by.cast("string"), F.lit("none"))))
+        touched = rows.select(PART).distinct()
+        old = _history(session, history, schema).join(F.broadcast(touched), PART, "left_semi").select(rows.columns)  # parts are few
+        merged = checkpointed(upsert(old, rows, list(keys), order))
+        merged.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(history)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).json(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
