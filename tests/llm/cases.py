@@ -4,7 +4,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for results or on the way.
-CLASH = ["k1", "k2", "_text", "_row", "first", "last", "kept", "size", "taken", "target", "score", "ids", "n_tokens", "simhash", "cell", "order_minhash", "ID"]
+CLASH = ["k1", "k2", "_text", "_row", "first", "last", "kept", "size", "taken", "target", "score", "ids", "n_tokens", "simhash", "cell", "order_minhash", "ID", "_h", "_g", "h", "g", "f", "k", "root", "wide", "shingles", "toxicity", "_toxicity", "_group", "_added", "_head", "_serves", "_times", "next_text", "lang_pred", "half", "y", "t"]
 
 
 def documents(spark, n=120):

@@ -68,15 +68,84 @@ def test_order_minhash_hears_order_and_repeats(spark):
     assert like(0, 1) < 1  # the same k-mers but for the seam, in another order
 
 
-def test_order_minhash_against_python(spark):
-    df = documents(spark, 40).select("doc_id", "text").where("length(text) < 900")
-    pairs = {}
-    for r in orderminhash.fingerprints(df).collect():
-        pairs[r["text"]] = r["order_minhash"]
-    # k-mers numbered by occurrence: texts with the same numbered k-mers in order are the same tokens
-    for a, b in itertools.combinations(pairs, 2):
-        if a.split() == b.split():
-            assert pairs[a] == pairs[b]
+def plain_order_minhash(text, size=64, k=3, tuple_size=2):
+    """Order MinHash as its docstring says, one order after the other."""
+    import re
+
+    import xxhash
+
+    def chained(*values, seed=42):  # as xxhash64 takes several values
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v % (1 << 64)).to_bytes(8, "little"), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    small = lambda *values: signed(xxhash.xxh64_intdigest(values[1].to_bytes(4, "little"), xxhash.xxh64_intdigest(values[0].to_bytes(4, "little"), 42)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [chained(t) for t in re.findall(r"[^\x20\x09-\x0D]{1,8}", text or "")]
+    if not h:
+        return [0] * size
+    grams = [chained(*h[i : i + k]) for i in range(len(h) - k + 1)] if len(h) >= k else [chained(*h)]
+    seen, numbered = collections.Counter(), []
+    for i, g in enumerate(grams):
+        n = seen[g]
+        seen[g] += 1
+        again = (chained(g) if n else g) if n == 0 else signed(xxhash.xxh64_intdigest(n.to_bytes(4, "little"), xxhash.xxh64_intdigest((g % (1 << 64)).to_bytes(8, "little"), 42)))
+        numbered.append((again, i))
+    cell = lambda g: min(size - 1, (g + (1 << 63)) // ((1 << 64) // size))
+    out = []
+    for j in range(size):
+        rank = lambda c: -(1 << 63) if c == j else small(j, c)  # noqa: E731, B023
+        least = sorted(numbered, key=lambda x: (rank(cell(x[0])), cell(x[0]), *x))[:tuple_size]
+        out.append(chained(*(g for g, _ in sorted(least, key=lambda x: (x[1], x[0])))) % 65535 + 1)
+    return out
+
+
+@pytest.mark.parametrize("tuple_size", [2, 3])
+def test_order_minhash_against_python(spark, tuple_size):
+    rng = random.Random(12)
+    texts = [None, "", "one", "one two", "a a a a a a", "longer words than eight letters", "été 日本語 😀"]
+    texts += [" ".join(rng.choices(["x", "y", "zeta", "omega", "extraordinary", "né"], k=rng.choice([3, 5, 9, 40, 200, 900]))) for _ in range(40)]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["order_minhash"] for r in orderminhash.fingerprints(df, tuple_size=tuple_size).collect()}
+    for n, t in enumerate(texts):
+        assert got[n] == plain_order_minhash(t, tuple_size=tuple_size), t
+
+
+def test_order_minhash_orders_are_independent(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for n in range(100):
+        a = [word() for _ in range(8)]
+        rows.append((n, " ".join(a), " ".join([*a[:6], word(), word()])))
+    df = spark.createDataFrame(rows, "n int, a string, b string").select(orderminhash.signature(F.col("a")).alias("a"), orderminhash.signature(F.col("b")).alias("b")).toPandas()
+    assert np.mean([len(set(x)) for x in df.a]) > 12  # of 15 pairs of six k-mers
+    assert np.std([np.mean(np.array(x) == np.array(y)) for x, y in zip(df.a, df.b)]) < 0.1
+
+
+def test_order_minhash_digests_against_python(spark):
+    docs = documents(spark, 30).where("doc_id IS NOT NULL AND doc_id < 900").dropDuplicates(["doc_id"])
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    like = lambda a, b: np.mean(np.array(a) == np.array(b))
+    sign = {t: plain_order_minhash(t) for _, t in rows}
+    got = {r["doc_id"]: r for r in orderminhash.digests(docs).collect()}
+    for n, (d, t) in enumerate(rows):
+        after, third = rows[(n + 1) % len(rows)][1], len(t) // 3
+        edited = plain_order_minhash(t[: len(t) - third] + after[:third])
+        assert got[d]["fingerprint"] == "".join(f"{x:04x}" for x in sign[t])
+        assert got[d]["edited_fingerprint"] == "".join(f"{x:04x}" for x in edited)
+        assert got[d]["near_edited"] == pytest.approx(like(sign[t], edited)) and got[d]["near_next"] == pytest.approx(like(sign[t], sign[after]))
+
+
+def test_order_minhash_hard_cases(spark):
+    docs = documents(spark)
+    assert orderminhash.digests(docs.limit(0)).count() == 0
+    assert orderminhash.digests(docs.limit(1)).count() == 1
+    unclashed(orderminhash.fingerprints(clashing(docs)), ["order_minhash"])
+    mixed = clashing(docs).drop("next_text")
+    out = orderminhash.with_next(mixed, lambda x: x, ["text"])
+    assert out.count() == docs.count() and set(out.columns) == {*mixed.columns, "next_text"}
+    unclashed(out, ["next_text"])
 
 
 def test_neighbours_over_many_groups(spark, monkeypatch):
@@ -139,6 +208,116 @@ def test_toxic_documents_go(spark):
     assert left[0] > 0.98 * total[0] and left.get(1, 0) < 0.25 * total[1]
 
 
+def plain_ftrl(rows, labels, epochs, seed, alpha=1.0, beta=1.0, l1=6.0, l2=1.0):
+    """FTRL-proximal for one coordinate after the other."""
+    import math
+
+    z, n, bias = collections.defaultdict(float), collections.defaultdict(float), 1 << toxicity.BITS
+
+    def weight(i):
+        low = 0.0 if i == bias else l1
+        return 0.0 if abs(z[i]) <= low else -(z[i] - math.copysign(low, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            at = [*rows[k].tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - labels[k]
+            for i in at:
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in n if n[i] > 0}
+
+
+def test_ftrl_against_python():
+    rng = random.Random(4)
+    rows = [np.array(sorted(rng.sample(range(300), rng.randint(0, 25))), np.int64) for _ in range(400)]
+    labels = np.array([float(len({3, 7, 11} & set(x.tolist())) > 0) for x in rows])
+    at, w, seen = toxicity.ftrl(rows, labels, 3, 5)
+    want = plain_ftrl(rows, labels, 3, 5)
+    assert set(at.tolist()) == set(want) and seen.min() == 1
+    assert np.allclose(w, [want[i] for i in at.tolist()])
+    assert (w == 0).sum() > 50 and w[np.searchsorted(at, 3)] > 0
+
+
+def test_features_against_python():
+    kept = toxicity.WordHashes()
+    texts = ["Toxic words, toxic WORDS again", None, "", "one", "a b"]
+    found, at = toxicity.features(texts, kept)
+
+    def hashed(w):
+        return zlib.crc32(w.encode())
+
+    def top(x):
+        return x % (1 << 64) >> (64 - toxicity.BITS)
+
+    one, near, gap, stems = (int(x) for x in (toxicity.ONE, toxicity.NEXT, toxicity.GAP, toxicity.STEMS))
+    for n, t in enumerate(texts):
+        w = toxicity.WORD.findall((t or "").lower())
+        want = [top((hashed(x) + 1) * one) for x in w] + [top((hashed(x[: toxicity.STEM]) ^ stems) * one) for x in w]
+        for apart, by in ((1, near), (2, gap)):
+            want += [top((((hashed(x) * near + hashed(y) + 1) % (1 << 64)) ^ by) * one) for x, y in zip(w, w[apart:])]
+        assert sorted(found[at[n] : at[n + 1]].tolist()) == sorted(want)
+
+
+def test_language_against_python(spark):
+    docs = documents(spark, 60).unionByName(spark.createDataFrame([(960 + i, "пример текста " * (i + 1), "ru", None, 1) for i in range(4)], documents(spark).schema))
+    dim, names = language.DIM, None
+
+    def vector(text):
+        codes = [0]
+        for c in f" {text} ":
+            x = language.letter_code(ord(c)) if c.isalpha() else 0
+            if x or codes[-1]:
+                codes.append(x)
+        codes = codes if codes[-1] == 0 else [*codes, 0]
+        out = np.zeros(dim)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            out += np.roll(language.signs(a), 2).astype(int) * np.roll(language.signs(b), 1) * language.signs(c)
+        return out
+
+    has = lambda t: any(c.isalpha() for c in t or "")
+    norm = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    rows, sums = docs.collect(), collections.defaultdict(lambda: np.zeros(dim))
+    for r in rows:
+        if r["lang"] is not None and r["doc_id"] is not None and not held(r["doc_id"]):
+            sums[r["lang"]] += norm(vector(r["text"])) if has(r["text"]) else 0
+    names = sorted(sums)
+    prototypes = np.array([norm(sums[x]) for x in names])
+    got = collections.Counter((r["doc_id"], r["lang_pred"], round(r["score"], 3)) for r in language.predictions(docs).collect())
+    want = collections.Counter()
+    for r in rows:
+        cosine = prototypes @ norm(vector(r["text"])) if has(r["text"]) else None
+        soft = None if cosine is None else np.exp(language.SHARP * (cosine - cosine.max()))
+        want[(r["doc_id"], "und" if soft is None else names[int(cosine.argmax())], 0.0 if soft is None else round(float(soft.max() / soft.sum()), 3))] += 1
+    assert got == want
+
+
+def test_quality_differences_against_python(spark):
+    import zstandard
+
+    docs = documents(spark, 40)
+    good, bad = b"the of and alpha beta gamma " * 60, "été löwe x1 Delta ".encode() * 60
+    got = {(r["doc_id"], r["text"]): r["x"] for r in quality.differences(docs, (bad, good), "text", "x").collect()}
+    for (_, t), x in got.items():
+        raw, sizes = (t or "").encode(), []
+        for content in (bad, good):
+            by = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(by.compress(raw[a : a + quality.CHUNK])) for a in range(0, len(raw), quality.CHUNK)))
+        assert x == pytest.approx((sizes[0] - sizes[1]) / max(1, len(raw)))
+
+
+def test_dictionary_samples_are_chosen_by_hash(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i} " * 400) for i in range(400)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    monkeypatch.setattr(quality, "SAMPLES", 100)
+    (bad, good), knots, values = quality.train(docs, labels)
+    seen = {int(x) for x in __import__("re").findall(rb"text (\d+) ", good)}
+    assert len(seen) > 10 and max(seen) > 200 and min(seen) < 200  # from all over the table
+
+
 def test_language(spark):
     docs = table(spark, "documents")
     out = language.predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
@@ -155,7 +334,7 @@ def test_language_hard_cases(spark):
     assert out[906]["lang_pred"] in ("en", "fr") and out[952]["lang_pred"] in ("en", "fr")
     assert language.predictions(docs.limit(0)).count() == 0
     assert {r["lang_pred"] for r in language.predictions(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-    unclashed(language.identify(clashing(docs), (["en"], np.ones((1, language.DIM), np.float32))), ["score"])
+    unclashed(language.identify(clashing(docs), (["en"], np.ones((1, language.DIM), np.float32))), ["lang_pred", "score"])
 
 
 def test_ngram_vectors_are_bound_letters():
@@ -324,6 +503,39 @@ def test_suffix_array_and_common_prefixes():
             assert min(n, length) == min(common[b], length)
 
 
+def test_strings_are_told_apart_by_their_bytes(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 3, 6000).astype(np.uint8)  # with zero bytes
+    data[4000:4700] = data[100:800]
+    data[5000:5100] = 0
+    places, length = np.arange(len(data) - 59), 60
+    count = collections.Counter(bytes(data[p : p + length]) for p in places)
+    want = np.array([count[bytes(data[p : p + length])] > 1 for p in places])
+    key = repeats.rolled(suffixes.VALUE[data], length)
+    for cut in (1 << 20, length * 40):
+        monkeypatch.setattr(suffixes, "SLICE", cut)
+        for clash in (1, 7, 1000):  # that many different hashes only
+            assert (suffixes.looked_up(data, places, key % np.uint64(clash), length) == want).all()
+        assert (suffixes.looked_up(data, places, key, length) == want).all()
+
+
+@pytest.mark.parametrize(("length", "sizes"), [(35, [9, 18, 35]), (9, [3, 5, 9]), (2, [1, 2]), (3, [1, 2, 3])])
+def test_levels_double(length, sizes):
+    assert windows.levels(length) == sizes
+    assert all(short < long <= 2 * short for short, long in zip(sizes, sizes[1:]))
+
+
+def test_windows_climb_by_content_alone():
+    rng = np.random.default_rng(2)
+    x = repeats.mixed(rng.integers(0, 40, 500).astype(np.uint64))
+    x[300:420] = x[50:170]
+    starts, places, _ = windows.climbed(x, np.array([0, 500]), [9, 18, 35])
+    for n in range(86):
+        assert all(p[300 + n] - (300 + n) == p[50 + n] - (50 + n) for p in places)
+    for short, long, sizes in ((places[0], places[1], (9, 18)),):
+        assert ((long <= short) & (short + sizes[0] <= long + sizes[1])).all() and ((starts <= long) & (long + sizes[1] <= starts + 35)).all()
+
+
 def test_anchors_depend_on_content_alone():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 5, 400).astype(np.uint64)
@@ -482,17 +694,80 @@ def test_components_of_chains_and_none(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def shingle_set(text, words=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+
+
+def true_groups(texts, least=0.8):
+    """The root of each text; links are likenesses of shingle sets, found through every shared shingle."""
+    sets = list({shingle_set(t) for t in texts})
+    with_it = collections.defaultdict(list)
+    for n, s in enumerate(sets):
+        for x in s:
+            with_it[x].append(n)
+    shared = collections.Counter()
+    for own in with_it.values():
+        if len(own) < 200:
+            shared.update(itertools.combinations(own, 2))
+    links = {(a, b) for (a, b), n in shared.items() if n >= least * (len(sets[a]) + len(sets[b]) - n)}
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    return {s: find(n) for n, s in enumerate(sets)}, len(links)
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = clashing(documents(spark))
-    kept = simhash.drop_near_duplicates(docs, words=3)
+    kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     unclashed(kept)
-    groups = {brute_fingerprint(r["text"]) for r in docs.collect()}
-    roots = set(components_of(groups, lambda a, b: (a ^ b).bit_count() <= 2).values())
-    assert kept.count() == len(roots)
+    roots, _ = true_groups([r["text"] for r in docs.collect()])
+    assert kept.count() == len(set(roots.values()))
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_by_likeness(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows, n = [], 0
+    for _ in range(60):  # a text, one with a few words changed, one with many
+        base = [word() for _ in range(rng.choice([30, 120, 600]))]
+        for share in (0, 0.005, 0.015, 0.1):
+            own = [word() if rng.random() < share else w for w in base]
+            rows.append((n := n + 1, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    roots, links = true_groups([t for _, t in rows])
+    of = {d: roots[shingle_set(t)] for d, t in rows}
+    least = {r: min(d for d in of if of[d] == r) for r in set(of.values())}
+    assert links > 60 and set(least.values()) <= kept
+    gone = len(rows) - len(least)
+    assert len(kept) - len(least) <= 0.1 * gone  # of those that should go
+
+
+def test_near_copies_of_a_crowded_group(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, 1200):
+        own = list(base)
+        for p in rng.sample(range(300), rng.randint(0, 4)):
+            own[p] = word()
+        rows.append((n, " ".join(own)))
+    rows += [(2000 + n, " ".join(base[:60] + [word() for _ in range(100)])) for n in range(200)]  # share a passage only
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2000 + n for n in range(200)} <= kept and 0 in kept
+    assert len(kept) <= 201 + 12
+
+
 # --- 7: mixing
 
 
@@ -533,6 +808,35 @@ def test_mixing(spark, which):
             assert abs(taken[s] - target[s]) <= 1
 
 
+def test_fit_is_the_best_subset_sum(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(200):
+        counts = {rng.randint(1, 60) * rng.choice([1, 1, 2, 3]): rng.randint(1, 6) for _ in range(rng.randint(1, 10))}
+        budget = rng.randint(0, sum(s * c for s, c in counts.items()))
+        sums = {0}
+        for s, c in counts.items():
+            for _ in range(c):
+                sums |= {v + s for v in sums if v + s <= budget}
+        monkeypatch.setattr(mixing, "WIDE", rng.choice([16, 200, 1 << 14]))
+        monkeypatch.setattr(mixing, "ITEMS", rng.choice([2, 64]))
+        got = mixing.fit(counts, budget)
+        assert all(0 < n <= counts[s] for s, n in got.items())
+        assert sum(s * n for s, n in got.items()) == max(sums)
+
+
+def test_taken_is_the_best_that_documents_allow(spark):
+    rows = [(i, "w " * n, "a") for i, n in enumerate([50, 70, 90, 110, 70])] + [(10 + i, "w " * n, "b") for i, n in enumerate([500, 900, 1300, 3])]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for name in ("a", "b"):
+        own = [r for r in out if r["source"] == name]
+        total, target = own[0]["source_size"], own[0]["target"]
+        sums = {0}
+        for r in own:
+            sums |= {v + r["size"] for v in sums}
+        rest = round(target - target // total * total)
+        assert sum(r["taken"] for r in own) == target // total * total + max(v for v in sums if v <= rest)
+
+
 def test_fit_reaches_exact_sums():
     rng = random.Random(9)
     for _ in range(60):
@@ -573,8 +877,13 @@ def test_pipeline(spark):
     assert clean.join(whole, columns, "left_anti").count() == 0
     labels = table(spark, "labels")
     assert clean.join(labels.where("toxic = 0"), "doc_id", "left_semi").count() > 0.98 * whole.join(labels.where("toxic = 0"), "doc_id", "left_semi").count()
-    roots = components_of({brute_fingerprint(r["text"]) for r in clean.collect()}, lambda a, b: (a ^ b).bit_count() <= 2)
-    assert single.count() == len(set(roots.values()))
+    texts = {r["doc_id"]: r["text"] for r in clean.collect()}
+    roots, _ = true_groups(texts.values())
+    of = {d: roots[shingle_set(t)] for d, t in texts.items()}
+    left = {r["doc_id"] for r in single.collect()}
+    assert single.join(clean, columns, "left_anti").count() == 0
+    assert {min(d for d in of if of[d] == r) for r in set(of.values())} <= left  # none goes without one of its group
+    assert len(left) - len(set(of.values())) <= 0.1 * (len(of) - len(set(of.values())))
     got = {r["doc_id"]: (r["text"] or "").split() for r in cut.collect()}
     lost = dict((d, n) for d, _, n, _ in brute_words([(r["doc_id"], r["text"]) for r in single.collect()], 35))
     for r in single.collect():
@@ -584,6 +893,24 @@ def test_pipeline(spark):
     assert pipeline.run(spark, SF).count() == ids.count()
 
 
+def test_pipeline_hard_cases(spark, tmp_path):
+    import corpus_pipeline as pipeline
+    from vigil.llm.common import written
+
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(60)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    own = ["_h", "f", "shingles", "_group", "taken", "kept", "toxicity", "score"]
+    for docs in (documents(spark), documents(spark).limit(0), documents(spark).where("text IS NULL")):
+        docs = docs.withColumns({c: F.lit(f"own {c}") for c in own})
+        columns, docs = docs.columns, written(docs)
+        for n, (_, stage) in enumerate(pipeline.STAGES):
+            before, docs = docs, written(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == (columns if n < 4 else [*columns, "ids", "n_tokens"])
+            assert docs.where(" OR ".join(f"{c} <> 'own {c}' OR {c} IS NULL" for c in own)).count() == 0
+            if n in (2, 4):
+                assert docs.count() == before.count()
+
+
 def test_queries_are_registered():
     from vigil.llm.queries import QUERIES
 

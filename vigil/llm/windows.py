@@ -184,8 +184,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_windows(docs: DataFrame, text: str = "text", length: int = 35) -> DataFrame:
     """The documents without repeated windows: a text that loses words becomes its other words, joined by a space; others stay as they are."""
-    out = removed_words(docs, text, length)
-    changed = {text: F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("bigint")).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).select(docs.columns)
+    rest = [c for c in docs.columns if c != text]
+    row = F.struct(F.col(text).isNull().alias("null"), *(F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(rest)))
+    out = removed_words(docs.select(row.alias("row"), F.col(text).alias("text")), "text", length)
+    fewer = F.col("n_removed") > 0
+    own = {c: F.col(f"row._{n}") for n, c in enumerate(rest)}
+    own[text] = F.when(~F.col("row.null"), F.when(fewer, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in own:
+        own["n_chars"] = F.when(fewer, F.char_length("kept").cast("bigint")).otherwise(own["n_chars"])
+    return out.select(*(own[c].alias(c) for c in docs.columns))
