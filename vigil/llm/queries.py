@@ -63,4 +63,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_windows": op10_windows,
 }
-ORACLES: dict[str, str] = {}
+#: What DuckDB can express of these; the others are tested against plain versions.
+ORACLES: dict[str, str] = {
+    "op4_suffix_array": """
+WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, encode(COALESCE(text, '')) AS b FROM documents),
+p AS (SELECT r, b, UNNEST(generate_series(1, octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400),
+k AS (SELECT r, i, md5(b[i : i + 399]) AS key FROM p),
+q AS (SELECT r, i FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING COUNT(*) > 1)),
+m AS (SELECT r, i, CASE WHEN i - LAG(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM q),
+t AS (SELECT r, i, SUM(new) OVER (PARTITION BY r ORDER BY i) AS run FROM m),
+g AS (SELECT r, run, MIN(i) AS a, MAX(i) + 399 AS z FROM t GROUP BY r, run),
+h AS (SELECT g.r, a, z, b, octet_length(b) AS n, COALESCE(LAG(z) OVER (PARTITION BY g.r ORDER BY a), 0) AS before FROM g JOIN d ON g.r = d.r),
+s AS (SELECT r, CAST(SUM(z - a + 1) AS BIGINT) AS n_removed, COUNT(*) AS n_spans,
+        string_agg(hex(b[before + 1 : a - 1]), '' ORDER BY a) || hex(any_value(b)[MAX(z) + 1 : any_value(n)]) AS kept FROM h GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN s.r IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256 FROM d LEFT JOIN s ON d.r = s.r""",
+    "op5_voronoi_knn": """
+WITH w AS (SELECT ROW_NUMBER() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM w q JOIN w c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op10_windows": r"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, w, UNNEST(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+k AS (SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS key FROM p),
+g AS (SELECT DISTINCT r, UNNEST(generate_series(i, i + 34)) AS j FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING COUNT(*) > 1)),
+x AS (SELECT r, UNNEST(w) AS word, UNNEST(generate_series(1, len(w))) AS j FROM d),
+s AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.j) AS kept, COUNT(*) AS n FROM x ANTI JOIN g ON x.r = g.r AND x.j = g.j GROUP BY x.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - COALESCE(n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.r = s.r""",
+}
