@@ -143,7 +143,7 @@ def with_views(sql: str) -> str:
         return sql
     head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in names)
     begin = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
-    return f"WITH {head},\n{sql[begin.end():]}" if begin else f"WITH {head}\n{sql}"
+    return f"WITH {begin[1] or ''}{head},\n{sql[begin.end():]}" if begin else f"WITH {head}\n{sql}"
 
 
 class Fixtures:

@@ -61,7 +61,26 @@ def _(fx):
     return rounded(frames(fx), "x0", "y0", "x1", "y1")
 
 
-@query("g4_simplify_rings")
+AWAY = "CASE WHEN n > 0 THEN ABS(dx * py - dy * px) / n ELSE sqrt(px * px + py * py) END"
+SPLITS = f"""
+WITH RECURSIVE t AS (SELECT zone_id, part, CASE WHEN zone_id % 2 = 0 THEN 0.05E0 ELSE 0.02E0 END / part AS tol FROM (SELECT DISTINCT zone_id FROM fx_ring) z, (VALUES (1), (4), (16)) AS p(part)),
+seg AS (SELECT t.zone_id, part, tol, MIN(seq) AS a, MAX(seq) AS b FROM t JOIN fx_ring v ON v.zone_id = t.zone_id GROUP BY t.zone_id, part, tol
+  UNION ALL
+  SELECT zone_id, part, tol, UNNEST([a, m]) AS a, UNNEST([m, b]) AS b FROM (
+    SELECT zone_id, part, tol, a, b, arg_max(seq, struct_pack(d := d, s := -seq)) AS m FROM (
+      SELECT zone_id, part, tol, a, b, seq, {AWAY} AS d FROM (
+        SELECT *, sqrt(dx * dx + dy * dy) AS n FROM (
+          SELECT seg.zone_id, part, tol, a, b, v.seq, e.lon - s.lon AS dx, e.lat - s.lat AS dy, v.lon - s.lon AS px, v.lat - s.lat AS py
+          FROM seg JOIN fx_ring s ON s.zone_id = seg.zone_id AND s.seq = a JOIN fx_ring e ON e.zone_id = seg.zone_id AND e.seq = b
+          JOIN fx_ring v ON v.zone_id = seg.zone_id AND v.seq > a AND v.seq < b) q) q2) q3
+    WHERE d > tol GROUP BY zone_id, part, tol, a, b) far),
+kept AS (SELECT DISTINCT zone_id, part, UNNEST([a, b]) AS seq FROM seg),
+fine AS (SELECT zone_id, MIN(part) AS part FROM (SELECT zone_id, part, COUNT(*) AS n FROM kept GROUP BY zone_id, part) c WHERE n >= 4 GROUP BY zone_id)
+SELECT v.zone_id, v.ring_no, v.seq, v.lon, v.lat FROM fx_ring v JOIN fine f ON f.zone_id = v.zone_id JOIN kept k ON k.zone_id = v.zone_id AND k.part = f.part AND k.seq = v.seq
+UNION ALL SELECT zone_id, ring_no, seq, lon, lat FROM fx_ring WHERE zone_id NOT IN (SELECT zone_id FROM fine)"""
+
+
+@query("g4_simplify_rings", SPLITS)
 def _(fx):
     return G.simplify_rings(fx.ring, F.when(F.col("zone_id") % 2 == 0, 0.05).otherwise(0.02))
 
@@ -112,9 +131,12 @@ def _(fx):
     return M.frame_landmarks(p, frames(fx).withColumnRenamed("province", "frame"))
 
 
-@query("s10_to_features")
+@query("s10_to_features", """
+SELECT zone_id, '{"type":"Feature","properties":{"zone":"' || zone || '","province":"' || province || '"},"geometry":{"type":"Polygon","coordinates":[[' || ring || ']]}}' AS feature
+FROM (SELECT zone_id, string_agg('[' || CAST(ROUND(lon, 4) AS VARCHAR) || ',' || CAST(ROUND(lat, 4) AS VARCHAR) || ']', ',' ORDER BY seq) AS ring FROM fx_ring GROUP BY zone_id) v
+JOIN (SELECT n_nationkey, n_name AS zone, r_name AS province FROM nation JOIN region ON n_regionkey = r_regionkey) z ON n_nationkey = zone_id""")
 def _(fx):
-    return G.to_features(zones(fx), fx.ring)
+    return G.to_features(zones(fx), fx.ring.withColumns({"lon": F.round("lon", 4), "lat": F.round("lat", 4)}))
 
 
 @query("s1_read_history", "SELECT d AS date, confirmed, deaths, recovered FROM fx_sitreps")
