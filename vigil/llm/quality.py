@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
             parts = [cut(t) for t in texts(batch.column("t"))]
             of = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
             flat = [x for own in parts for x in own]
-            h = pa.array([xxhash.xxh64_intdigest(x, 3) >> 1 for x in flat], pa.int64())
+            h = pa.array([xxhash.xxh64_intdigest(x, 3) >> 2 for x in flat], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("y").take(pa.array(of)), h, pa.array(flat, pa.binary())], names=["y", "h", "piece"])
 
     cuts = taken.where("half = 0").select("t", "y").mapInArrow(pieces_of, "y int, h long, piece binary")
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     rate = {r["y"]: min(1.0, SAMPLES / r["count"]) for r in cuts.groupBy("y").count().collect()}
     chosen = F.lit(False)
     for y, share in rate.items():
-        chosen |= (F.col("y") == y) & (F.col("h") <= int(share * ((1 << 63) - 1)))
+        chosen |= (F.col("y") == y) & (F.col("h") < int(share * (1 << 62)))
 
     def build(group: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(group.column("h")), kind="stable")
