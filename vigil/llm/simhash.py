@@ -50,6 +50,8 @@ WIDE = 64
 TRIPLES = np.array([[(i + d) % WIDE for d in step] for step in ((0, 1, 3), (0, 5, 12)) for i in range(WIDE)])
 #: Differing bits, of 64 and of 8 * WIDE, up to which a pair of such a list is verified.
 LOOSE, CLOSE = 14, 100
+#: Pairs up to which their fingerprints (two of 8 bytes each) are sent to all tasks.
+SENT = 1_000_000
 #: For each byte, its bits in eight lanes of a byte each.
 LANES = (((np.arange(256)[:, None] >> np.arange(8)) & 1) << (8 * np.arange(8))).sum(axis=1).astype("<u8")
 
@@ -187,9 +189,14 @@ def profiled(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*kept.schema.fields, *more]))
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """pairs(a, b) of nodes(f, shingles) whose sets of shingles have a likeness (shared by all) of `least` or more."""
-    side = lambda c: nodes.select(F.col("f").alias(c), F.col("shingles").alias(f"_{c}"))
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b) whose sets of shingles have a likeness (shared by all) of `least` or more. sets(f, shingles): of several for one f one is taken."""
+    pairs = written(pairs)
+    need = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
+    if pairs.count() <= SENT:
+        need = F.broadcast(need)  # so that only the sets asked for move
+    own = sets.join(need, "f", "left_semi").groupBy("f").agg(F.min_by("shingles", F.xxhash64("shingles")).alias("shingles"))
+    side = lambda c: own.select(F.col("f").alias(c), F.col("shingles").alias(f"_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,19 +315,20 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     hashes = {h: F.xxhash64(key, text), g: F.xxhash64(F.lit("second"), key, text)}
     marked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), hashes[h].alias("h"), hashes[g].alias("g"))
     marked = written(profiled(marked, words))
-    # Of each fingerprint one set of shingles.
-    nodes = written(marked.groupBy("f").agg(F.min_by(F.struct("wide", "shingles"), F.xxhash64("shingles")).alias("_s")).select("f", "_s.*"))
+    sets = marked.select("f", "shingles")
+    # Of each fingerprint one text's bytes, that whose set alike() takes.
+    nodes = written(marked.groupBy("f").agg(F.min(F.struct(F.xxhash64("shingles").alias("s"), "wide", (F.length("shingles") > 0).alias("full"))).alias("_s")).select("f", "_s.wide", "_s.full"))
 
     def joined(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         """ids(f, root): with the roots that these pairs of roots lead to."""
         found = components(pairs).select(F.col("node").alias("root"), F.col("root").alias("_to"))
         return written(ids.join(found, "root", "left").select("f", F.coalesce("_to", "root").alias("root")))
 
-    group = joined(nodes.select("f", F.col("f").alias("root")), alike(links(nodes.select("f")), nodes, least))
-    heads = written(nodes.join(group.where("f = root").select("f"), "f", "left_semi").where(F.length("shingles") > 0))
+    group = joined(nodes.select("f", F.col("f").alias("root")), alike(links(nodes.select("f")), sets, least))
+    heads = written(nodes.join(group.where("f = root").select("f"), "f", "left_semi").where("full"))
     met = written(first_pairs(heads))
-    ids = joined(heads.select("f", F.col("f").alias("root")), alike(met.where("a IS NOT NULL").select("a", "b").distinct(), heads, least))
-    others = alike(other_pairs(met.where("list IS NOT NULL").select("list", "members"), heads.join(ids, "f")), heads, least)
+    ids = joined(heads.select("f", F.col("f").alias("root")), alike(met.where("a IS NOT NULL").select("a", "b").distinct(), sets, least))
+    others = alike(other_pairs(met.where("list IS NOT NULL").select("list", "members"), heads.join(ids, "f")), sets, least)
     side = lambda c: ids.select(F.col("f").alias(c), F.col("root").alias(f"_{c}"))
     ids = joined(ids, others.join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     ids = ids.select(F.col("f").alias("root"), F.col("root").alias("_to"))
