@@ -31,6 +31,8 @@ TOKEN = r"[^\x20\x09-\x0D]{1,8}"
 RANGES = 256
 #: Documents that one group of neighbours holds, about.
 GROUP = 20_000
+#: Groups up to which their first ids (a row of 16 bytes each) are sent to all tasks.
+SENT = 1_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -140,6 +142,8 @@ def with_next(rows: DataFrame, add: Callable[[DataFrame], DataFrame], carried: l
     heads = rows.groupBy(own).agg(F.max("doc_id").alias(head))  # a row for each GROUP rows
     above = F.coalesce(F.lead(own).over(Window.orderBy(own)), F.min(own).over(Window.partitionBy()))
     heads = heads.select(head, above.alias(serves))
+    if RANGES * within <= SENT:
+        heads = F.broadcast(heads)
     first = rows.join(heads, F.col("doc_id").eqNullSafe(F.col(head)))
     first = first.withColumn(own, F.col(serves)).drop(head, serves).withColumn(added, F.lit(1))
     all_rows = add(rows.withColumn(added, F.lit(0))).unionByName(add(first))
