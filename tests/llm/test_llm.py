@@ -768,6 +768,34 @@ def test_near_copies_of_a_crowded_group(spark):
     assert len(kept) <= 201 + 12
 
 
+def test_texts_that_repeat_one_passage_are_no_copies(spark):
+    """The passage decides most shingles, not most distinct ones; what is not alike stays."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    line = " ".join(word() for _ in range(12))
+    rows = [(n, " ".join([line] * 80 + [word() for _ in range(300)])) for n in range(50)]
+    own = [word() for _ in range(40)]
+    rows += [(100, " ".join([line] * 80 + own)), (101, " ".join([line] * 80 + own[::-1]))]
+    rows += [(200, " ".join([line] * 80)), (201, " ".join([line] * 81))]  # the same set of shingles
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {*range(50), 100, 101, 200}
+
+
+def test_equal_fingerprints_are_verified(spark, monkeypatch):
+    """Should fingerprints say nothing at all, only texts that are alike go."""
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(20)]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts + texts[:5])], "doc_id long, text string")
+    real = simhash.profiled
+
+    def blind(docs, words):
+        out = real(docs, words)
+        return out.withColumns({"bits": F.lit(0).cast("bigint"), "wide": F.lit(bytes(simhash.WIDE))})
+
+    monkeypatch.setattr(simhash, "profiled", blind)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == set(range(20))
+
+
 # --- 7: mixing
 
 
@@ -914,4 +942,4 @@ def test_pipeline_hard_cases(spark, tmp_path):
 def test_queries_are_registered():
     from vigil.llm.queries import QUERIES
 
-    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 14))

@@ -15,11 +15,13 @@ most two bits if and only if some 64-bit value lies within one bit of both, so e
 under the 65 values within one bit of it, and each group (65 nodes at most) is linked to its smallest.
 
 Likeness of 0.8: of shingle sets that alike about 15 % of all fingerprint bits differ, which no number
-of differing bits of a short fingerprint tells from other texts. So drop_near_duplicates links in
-steps, each link verified by the two texts' whole sets of shingles. First as above. Then, of every
-group found, one fingerprint goes on, with WIDE further positional bytes made by the same vote from
-other bits; postings are for TRIPLES of these, at each of which such a pair agrees with a chance of a
-fiftieth or more. In a list each member is paired with the next one that differs from it in at most
+of differing bits of a short fingerprint tells from other texts. And where shingles vote as often as
+they occur, a passage repeated through more than half of a text decides all bits. So
+drop_near_duplicates has fingerprints of distinct shingles and a node for each set of these, whatever
+its fingerprint, and links in steps, each link verified by the two nodes' whole sets. First as above,
+and within equal fingerprints to the least node. Then, of every group found, one node goes on, with WIDE further
+positional bytes made by the same vote from other bits; postings are for TRIPLES of these, at
+each of which such a pair agrees with a chance of a fiftieth or more. In a list each member is paired with the next one that differs from it in at most
 LOOSE bits of the first fingerprint, which links most of what is alike without making all pairs of a
 crowded list. Last, in lists of three or more, all pairs of different groups are tried that differ in
 at most LOOSE bits and in at most CLOSE of the further ones. So pairs of 0.8 are found with a chance
@@ -169,33 +171,32 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def profiled(docs: DataFrame, words: int) -> DataFrame:
-    """docs(k, t, h, g): without t, with `f` (the fingerprint), `wide` (WIDE bytes) and `shingles` (32 bits of each distinct one's hash, sorted)."""
+    """docs(k, t, h, g): without t, with `f` (one value for each set of shingles), `bits` (the fingerprint of distinct shingles), `wide` (WIDE bytes) and `shingles` (32 bits of each distinct one's hash, sorted)."""
     kept = docs.drop("t")
     names = kept.columns
-    more = [T.StructField("f", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
+    more = [T.StructField("bits", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t"):
             found = [np.array(shingle_hashes(x, words), "<u8") for x in texts(batch.column("t"))]
-            sizes = np.array([len(x) for x in found])
-            f = voted(np.concatenate(found), sizes)
             single = [np.unique(x) for x in found]
             flat, sizes = np.concatenate(single), np.array([len(x) for x in single])
+            bits = voted(flat, sizes)
             wide = np.stack([voted(remixed(flat, n), sizes) for n in range(WIDE // 8)], axis=1)
             sets = [np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in single]
-            out = [pa.array(f.view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + out, names=[*names, "f", "wide", "shingles"])
+            out = [pa.array(bits.view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + out, names=[*names, "bits", "wide", "shingles"])
 
-    return docs.mapInArrow(run, T.StructType([*kept.schema.fields, *more]))
+    return docs.mapInArrow(run, T.StructType([*kept.schema.fields, *more])).withColumn("f", F.xxhash64("shingles"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """pairs(a, b) whose sets of shingles have a likeness (shared by all) of `least` or more. sets(f, shingles): of several for one f one is taken."""
+    """pairs(a, b) whose sets of shingles have a likeness (shared by all) of `least` or more. sets(f, shingles): rows of one f are equal."""
     pairs = written(pairs)
     need = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
     if pairs.count() <= SENT:
         need = F.broadcast(need)  # so that only the sets asked for move
-    own = sets.join(need, "f", "left_semi").groupBy("f").agg(F.min_by("shingles", F.xxhash64("shingles")).alias("shingles"))
+    own = sets.join(need, "f", "left_semi").groupBy("f").agg(F.any_value("shingles").alias("shingles"))
     side = lambda c: own.select(F.col("f").alias(c), F.col("shingles").alias(f"_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,17 +230,17 @@ def in_lists(key: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarra
 
 
 def posted(nodes: DataFrame) -> DataFrame:
-    """nodes(f, wide): rows of lists dealt to buckets, with their keys and nodes laid end to end."""
+    """nodes(f, bits, wide): rows of lists dealt to buckets, with their keys, nodes and fingerprints laid end to end."""
     of = buckets(nodes.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            f = np.asarray(batch.column("f"))
+            f = np.stack((np.asarray(batch.column("f")), np.asarray(batch.column("bits"))), axis=1)
             wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE).astype(np.uint32)
             key = (np.arange(len(TRIPLES), dtype=np.uint32) << 24) | (wide[:, TRIPLES[:, 0]] << 16) | (wide[:, TRIPLES[:, 1]] << 8) | wide[:, TRIPLES[:, 2]]
-            key, own = key.reshape(-1), np.repeat(f, len(TRIPLES))
+            key, own = key.reshape(-1), np.repeat(f, len(TRIPLES), axis=0)
             bucket = remixed(key.astype(np.uint64), 0) % np.uint64(of)
             by = np.argsort(bucket, kind="stable")
             used, at = np.unique(bucket[by], return_index=True)
@@ -248,18 +249,18 @@ def posted(nodes: DataFrame) -> DataFrame:
                 [pa.array(used.astype(np.int32)), pa.array([key[x].tobytes() for x in cuts], pa.binary()), pa.array([own[x].tobytes() for x in cuts], pa.binary())], names=["bucket", "keys", "nodes"]
             )
 
-    return nodes.select("f", "wide").mapInArrow(post, "bucket int, keys binary, nodes binary")
+    return nodes.select("f", "bits", "wide").mapInArrow(post, "bucket int, keys binary, nodes binary")
 
 
 def first_pairs(nodes: DataFrame) -> DataFrame:
-    """nodes(f, wide): rows (a, b) of pairs to verify, and rows (list, members) of lists with three or more members and such a pair."""
+    """nodes(f, bits, wide): rows (a, b) of pairs to verify, and rows (list, members) of lists with three or more members and such a pair."""
 
     def meet(group: pa.Table) -> pa.Table:
         key = np.frombuffer(b"".join(group.column("keys").to_pylist()), "<u4")
-        node = np.frombuffer(b"".join(group.column("nodes").to_pylist()), "<i8")
+        node, bits = np.frombuffer(b"".join(group.column("nodes").to_pylist()), "<i8").reshape(-1, 2).T
         order = np.lexsort((remixed(node.view(np.uint64) ^ key, 1), key))  # in each list an order of its own
-        key, node = key[order], node[order]
-        i, j = in_lists(key, lambda x, y: differing(node[x], node[y]) <= LOOSE, True)
+        key, node, bits = key[order], node[order], bits[order]
+        i, j = in_lists(key, lambda x, y: differing(bits[x], bits[y]) <= LOOSE, True)
         pairs = np.unique(np.stack((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])), axis=1), axis=0)
         begin = np.unique(np.searchsorted(key, key[i]))
         end = np.searchsorted(key, key[begin], "right")
@@ -275,7 +276,7 @@ def first_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def other_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """lists(list, members), nodes(f, wide, root): pairs (a, b) of a list that may be alike and have different roots."""
+    """lists(list, members), nodes(f, bits, wide, root): pairs (a, b) of a list that may be alike and have different roots."""
     of = buckets(nodes.sparkSession)
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,13 +286,13 @@ def other_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), n)), pa.array(f)], names=["list", "f"])
 
     def meet(group: pa.Table) -> pa.Table:
-        key, node, root = (np.asarray(group.column(c)) for c in ("list", "f", "root"))
+        key, node, bits, root = (np.asarray(group.column(c)) for c in ("list", "f", "bits", "root"))
         wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), "<u8").reshape(-1, WIDE // 8)
         order = np.lexsort((node, key))
-        key, node, root, wide = key[order], node[order], root[order], wide[order]
+        key, node, bits, root, wide = key[order], node[order], bits[order], root[order], wide[order]
 
         def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            out = (root[x] != root[y]) & (differing(node[x], node[y]) <= LOOSE)
+            out = (root[x] != root[y]) & (differing(bits[x], bits[y]) <= LOOSE)
             out[out] = np.bitwise_count(wide[x[out]] ^ wide[y[out]]).sum(axis=1, dtype=np.int64) <= CLOSE
             return out
 
@@ -299,10 +300,10 @@ def other_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])), axis=1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    rows = lists.mapInArrow(apart, "list long, f long").join(nodes.select("f", "wide", "root"), "f")
+    rows = lists.mapInArrow(apart, "list long, f long").join(nodes.select("f", "bits", "wide", "root"), "f")
     mixed = rows.join(rows.groupBy("list").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x < _y").select("list"), "list")
     bucket = F.pmod(F.xxhash64("list"), F.lit(of)).cast("int").alias("bucket")
-    return mixed.select(bucket, "list", "f", "wide", "root").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return mixed.select(bucket, "list", "f", "bits", "wide", "root").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -316,15 +317,19 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     marked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), hashes[h].alias("h"), hashes[g].alias("g"))
     marked = written(profiled(marked, words))
     sets = marked.select("f", "shingles")
-    # Of each fingerprint one text's bytes, that whose set alike() takes.
-    nodes = written(marked.groupBy("f").agg(F.min(F.struct(F.xxhash64("shingles").alias("s"), "wide", (F.length("shingles") > 0).alias("full"))).alias("_s")).select("f", "_s.wide", "_s.full"))
+    same = F.min(F.struct("bits", "wide", (F.length("shingles") > 0).alias("full"))).alias("_s")
+    nodes = written(marked.groupBy("f").agg(same).select("f", "_s.*"))
 
     def joined(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         """ids(f, root): with the roots that these pairs of roots lead to."""
         found = components(pairs).select(F.col("node").alias("root"), F.col("root").alias("_to"))
         return written(ids.join(found, "root", "left").select("f", F.coalesce("_to", "root").alias("root")))
 
-    group = joined(nodes.select("f", F.col("f").alias("root")), alike(links(nodes.select("f")), sets, least))
+    firsts = written(nodes.groupBy("bits").agg(F.min("f").alias("_f")))
+    stars = nodes.join(firsts, "bits").where("f <> _f").select(F.col("f").alias("a"), F.col("_f").alias("b"))
+    of = lambda c: firsts.select(F.col("bits").alias(c), F.col("_f").alias(f"_{c}"))
+    near = links(firsts.select(F.col("bits").alias("f"))).join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    group = joined(nodes.select("f", F.col("f").alias("root")), alike(stars.unionByName(near), sets, least))
     heads = written(nodes.join(group.where("f = root").select("f"), "f", "left_semi").where("full"))
     met = written(first_pairs(heads))
     ids = joined(heads.select("f", F.col("f").alias("root")), alike(met.where("a IS NOT NULL").select("a", "b").distinct(), sets, least))
