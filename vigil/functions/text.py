@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -28,6 +28,11 @@ SHORT_MONTHS = {
 NARROW_SPACE = " "
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value in the plan and computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def norm_int(c: Column) -> Column:
     """The digits as a number; null for none, NA and ND."""
     digits = F.regexp_replace(c, r"[^0-9]", "")

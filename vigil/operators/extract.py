@@ -5,13 +5,15 @@ All documents are read at once; windows and groups are by document (`doc` names
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.text import iso_date, month_number, norm_int, norm_pct
+from vigil.functions.text import bound, iso_date, month_number, norm_int, norm_pct
 
+# Fixed value: the printed number of a report, white space dropped, with or without the outbreak's code and with any sign behind N.
+PRINTED_NUMBER = r"(?i)sitrep(?:mve)?n\D?0*(\d{1,3})"
 
 
 def labelled_date(text: Column, label: str, within: int = 60) -> Column:
@@ -27,7 +29,7 @@ def labelled_date(text: Column, label: str, within: int = 60) -> Column:
 def bulletin_meta(docs: DataFrame, text: str = "text", file_id: str = "file_id") -> DataFrame:
     """Adds `sitrep` (the file name's id first, else the printed number), `source_number_mismatch` and `error`."""
     bare = F.regexp_replace(text, r"\s+", "")
-    number = F.regexp_extract(bare, r"(?i)sitrepn[°o]?0*(\d{1,3})", 1)
+    number = F.regexp_extract(bare, PRINTED_NUMBER, 1)
     printed = F.when(number != "", F.lpad(number, 3, "0"))
     named = F.col(file_id)
     out = {"sitrep": F.coalesce(named, printed), "source_number_mismatch": F.when(printed != F.substring(named, 1, 3), printed), "error": F.when(F.coalesce(named, printed).isNull(), "no number")}
@@ -78,29 +80,39 @@ def assign_header(lines: DataFrame, headers: Sequence[str], doc: Sequence[str])
     return df.withColumn("province", F.last("_h", ignorenulls=True).over(w)).where("_h IS NULL AND province IS NOT NULL").drop("_h")
 
 
+#: Kinds of a table row's words in their order: its name, its counts (two at least), then the rate. The rate is a per cent, or NA where no per cent comes later.
+ROW = r"^(.[^na]*)(?:([na]{2,})r|([na]{2}n*)a(?=[^r]*$))"
+
+
 def line_parts(line: Column) -> Column:
-    """struct(name, counts, rate, tail) of a table row set as text; null where the line is none.
+    """array<struct(name, counts, rate, tail)> of a table row set as text: one, or none where the line is no such row.
 
-    The row's words, asterisks behind them dropped: up to the first number or NA they are the name,
-    up to the rate the counts (two at least, thousands perhaps apart), behind it the tail. The rate is
-    the first word in per cent, else the first NA with two words of counts before it.
+    Asterisks behind words are dropped. Each word is of one kind: n a number, a NA, r a per cent, x any other;
+    the row is told and cut by the kinds alone. Counts may hold thousands apart; the tail is what is behind the rate.
     """
     words = F.filter(F.transform(F.split(F.trim(F.regexp_replace(line, r"\s+%", "%")), r"\s+"), lambda w: F.rtrim(w, F.lit("*"))), lambda w: w != "")
-    is_count = lambda w: w.rlike(r"^\d+$") | (w == "NA")
-    is_rate = lambda w: w.rlike(r"^\d[\d,]*%$")
-    place = lambda a, test: F.array_min(F.filter(F.transform(a, lambda w, i: F.when(test(w, i), i)), lambda i: i.isNotNull()))
+    kind = lambda w: F.when(w.rlike(r"^\d+$"), "n").when(w == "NA", "a").when(w.rlike(r"^\d[\d,]*%$"), "r").otherwise("x")
+    sizes = lambda k: F.struct(*(F.length(F.regexp_extract(k, ROW, g)).alias(c) for g, c in enumerate("abc", 1)))
 
     def cut(w: Column) -> Column:
-        begin = place(w, lambda x, i: is_count(x) & (i > 0))
-        rest = F.slice(w, begin + 1, F.size(w))
-        at = F.coalesce(place(rest, lambda x, i: is_rate(x)), place(rest, lambda x, i: (x == "NA") & (i > 1)))
-        made = F.struct(
-            F.array_join(F.slice(w, 1, begin), " ").alias("name"), F.slice(rest, 1, at).alias("counts"),
-            F.get(rest, at).alias("rate"), F.slice(rest, at + 2, F.size(rest)).alias("tail"),
-        )
-        return F.when((at > 1) & F.forall(made["counts"], is_count), made)
+        def at(name: Column, counts: Column) -> Column:
+            made = F.struct(
+                F.array_join(F.slice(w, 1, name), " ").alias("name"), F.slice(w, name + 1, counts).alias("counts"),
+                F.get(w, name + counts).alias("rate"), F.slice(w, name + counts + 2, F.size(w)).alias("tail"),
+            )
+            return F.when(name > 0, made)
+
+        return bound(bound(F.array_join(F.transform(w, kind), ""), sizes), lambda k: at(k["a"], k["b"] + k["c"]))
 
-    return F.transform(F.array(words), cut)[0]
+    return F.filter(F.array(bound(words, cut)), lambda r: r.isNotNull())
+
+
+def with_rows(lines: DataFrame, rows: Column, *names: str) -> DataFrame:
+    """Each line as often as its array has structs, with their fields; other lines are dropped.
+
+    A generator: what it reads is computed in one place, wherever later steps name its columns.
+    """
+    return lines.drop(*names).select("*", F.inline(rows).alias(*names))
 
 
 def as_number(words: Column) -> Column:
@@ -110,26 +122,39 @@ def as_number(words: Column) -> Column:
 
 def two_counts(counts: Column, rate: Column) -> Column:
     """struct(cases, deaths) of the words before a rate (a double, null for none): NA is null, others are cut by the rate or, without it, before the last."""
-    n = F.size(counts)
-    at = F.when(F.get(counts, F.lit(0)) == "NA", 1).when((rate.isNull()) | (F.get(counts, n - 1) == "NA") | (n == 2), n - 1)
-    plain = F.struct(as_number(F.slice(counts, 1, at)).alias("cases"), as_number(F.slice(counts, at + 1, n)).alias("deaths"))
-    return F.when(at.isNotNull(), plain).otherwise(split_by_rate(counts, rate))
+
+    def cut(c: Column) -> Column:
+        n = F.size(c)
+        at = F.when(F.get(c, F.lit(0)) == "NA", 1).when(rate.isNull() | (F.get(c, n - 1) == "NA") | (n == 2), n - 1)
+        plain = lambda k: F.struct(as_number(F.slice(c, 1, k)).alias("cases"), as_number(F.slice(c, k + 1, n)).alias("deaths"))
+        return bound(at, lambda k: F.when(k.isNotNull(), plain(k)).otherwise(split_by_rate(c, rate)))
+
+    return bound(counts, cut)
+
+
+def counted(part: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body(struct(cases, deaths), rate) of a row's part."""
+    return bound(norm_pct(part["rate"]), lambda rate: bound(two_counts(part["counts"], rate), lambda c: body(c, rate)))
 
 
 def parse_zone_lines(lines: DataFrame) -> DataFrame:
     """Adds name, cases, deaths, cfr and tail (numbers behind) of lines that are zone rows; others are dropped."""
-    df = lines.withColumn("_r", line_parts(F.col("line"))).where("_r IS NOT NULL")
-    df = df.withColumn("cfr", norm_pct(F.col("_r.rate"))).withColumn("_c", two_counts(F.col("_r.counts"), F.col("cfr")))
-    tail = F.filter(F.transform("_r.tail", lambda w: F.regexp_extract(w, r"\d+", 0).try_cast("bigint")), lambda n: n.isNotNull())
-    return df.withColumns({"name": F.col("_r.name"), "cases": F.col("_c.cases"), "deaths": F.col("_c.deaths"), "tail": tail}).drop("_r", "_c")
+    tail = lambda words: F.filter(F.transform(words, lambda w: F.regexp_extract(w, r"\d+", 0).try_cast("bigint")), lambda n: n.isNotNull())
+    row = lambda p: counted(p, lambda c, rate: F.struct(p["name"], c["cases"], c["deaths"], rate.alias("cfr"), tail(p["tail"]).alias("tail")))
+    return with_rows(lines, F.transform(line_parts(F.col("line")), row), "name", "cases", "deaths", "cfr", "tail")
 
 
 def split_by_rate(numbers: Column, rate: Column) -> Column:
     """struct(cases, deaths): the cut of these tokens into two numbers whose rate is nearest; null for fewer than two or no cases."""
-    cuts = F.transform(F.sequence(F.lit(1), F.size(numbers) - 1), lambda k: F.struct(as_number(F.slice(numbers, 1, k)).alias("cases"), as_number(F.slice(numbers, k + 1, F.size(numbers))).alias("deaths"), k.alias("k")))
-    scored = F.transform(F.filter(cuts, lambda c: c["cases"] > 0), lambda c: F.struct(F.abs(100.0 * c["deaths"] / c["cases"] - rate).alias("diff"), c["k"].alias("k"), c["cases"].alias("cases"), c["deaths"].alias("deaths")))
-    best = F.array_min(scored)
-    return F.when((F.size(numbers) >= 2) & best.isNotNull(), F.struct(best["cases"].alias("cases"), best["deaths"].alias("deaths")))
+
+    def best(n: Column) -> Column:
+        cut = lambda k: F.struct(as_number(F.slice(n, 1, k)).alias("cases"), as_number(F.slice(n, k + 1, F.size(n))).alias("deaths"), k.alias("k"))
+        cuts = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(n) - 1, F.lit(1))), cut), lambda c: c["cases"] > 0)
+        scored = F.transform(cuts, lambda c: F.struct(F.abs(100.0 * c["deaths"] / c["cases"] - rate).alias("diff"), c["k"].alias("k"), c["cases"].alias("cases"), c["deaths"].alias("deaths")))
+        taken = lambda b: F.when(b.isNotNull(), F.struct(b["cases"].alias("cases"), b["deaths"].alias("deaths")))
+        return F.when(F.size(n) >= 2, bound(F.array_min(scored), taken))
+
+    return bound(numbers, best)
 
 
 def split_to_known(numbers: Column, a: Column, b: Column) -> Column:
@@ -143,24 +168,31 @@ def parse_province_lines(lines: DataFrame) -> DataFrame:
 
     Behind their rate these rows hold `zones / all zones`, or `zones sur all zones`, perhaps a share in brackets, and new cases.
     """
-    df = lines.withColumn("_r", line_parts(F.col("line"))).where("_r IS NOT NULL")
-    df = df.withColumn("cfr", norm_pct(F.col("_r.rate"))).withColumn("_s", two_counts(F.col("_r.counts"), F.col("cfr")))
-    behind = F.regexp_replace(F.array_join("_r.tail", " "), r"\(.*?\)", " ")
-    df = df.withColumn("_n", F.filter(F.split(F.regexp_replace(behind, "/|sur", " / "), r"\s+"), lambda w: w != ""))
-    n = lambda i: F.get("_n", F.lit(i)).try_cast("bigint")
-    out = {"name": F.col("_r.name"), "confirmed": F.col("_s.cases"), "deaths": F.col("_s.deaths"), "zones": n(0).cast("int"), "zones_total": n(2).cast("int"), "new_cases": n(3)}
-    whole = (F.size("_n") == 4) & (F.get("_n", F.lit(1)) == "/")
-    return df.where(whole).withColumns(out).drop("_r", "_s", "_n").where("confirmed IS NOT NULL AND zones IS NOT NULL AND zones_total IS NOT NULL AND new_cases IS NOT NULL")
+    spaced = lambda words: F.regexp_replace(F.regexp_replace(F.array_join(words, " "), r"\(.*?\)", " "), "/|sur", " / ")
+    behind = lambda words: F.filter(F.split(spaced(words), r"\s+"), lambda w: w != "")
+
+    def row(p: Column, n: Column) -> Column:
+        number = lambda i, kind="int": F.get(n, F.lit(i)).try_cast(kind)
+        whole = (F.size(n) == 4) & (F.get(n, F.lit(1)) == "/")
+        made = counted(p, lambda c, rate: F.struct(p["name"], c["cases"].alias("confirmed"), c["deaths"], rate.alias("cfr"), number(0).alias("zones"), number(2).alias("zones_total"), number(3, "bigint").alias("new_cases")))
+        return F.when(whole, made)
+
+    rows = F.transform(line_parts(F.col("line")), lambda p: bound(behind(p["tail"]), lambda n: row(p, n)))
+    full = lambda r: r["confirmed"].isNotNull() & r["zones"].isNotNull() & r["zones_total"].isNotNull() & r["new_cases"].isNotNull()
+    return with_rows(lines, F.filter(rows, full), "name", "confirmed", "deaths", "cfr", "zones", "zones_total", "new_cases")
 
 
 def _subtotals(lines: DataFrame) -> DataFrame:
     """Rows with four numbers behind their rate; of more words the first make one number, the new cases."""
-    df = lines.withColumn("_r", line_parts(F.col("line"))).where(F.size("_r.tail") >= 4)
-    df = df.withColumn("cfr", norm_pct(F.col("_r.rate"))).withColumn("_c", two_counts(F.col("_r.counts"), F.col("cfr")))
-    n = F.size("_r.tail")
-    behind = {"new_cases": as_number(F.slice("_r.tail", 1, n - 3)), **{f: F.get("_r.tail", n - 3 + i).try_cast("bigint") for i, f in enumerate(("deaths_community", "deaths_centre", "total"))}}
-    df = df.withColumns({"name": F.col("_r.name"), "cases": F.col("_c.cases"), "deaths": F.col("_c.deaths"), **behind}).drop("_r", "_c")
-    return df.dropna(subset=["cfr", *behind])
+
+    def row(p: Column) -> Column:
+        n = F.size(p["tail"])
+        last = lambda i: F.get(p["tail"], n - 3 + i).try_cast("bigint")
+        behind = (as_number(F.slice(p["tail"], 1, n - 3)).alias("new_cases"), *(last(i).alias(f) for i, f in enumerate(FIELDS[4:])))
+        return counted(p, lambda c, rate: F.struct(p["name"], c["cases"], c["deaths"], rate.alias("cfr"), *behind))
+
+    long = F.filter(line_parts(F.col("line")), lambda p: F.size(p["tail"]) >= 4)
+    return with_rows(lines, F.transform(long, row), "name", *FIELDS).dropna(subset=list(FIELDS[2:]))
 
 
 FIELDS = ("cases", "deaths", "cfr", "new_cases", "deaths_community", "deaths_centre", "total")
@@ -315,10 +347,10 @@ def contact_rate_lines(lines: DataFrame, title: str, doc: Sequence[str], within:
     bare = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}]+", " "))
     at = F.min(F.when(bare(F.col("line")).contains(bare(F.lit(title))), F.col("line_no"))).over(w)
     df = lines.withColumn("_at", at).where((F.col("line_no") >= F.col("_at")) & (F.col("line_no") < F.col("_at") + within))
-    df = df.withColumn("_r", line_parts(F.col("line"))).where(F.lower(F.substring_index("_r.name", " ", 1)) == "total").where(F.size("_r.tail") == 0)
-    df = df.withColumn("rate", norm_pct(F.col("_r.rate"))).where(F.col("rate").between(0, 100))
-    n = lambda i: F.get(thousands(F.col("_r.counts")), F.lit(i))
-    df = df.withColumn("computed", F.when(n(0) > 0, F.round(100.0 * n(1) / n(0), 1)))
+    total = F.filter(line_parts(F.col("line")), lambda p: (F.lower(F.substring_index(p["name"], " ", 1)) == "total") & (F.size(p["tail"]) == 0))
+    computed = lambda n: F.when(F.get(n, F.lit(0)) > 0, F.round(100.0 * F.get(n, F.lit(1)) / F.get(n, F.lit(0)), 1))
+    row = lambda p: F.struct(norm_pct(p["rate"]).alias("rate"), bound(thousands(p["counts"]), computed).alias("computed"))
+    df = with_rows(df, F.transform(total, row), "rate", "computed").where(F.col("rate").between(0, 100))
     return df.groupBy(*doc).agg(F.min_by(F.struct("rate", "computed"), "line_no").alias("_t")).select(*doc, "_t.*")
 
 
@@ -481,7 +513,8 @@ def contact_rows(rows: DataFrame, provinces: Sequence[str], doc: Sequence[str],
     df = rows.withColumn("_full", full).withColumn("first", F.trim(F.regexp_replace(F.get("_full", F.lit(0)), r"\*+$", "")))
     w = Window.partitionBy(*doc)
     known = F.lower("first").isin(*(p.lower() for p in provinces))
-    begin = F.min(F.when(F.array_join("_full", " ").rlike(r"(?i)Taux\s+de\s+suivi") | known, F.col(order))).over(w)
+    words = F.array_join(F.filter(F.split(F.lower(F.array_join("_full", " ")), r"[^\p{L}]+"), lambda x: x != ""), " ")
+    begin = F.min(F.when(words.contains("taux de suivi") | known, F.col(order))).over(w)
     df = df.withColumn("_a", begin)
     df = df.withColumn("_b", F.min(F.when(F.lower("first").startswith("total") & (F.col(order) >= F.col("_a")), F.col(order))).over(w))
     df = df.where((F.col(order) >= F.col("_a")) & (F.col("_b").isNull() | (F.col(order) <= F.col("_b"))))

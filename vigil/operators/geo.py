@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,30 +45,36 @@ def province_frames(zone_boxes: DataFrame, province: str, margin: float = 0.14)
 
 
 def _thinned(rings: DataFrame, tol: Column, keys: Sequence[str]) -> DataFrame:
-    """Douglas-Peucker by rounds over all rings at once: each round keeps the farthest vertex of every stretch that strays.
+    """Douglas-Peucker by levels: all segments that stray are split at once, at their farthest vertex; settled ones leave.
 
-    Rounds go on until none strays: each but the last keeps a vertex more, so they end.
+    A vertex row carries its segment's ends. The farthest vertex of a segment is one aggregate, combined before its shuffle, so
+    a ring of any size is dealt to many tasks; only inner vertices of segments just split go on to the next
+    level. There are as many levels as splits nest, which is the number of vertices at most.
     """
-    w = Window.partitionBy(*keys).orderBy("seq")
-    ends = Window.partitionBy(*keys)
-    df = rings.withColumn("_keep", (F.col("seq") == F.min("seq").over(ends)) | (F.col("seq") == F.max("seq").over(ends)))
+    rings = rings.withColumn("_tol", tol)
+    vertex = F.struct("seq", "lon", "lat")
+    ends = rings.groupBy(*keys).agg(F.min_by(vertex, "seq").alias("_a"), F.max_by(vertex, "seq").alias("_b"))
+    kept = ends.select(*keys, F.explode(F.array("_a.seq", "_b.seq")).alias("seq")).distinct()
+    inner = rings.select(*keys, "seq", "lon", "lat", "_tol").join(ends, list(keys))
+    done = [checkpointed(kept)]
+    dx, dy = F.col("_b.lon") - F.col("_a.lon"), F.col("_b.lat") - F.col("_a.lat")
+    px, py = F.col("lon") - F.col("_a.lon"), F.col("lat") - F.col("_a.lat")
+    long = F.sqrt(dx * dx + dy * dy)
+    away = F.when(long > 0, F.abs(dx * py - dy * px) / long).otherwise(F.sqrt(px * px + py * py))
     while True:
-        at = F.when(F.col("_keep"), F.struct("seq", "lon", "lat"))
-        a = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        b = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        step = df.withColumns({"_a": a, "_b": b})
-        dx, dy = F.col("_b.lon") - F.col("_a.lon"), F.col("_b.lat") - F.col("_a.lat")
-        px, py = F.col("lon") - F.col("_a.lon"), F.col("lat") - F.col("_a.lat")
-        long = F.sqrt(dx * dx + dy * dy)
-        away = F.when(long > 0, F.abs(dx * py - dy * px) / long).otherwise(F.sqrt(px * px + py * py))
-        step = step.withColumn("_d", F.when(~F.col("_keep"), away))
-        far = F.max(F.struct("_d", (-F.col("seq")).alias("s"))).over(Window.partitionBy(*keys, "_a.seq"))
-        step = step.withColumn("_new", ~F.col("_keep") & (F.col("_d") > tol) & (far["s"] == -F.col("seq")))
-        df = checkpointed(step.withColumn("_keep", F.col("_keep") | F.col("_new")).drop("_a", "_b", "_d"))
-        if not df.where("_new").limit(1).count():
+        inner = checkpointed(inner.where((F.col("seq") > F.col("_a.seq")) & (F.col("seq") < F.col("_b.seq"))))
+        far = F.max_by(vertex, F.struct(away, -F.col("seq")))
+        split = inner.where(away > F.col("_tol")).groupBy(*keys, F.col("_a.seq").alias("_at")).agg(far.alias("_m"))
+        split = checkpointed(split)
+        if split.isEmpty():
             break
-        df = df.drop("_new")
-    return df.where("_keep").drop("_keep", "_new")
+        done.append(split.select(*keys, "_m.seq"))
+        met = inner.withColumn("_at", F.col("_a.seq")).join(split, [*keys, "_at"])
+        before = F.col("seq") < F.col("_m.seq")
+        inner = met.withColumns({"_a": F.when(before, F.col("_a")).otherwise(F.col("_m")), "_b": F.when(before, F.col("_m")).otherwise(F.col("_b"))}).drop("_m", "_at")
+        if len(done) == 64:
+            done = [checkpointed(reduce(DataFrame.unionByName, done))]
+    return rings.drop("_tol").join(reduce(DataFrame.unionByName, done), [*keys, "seq"], "left_semi")
 
 
 def simplify_rings(vertices: DataFrame, tol: Column, keys: Sequence[str] = ("zone_id", "ring_no"), least: int = 4) -> DataFrame:

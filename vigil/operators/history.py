@@ -48,19 +48,34 @@ def needs_parse(files: DataFrame, index: DataFrame, key: str = "sitrep") -> Data
     return df.where(F.col("_known").isNull() | F.col("_date").isNull() | retry).drop("_known", "_date", "_count", "_final")
 
 
+def validity(observed: DataFrame, entity: Sequence[str], values: Sequence[str], keys: Sequence[str] = (), date: str = "d") -> DataFrame:
+    """(keys, entity, values, valid_from, valid_until): from each observation to the next one's date, not included; null for the last.
+
+    Of observations of one entity and date one stands. As many rows as observations, whatever the dates between.
+    """
+    following = F.lead(date).over(Window.partitionBy(*keys, *entity).orderBy(date))
+    out = observed.select(*keys, *entity, *values, F.col(date).alias("valid_from"), following.alias("valid_until"))
+    return out.where("valid_until IS NULL OR valid_until > valid_from")
+
+
 def carry_forward(observed: DataFrame, reports: DataFrame, entity: Sequence[str], values: Sequence[str], keys: Sequence[str] = (), date: str = "d") -> DataFrame:
     """Each report with every entity seen on an earlier or the same date, with its latest values; `carried` where it was absent.
 
-    reports(keys, date): dates that have a snapshot. Work and result are reports times entities, in
-    windows of one entity each.
+    reports(keys, date): dates that have a snapshot, an array of dates a key (as many as days at most). Each value
+    is valid from its own date to the next observation of its entity, which is a slice of that array, expanded as
+    the last step: work grows with observations, only the result with reports times entities.
     """
-    names = observed.groupBy(*keys, *entity).agg(F.min(date).alias("_first"))
-    grid = (reports.select(*keys, date).distinct().join(names, list(keys)) if keys else reports.select(date).distinct().crossJoin(names)).where(F.col(date) >= F.col("_first"))
-    df = grid.join(observed.withColumn("_seen", F.lit(True)), [*keys, *entity, date], "left")
-    w = Window.partitionBy(*keys, *entity).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_seen"), F.struct(*values)), ignorenulls=True).over(w)
-    df = df.withColumn("_last", last)
-    return df.select(*keys, *entity, date, *(F.col("_last")[v].alias(v) for v in values), F.col("_seen").isNull().alias("carried"))
+    listed = F.array_sort(F.collect_set(date)).alias("_dates")
+    days = observed.select(*keys, date, F.lit(0).alias("_r")).unionByName(reports.select(*keys, date, F.lit(1).alias("_r"))).groupBy(*keys, date).agg(F.max("_r").alias("_r"))
+    earlier = F.sum("_r").over(Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, -1))  # a row a day
+    df = observed.select(*keys, *entity, date, *values).join(days.select(*keys, date, (F.coalesce(earlier, F.lit(0)) + 1).cast("int").alias("_p")), [*keys, date])
+    df = df.withColumn("_q", F.lead("_p").over(Window.partitionBy(*keys, *entity).orderBy(date)))
+    if keys:
+        df = df.join(reports.groupBy(*keys).agg(listed), list(keys))
+    else:
+        df = df.withColumn("_dates", reports.agg(listed).scalar())
+    valid = F.slice("_dates", F.col("_p"), F.coalesce("_q", F.size("_dates") + 1) - F.col("_p"))
+    return df.select(*keys, *entity, F.explode(valid).alias("_d"), *values, F.col(date).alias("_from")).select(*keys, *entity, F.col("_d").alias(date), *values, (F.col("_d") != F.col("_from")).alias("carried"))
 
 
 def never_seen(history: DataFrame, entity: Sequence[str], keys: Sequence[str], date: str = "d") -> DataFrame:
@@ -101,10 +116,33 @@ def snapshot_at(history: DataFrame, at: Column, keys: Sequence[str], date: str =
     return history.join(last, [*keys, date], "left_semi")
 
 
-def diff_versions(old: DataFrame, new: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """(key, change, old_value, new_value): added, changed or removed keys."""
-    a = old.select(*key, F.col(value).alias("old_value"), F.lit(True).alias("_old"))
-    b = new.select(*key, F.col(value).alias("new_value"), F.lit(True).alias("_new"))
+def bucket_sums(df: DataFrame, key: Sequence[str], value: str, buckets: int) -> DataFrame:
+    """(_bucket, rows, sum): a checksum of the rows of each bucket of keys, whatever their order."""
+    sums = F.count("*").alias("rows"), F.sum(F.xxhash64(*key, value, *(F.col(c).isNull() for c in (*key, value))).cast("decimal(20,0)")).alias("sum")
+    return df.groupBy(_bucket(key, buckets).alias("_bucket")).agg(*sums)
+
+
+def _bucket(key: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets))
+
+
+def differing_buckets(old: DataFrame, new: DataFrame, key: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
+    """(_bucket): those whose checksums differ; at most `buckets` rows. Sums may be kept with a version instead of the rows."""
+    a, b = bucket_sums(old, key, value, buckets), bucket_sums(new, key, value, buckets)
+    both = a.join(b.select("_bucket", F.col("rows").alias("_rows"), F.col("sum").alias("_sum")), "_bucket", "full")
+    return both.where("NOT (rows <=> _rows AND sum <=> _sum)").select("_bucket")
+
+
+def diff_versions(old: DataFrame, new: DataFrame, key: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
+    """(key, change, old_value, new_value): added, changed or removed keys.
+
+    Checksums of buckets of keys are compared first, and only rows of buckets that differ are shuffled and
+    joined: two versions that are nearly equal cost two scans. Rows of an equal bucket differ with a chance of 2^-64.
+    """
+    differ = F.broadcast(differing_buckets(old, new, key, value, buckets))  # `buckets` rows at most
+    of = lambda df: df.withColumn("_bucket", _bucket(key, buckets)).join(differ, "_bucket", "left_semi")
+    a = of(old).select(*key, F.col(value).alias("old_value"), F.lit(True).alias("_old"))
+    b = of(new).select(*key, F.col(value).alias("new_value"), F.lit(True).alias("_new"))
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(~F.col("old_value").eqNullSafe(F.col("new_value")), "changed")
     return a.join(b, list(key), "full").withColumn("change", change).where("change IS NOT NULL").drop("_old", "_new")
 

@@ -7,15 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.segments import filled
+
 
 def _ordered(keys: Sequence[str], date: str) -> Window:
     return Window.partitionBy(*keys).orderBy(date)
 
 
-def increments(series: DataFrame, field: str, keys: Sequence[str], date: str = "d", out: str = "increment") -> DataFrame:
-    """Difference from the previous value that is not null, never below 0; null for the first and for nulls."""
+def increments(series: DataFrame, field: str, keys: Sequence[str], date: str = "d", out: str = "increment", segment: Column | None = None) -> DataFrame:
+    """Difference from the previous value that is not null, never below 0; null for the first and for nulls.
+
+    segment: cuts keys with very many rows by date (a month, say), each segment in a task of its own.
+    """
+    grown = lambda before: F.when(before.isNotNull() & F.col(field).isNotNull(), F.greatest(F.lit(0), F.col(field) - before))
+    if segment is not None:
+        return filled(series, F.col(field), keys, [date], segment, "_before", inclusive=False).withColumn(out, grown(F.col("_before"))).drop("_before")
     before = F.last(field, ignorenulls=True).over(_ordered(keys, date).rowsBetween(Window.unboundedPreceding, -1))
-    return series.withColumn(out, F.when(before.isNotNull() & F.col(field).isNotNull(), F.greatest(F.lit(0), F.col(field) - before)))
+    return series.withColumn(out, grown(before))
 
 
 def split_catchup(incr: DataFrame, overrides: DataFrame, on: Sequence[str], increment: str = "increment", override: str = "override") -> DataFrame:
