@@ -847,11 +847,45 @@ def test_fit_is_the_best_subset_sum(monkeypatch):
                 sums |= {v + s for v in sums if v + s <= budget}
         monkeypatch.setattr(mixing, "WIDE", rng.choice([16, 200, 1 << 14]))
         monkeypatch.setattr(mixing, "ITEMS", rng.choice([2, 64]))
+        monkeypatch.setattr(mixing, "SPAN", rng.choice([0, 1 << 20]))
         got = mixing.fit(counts, budget)
         assert all(0 < n <= counts[s] for s, n in got.items())
         assert sum(s * n for s, n in got.items()) == max(sums)
 
 
+def test_fit_by_residues_is_the_best_subset_sum():
+    rng, fitted = random.Random(6), 0
+    for _ in range(1500):
+        sizes = rng.sample(range(1, 30), rng.randint(1, 5))
+        counts = {s * rng.choice([1, 1, 2, 6]): rng.choice([rng.randint(1, 5), rng.randint(20, 150)]) for s in sizes}
+        budget = rng.randint(1, sum(s * c for s, c in counts.items()))
+        sums = 1
+        for s, c in counts.items():
+            for _ in range(c):
+                sums |= sums << s
+        got = mixing.by_residues(counts, budget)
+        if got is not None:
+            fitted += 1
+            assert all(0 < n <= counts[s] for s, n in got.items())
+            assert sum(s * n for s, n in got.items()) == (sums & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    assert fitted > 500
+
+
+@pytest.mark.parametrize("n", [10**5, 10**9])
+def test_fit_of_pieces_of_one_length_takes_no_memory(n):
+    import tracemalloc
+
+    tracemalloc.start()
+    for budget in (400 * n, 100 * n + 3, 512 * n + 776, 512 * n + 777, 12_345):
+        got = mixing.fit({512: n, 777: 1}, budget)
+        want = max(v for v in (512 * min(n, budget // 512), 777 + 512 * min(n, (budget - 777) // 512)) if v <= budget)
+        assert sum(s * c for s, c in got.items()) == want
+    got = mixing.fit({512 * j: n for j in range(1, 60)} | {777: 1}, 500_000 * n + 5)
+    assert sum(s * c for s, c in got.items()) == max(v for v in range(500_000 * n - 1000, 500_000 * n + 6) if v % 512 in (0, 777 % 512))
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
 def test_taken_is_the_best_that_documents_allow(spark):
     rows = [(i, "w " * n, "a") for i, n in enumerate([50, 70, 90, 110, 70])] + [(10 + i, "w " * n, "b") for i, n in enumerate([500, 900, 1300, 3])]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

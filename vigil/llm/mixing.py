@@ -12,8 +12,11 @@ its documents, counted by exact size. First the same share of each size is taken
 over is filled from large sizes down to about WIDE words, which bounded-knapsack dynamic programming
 fits with the ITEMS smallest sizes still free. If that misses the best sum that can be (the budget,
 lowered to a multiple of the sizes' common divisor), the programming takes over more: twice the words
-and sizes, again and again, in the end all documents from an empty start, which is exact. So neither
-bound decides over the result. Of each size, documents are selected by cells of a seeded hash and by
+and sizes, up to SPAN words. What misses it still has a best sum that few sizes or their divisors
+decide, and is fitted by residues: the programming then runs over the remainders by one size that many
+documents have, which is exact and holds as many numbers as that size, however many documents there
+are. Where no size is that frequent, all documents go through the programming from an empty start. So
+no bound decides over the result. Of each size, documents are selected by cells of a seeded hash and by
 the hash within the last cell; cells keep large groups of one size apart. Reruns give the same rows.
 
 Rows stay one to one. Documents of size 0 (null and empty texts) are never taken; a source without
@@ -24,8 +27,10 @@ the names of new ones are replaced, others pass through.
 
 from __future__ import annotations
 
+from itertools import islice
 from math import gcd
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +44,8 @@ MOST = 2.0
 WIDE = 1 << 14
 #: Sizes (of the free ones, smallest first) that it uses at first.
 ITEMS = 64
+#: Words up to which it is widened.
+SPAN = 1 << 20
 #: Cells over which documents of one size are dealt.
 CELLS = 256
 SEED = 11
@@ -68,6 +75,88 @@ def programmed(free: dict[int, int], budget: int) -> dict[int, int]:
     return taken
 
 
+def least_by_residue(others: dict[int, int], a: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+    """For each remainder by a the least sum of the others that leaves it (-1 for none), and the lots that make it: (size, number, where it is used)."""
+    far = np.iinfo(np.int64).max // 2
+    least, lots = np.full(a, far, np.int64), []
+    least[0] = 0
+    for s, c in sorted(others.items()):
+        left, lot = min(c, a // gcd(a, s) - 1), 1  # more of them go round in a circle
+        while left > 0:
+            n = min(lot, left)
+            other = np.roll(least, s * n % a) + s * n
+            use = other < least
+            least = np.where(use, other, least)
+            lots.append((s, n, use))
+            left, lot = left - n, 2 * lot
+    return np.where(least < far, least, -1), lots
+
+
+def traced(r: int, a: int, lots: list[tuple[int, int, np.ndarray]]) -> dict[int, int]:
+    """How many of each size make the least sum of remainder r."""
+    taken: dict[int, int] = {}
+    for s, n, use in reversed(lots):
+        if use[r]:
+            taken[s] = taken.get(s, 0) + n
+            r = (r - s * n) % a
+    return taken
+
+
+def circle(sizes: list[int], a: int) -> list[int]:
+    """A part of these sizes whose sum a divides; there is one among any a sizes, as two of their running sums leave the same."""
+    at, total = {0: 0}, 0
+    for n, s in enumerate(sizes, 1):
+        total = (total + s) % a
+        if total in at:
+            return sizes[at[total] : n]
+        at[total] = n
+    return []
+
+
+def by_residues(counts: dict[int, int], budget: int) -> dict[int, int] | None:
+    """The same as fit(), by one size a with as many documents as the largest other size has words; None if there is none.
+
+    With v to be reached and S the sum of the others, v - S is filled with a. So S has v's remainder and lies
+    between v - a * counts[a] and v, a range at least as wide as any sum of a sizes. The least S of each remainder
+    is programmed, the greatest is what the least leaves. From these, groups of sizes that a divides are added,
+    or taken away, in proportion, until S is in range.
+    """
+    fine = [s for s in counts if counts[s] >= max((x for x in counts if x != s), default=0)]
+    if not fine:
+        return None
+    a = min(fine)
+    others = {s: c for s, c in counts.items() if s != a}
+    least, lots = least_by_residue(others, a)
+    total, filled = sum(s * c for s, c in others.items()), a * counts[a]
+    share = budget / (total + filled)
+    for v in range(budget, max(-1, budget - a), -1):
+        low, lack = int(least[v % a]), int(least[(total - v) % a])
+        if low < 0 or low > v or total - lack < v - filled:
+            continue
+        floor = max(0, v - filled)
+        if low >= floor:  # from the least up: nothing has to be added
+            taken, way, goal = traced(v % a, a, lots), 1, min(v, round(total * share))
+        else:  # from the greatest down
+            gone = traced((total - v) % a, a, lots)
+            taken, way, goal = {s: c - gone.get(s, 0) for s, c in others.items()}, -1, max(floor, round(total * share))
+        now = sum(s * n for s, n in taken.items())
+        for s in sorted(others, reverse=True):
+            unit = a // gcd(a, s)
+            own = (others[s] - taken.get(s, 0) if way > 0 else taken.get(s, 0)) // unit
+            n = min(own, max(0, way * (goal - now)) // (unit * s))
+            taken[s] = taken.get(s, 0) + way * n * unit
+            now += way * n * unit * s
+        while now > v:
+            some = circle(list(islice((s for s in sorted(others) for _ in range(taken.get(s, 0))), a)), a)
+            if not some:  # fewer than a are left, and the least would have done
+                raise RuntimeError("residues do not fit")
+            for s in some:
+                taken[s] -= 1
+                now -= s
+        return {s: n for s, n in {**taken, a: (v - now) // a}.items() if n}
+    return None
+
+
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each size to take, none above its count, so that sizes have the greatest sum up to `budget`.
 
@@ -94,6 +183,8 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
             taken[s] += n
         if everything or sum(s * n for s, n in taken.items()) == goal:
             return {s: n for s, n in taken.items() if n}
+        if wide >= SPAN and not everything and (exact := by_residues(counts, budget)) is not None:
+            return exact
         wide, items = 2 * wide, 2 * items
 
 
