@@ -625,6 +625,50 @@ def test_knn_clusters_are_pruned_without_loss(spark):
     assert found(df, 10) == brute_knn(rows, 10)
 
 
+def test_knn_doubles_of_any_size(spark, monkeypatch):
+    rng = random.Random(13)
+    some = [0.0, 0.3, -1.0, 77.0, 1e20, -1e150, 1e200, -1e200, 1.7e308, -1.7e308]
+    rows = [(i, [rng.choice(some[: 3 + i % 8]) for _ in range(3)]) for i in range(200)] + [(i, [0.5, 1.0 * (i % 9), 2.0]) for i in range(200, 400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(np.floor(x * 256)) if abs(x) < 2**40 else int(x) * 256 for x in e]) for i, e in rows]
+    want = []
+    for n, (i, q) in enumerate(whole):
+        if i % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(whole) if m != n)[:5]
+            want += [(i, r + 1, j, -s if -(2**63) <= -s < 2**63 else None) for r, (s, j) in enumerate(best)]
+    assert found(df, 10) == sorted(want, key=key)
+    monkeypatch.setattr(knn, "GROUP", 8)
+    monkeypatch.setattr(knn, "BLOCK", 50)
+    assert found(df.repartition(3), 10) == sorted(want, key=key)
+    huge = df.where("vec_id = 0").select("vec_id", F.array(F.lit(1e300)).alias("embedding"))
+    assert found(huge.unionByName(huge.withColumn("vec_id", F.lit(7).cast("bigint"))), 10) == [(0, 1, 7, None)]
+
+
+def test_knn_reach_holds_every_neighbour():
+    """All wanted rows of a query lie within its cell's reach, and of clustered data few others do."""
+    rng = np.random.default_rng(4)
+    k = 6
+    for spread in (0.1, 3.0):
+        centres = rng.normal(0, 20, (12, 8))
+        x = np.floor(256 * (centres[rng.integers(0, 12, 800)] + rng.normal(0, spread, (800, 8))))
+        q = np.floor(256 * (centres[rng.integers(0, 12, 100)] + rng.normal(0, spread, (100, 8))))
+        most = knn.squares(x).max()
+        lx, lq = knn.lifted(x, most), knn.flat(q)
+        p = lx[rng.choice(800, 28, replace=False)]
+        low, high = knn.distances(lx, knn.squares(lx), p, knn.squares(p))
+        cell = high.argmin(axis=1)
+        near = {j: sorted(high[cell == j, j])[:k] for j in np.unique(cell).tolist()}
+        q_low, q_high = knn.distances(lq, knn.squares(lq), p, knn.squares(p))
+        of = q_high.argmin(axis=1)
+        asked = {i: q_high[of == i, i].max() for i in np.unique(of).tolist()}
+        apart = knn.distances(p, knn.squares(p), p, knn.squares(p))[1]
+        reach = knn.reaches(apart, asked, near, k)
+        for n, i in enumerate(of.tolist()):
+            best = np.argsort(-(x @ q[n]), kind="stable")[:k]
+            assert (low[best, i] <= reach[i]).all()
+        assert np.array_equal(np.argsort(-(x @ q[0]))[:1], np.argsort(((lx - lq[0]) ** 2).sum(axis=1))[:1])
+
+
 # --- 6: SimHash
 
 

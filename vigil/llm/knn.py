@@ -1,19 +1,28 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
 Components x become floor(SCALE * x); rows whose vector is null or holds a null or a non-finite
-component take no part, nor do null ids. Every finite float takes part; doubles of over LIMIT after
-scaling, which no float reaches, end the run. Scores are exact whole numbers of any size and ranked as
-such; one that a long cannot hold is returned as null.
+component take no part, nor do null ids. All finite numbers take part, doubles of any size too. Scores
+are exact whole numbers of any size and ranked as such; one that a long cannot hold is returned as null.
 Shorter vectors count as followed by zeros. A query's own row is no candidate; other rows with its
-id are. Ties go to the smaller id. Queries are rows whose id is divisible by `every`.
+id are. Ties go to the smaller id. Queries are rows whose id is divisible by `every`. Columns but id and
+vector don't matter, whatever their names; an empty table gives no rows.
+
+Inner products become distances by one coordinate more: with M the greatest norm, x gets
+sqrt(M^2 - |x|^2) and q gets 0, so that |q' - x'|^2 = |q|^2 + M^2 - 2 q.x, and the best scores are the nearest points.
+
+Data and queries are dealt to the Voronoi cells of the same pivots (data rows chosen by hash). Of each data cell a
+summary is kept: its rows, the greatest distance from its pivot and the k + 1 least ones; of each
+query cell the greatest distance. For queries of cell i, U_i + |p_i p_j| + d is not below the distance of any of
+them to the row at distance d in cell j, so the (k + 1)-th least of these over all summaries bounds what any query
+of the cell still needs: T_i. A data row can be wanted only if it lies within U_i + T_i of p_i. Cells whose summary
+rules that out are left out whole, rows of others by their own distance; the rest are sent to the cell's
+group (neighbouring query cells make one group, large groups are split), in blocks, and each
+block is searched exactly where its group is. Blocks' best are merged.
 
 Of equal vectors only the k + 1 smallest ids can be among any k best, so the others are left out
-first (before the shuffle in each task, so a vector that fills the table stays small). Queries are
-grouped by the nearest of some pivots (chosen by hash), large groups split. Each group has a summary:
-its pivot p, its radius r and the least of its queries' k + 1-th best scores over a bounded sample of
-the data, below which no wanted score can lie. As q.x <= p.x + r |x|, a data row is sent to the groups
-for which that reaches the group's bound, in blocks, and each block is searched exactly where its
-group is. Blocks' best are merged.
+first (before the shuffle in each task, so a vector that fills the table stays small). Vectors with a component over
+HUGE, whose squares floats don't hold, lie in no cell: as data they go to all groups, as queries they make a group
+that gets all, and they are scored in whole numbers only.
 
 For vectors spread evenly in many dimensions these bounds exclude little and the join becomes the
 stated query set against all rows, in blocks; for clustered ones each row goes to few groups.
@@ -21,34 +30,45 @@ stated query set against all rows, in blocks; for clustered ones each row goes t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.llm.common import written
+
 SCALE = 256
-LIMIT = 2.0**500
+HUGE = 2.0**490
 #: Queries that a group holds, and rows that a block holds, at most; groups made at least.
 GROUP, BLOCK, GROUPS = 2048, 8192, 4
-#: Pivots at most; rows of the data sample at most.
-PIVOTS, SAMPLE = 4096, 4096
+#: Pivots at most, rows measured at a time.
+PIVOTS, ROWS = 1024, 2048
 #: Floats are whole up to this; bytes of a score that a long cannot hold.
-EXACT, WIDE = float(1 << 53), 136
+EXACT, WIDE = float(1 << 53), 272
 
 
-def whole(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(vec_id, v): whole components, rows that take part only."""
+def taking_part(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(vec_id, v): vectors as doubles, rows that take part only."""
     finite = F.forall(vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+    known = rows.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & finite)
+    return known.select("vec_id", F.transform(vector, lambda e: e.cast("double")).alias("v"))
 
-    def scaled(e: Column) -> Column:
-        x = e.cast("double") * SCALE
-        over = F.raise_error(F.lit("knn: a component is too large")).cast("double")
-        return F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).when(F.abs(x) <= LIMIT, x).otherwise(over)
 
-    known = rows.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & finite)
-    return known.select("vec_id", F.transform(vector, scaled).alias("v"))
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole components; and which rows are huge, for which they are zeros."""
+    with np.errstate(over="ignore"):
+        out = np.floor(x * SCALE)
+    huge = np.abs(out).max(axis=1, initial=0) > HUGE
+    out[huge] = 0
+    return out, huge
+
+
+def digits(v: list[float]) -> list[int]:
+    """Whole components as Python has them, of any size."""
+    return [floor(a * SCALE) if abs(a) < EXACT else int(a) * SCALE for a in v]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -78,18 +98,25 @@ def least(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
 
 
 def top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(row, column, score) of the k highest of each q, ties to smaller ids; where floats are too
-    short, those that may be among them are computed again as whole numbers."""
-    score, off = scores(q, x)
-    if off is None:
+    """(row, column, score) of the k highest of each q, ties to smaller ids. q, x: vectors as given.
+
+    Where floats are too short, those that may be among them are computed again as whole numbers.
+    """
+    (wide_q, huge_q), (wide_x, huge_x) = scaled(q), scaled(x)
+    score, off = scores(wide_q, wide_x)
+    if off is None and not huge_q.any() and not huge_x.any():
         row, column = best(score.astype(np.int64), ids, k)
         return row, column, score[row, column].astype(np.int64).tolist()
-    may = score + off >= least(q, x, min(k, len(x)))[:, None]
+    off = np.zeros(score.shape) if off is None else off
+    may = np.ones(score.shape, bool)
+    if (~huge_x).sum() > k:
+        low = least(wide_q, wide_x[~huge_x], k)
+        may = (score + off >= low[:, None]) | huge_q[:, None] | huge_x[None, :]
     found = []
-    wide_q = [[int(a) for a in v] for v in q.tolist()]
-    wide_x = {n: [int(a) for a in x[n].tolist()] for n in np.flatnonzero(may.any(axis=0)).tolist()}
-    for n, v in enumerate(wide_q):
-        exact = sorted((-sum(a * b for a, b in zip(v, wide_x[m])), int(ids[m]), m) for m in np.flatnonzero(may[n]).tolist())
+    whole_x = {n: digits(x[n].tolist()) for n in np.flatnonzero(may.any(axis=0)).tolist()}
+    for n, v in enumerate(q.tolist()):
+        own = digits(v)
+        exact = sorted((-sum(a * b for a, b in zip(own, whole_x[m])), int(ids[m]), m) for m in np.flatnonzero(may[n]).tolist())
         found += [(n, m, -s) for s, _, m in exact[:k]]
     return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64), [f[2] for f in found]
 
@@ -107,68 +134,144 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return row[place < k], column[place < k]
 
 
+def distances(x: np.ndarray, sizes: np.ndarray, p: np.ndarray, p_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of rows to pivots from below and above; sizes: squared norms."""
+    size = sizes[:, None] + p_sizes[None, :]
+    square, off = size - 2 * (x @ p.T), size * (x.shape[1] * 2.0**-48)
+    return np.sqrt(np.maximum(square - off, 0)), np.sqrt(np.maximum(square, 0) + off)
+
+
+def lifted(x: np.ndarray, most: float) -> np.ndarray:
+    """Data rows with the coordinate that makes their norm the greatest one."""
+    return np.column_stack((x, np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0))))
+
+
+def flat(q: np.ndarray) -> np.ndarray:
+    """Queries with a zero in its place."""
+    return np.column_stack((q, np.zeros(len(q))))
+
+
+def squares(x: np.ndarray) -> np.ndarray:
+    return (x * x).sum(axis=1)
+
+
+def reaches(apart: np.ndarray, asked: dict[int, float], near: dict[int, list[float]], k: int) -> dict[int, float]:
+    """For each query cell how far from its pivot a wanted row can lie. apart: pivots' distances; asked: a cell's greatest distance; near: the least k of a data cell."""
+    cell = np.array([j for j, ds in near.items() for _ in ds], np.int64)
+    dist = np.array([d for ds in near.values() for d in ds])
+    out = {}
+    for i, far in asked.items():
+        bounds = far + apart[i, cell] + dist
+        out[i] = far + np.partition(bounds, k - 1)[k - 1] if len(bounds) >= k else np.inf
+    return out
+
+
 def search(rows: DataFrame, k: int = 5, every: int = 50, vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best, fewer if there are fewer."""
     spark = rows.sparkSession
-    valid = whole(rows, vector)
+    valid = taking_part(rows, vector)
     same = Window.partitionBy("v").orderBy("vec_id")
     data = valid.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", "v", F.xxhash64("v").alias("h"))
     asked = valid.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.count("*").alias("times"))
-    n, dim = valid.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    n_asked = asked.count()
-    of = int(np.clip(-(-n_asked // (GROUP // 2)), min(GROUPS, max(1, n_asked)), PIVOTS))
-    pivots = [r["v"] for r in asked.orderBy(F.xxhash64(F.lit("pivot"), "v"), "vec_id").limit(of).collect()]
-    pivot = np.zeros((max(1, len(pivots)), dim))
-    for m, v in enumerate(pivots):
-        pivot[m, : len(v)] = v
-    near = [r["v"] for r in data.orderBy(F.xxhash64(F.lit("sample"), "v"), "vec_id").limit(SAMPLE).select("v").collect()]
-    sample = np.zeros((len(near), dim))
-    for m, v in enumerate(near):
-        sample[m, : len(v)] = v
-    shared = spark.sparkContext.broadcast((pivot, sample))
+    whole = lambda e: F.floor(F.when(F.abs(e) < EXACT, e * SCALE)).cast("double")
+    small = F.forall("v", lambda e: F.abs(e) * SCALE <= HUGE)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, e: a + F.pow(F.coalesce(whole(e), e * SCALE), 2))
+    n, dim, most = valid.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.max(F.when(small, norm))).first()
+    n_asked, most = asked.count(), (most or 0.0) * (1 + 1e-9)
+    of = int(np.clip(np.ceil(np.sqrt(n)), 1, PIVOTS))
+    chosen = data.where(small).orderBy(F.xxhash64(F.lit("pivot"), "v"), "vec_id").limit(of).select("v").collect()
+    pivot = np.zeros((len(chosen), dim))
+    for m, r in enumerate(chosen):
+        pivot[m, : len(r["v"])] = r["v"]
+    pivot = lifted(scaled(pivot)[0], most)
+    shared = spark.sparkContext.broadcast(pivot)
+
+    def measured(column: pa.Array, put: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, cell, distances from below and above, huge) of some rows at a time."""
+        p = shared.value
+        p_sizes = squares(p)
+        for a in range(0, len(column), ROWS):
+            x, huge = scaled(matrix(column.slice(a, ROWS), dim))
+            x = put(x)
+            low, high = distances(x, squares(x), p, p_sizes)
+            yield slice(a, a + len(x)), high.argmin(axis=1) if len(p) else np.zeros(len(x), np.int64), low, high, huge
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's part of the summaries: of each cell its rows, greatest distance and k + 1 least ones."""
+        count, far = np.zeros(len(shared.value), np.int64), np.zeros(len(shared.value))
+        near = np.full((len(shared.value), k + 1), np.inf)
+        for batch in batches:
+            for _, cell, _, high, huge in measured(batch.column("v"), lambda x: lifted(x, most)):
+                own = high[np.arange(len(cell)), cell][~huge] if len(shared.value) else np.zeros(0)
+                cell = cell[~huge] if len(own) else np.zeros(0, np.int64)
+                np.add.at(count, cell, 1)
+                np.maximum.at(far, cell, own)
+                for j in np.unique(cell):
+                    near[j] = np.sort(np.concatenate((near[j], own[cell == j])))[: k + 1]
+        full = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(count[full]), pa.array(far[full]), pa.array([[d for d in near[j].tolist() if d < np.inf] for j in full], pa.list_(pa.float64()))], names=["cell", "n", "far", "near"])
+
+    parts = written(data.select("v").mapInArrow(summed, "cell int, n long, far double, near array<double>"))
+    cells = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()  # a row a pivot
+    by_cell = Window.partitionBy("cell").orderBy("d")
+    least_of = parts.select("cell", F.explode("near").alias("d")).withColumn("at", F.row_number().over(by_cell)).where(F.col("at") <= k + 1)
+    near: dict[int, list[float]] = {}
+    for r in least_of.collect():  # k + 1 rows a pivot
+        near.setdefault(r["cell"], []).append(r["d"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, s = shared.value
         for batch in batches:
-            q = matrix(batch.column("v"), dim)
-            size = (q * q).sum(1)[:, None] + (p * p).sum(1)
-            away = np.maximum(size - 2 * q @ p.T, 0)
-            away = np.sqrt(away + np.where(size < EXACT / 4, 0, size * (max(1, dim) * 2.0**-49)))  # not below the truth
-            g = away.argmin(axis=1)
-            bound = np.full(len(q), -np.inf)
-            if len(s) > k:
-                for a in range(0, len(q), 512):
-                    bound[a : a + 512] = least(q[a : a + 512], s, k + 1)
-            out = [pa.array(g, pa.int32()), pa.array(away[np.arange(len(q)), g]), pa.array(bound)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, "g", "away", "bound"])
-
-    placed = asked.mapInArrow(place, "vec_id bigint, v array<double>, times bigint, g int, away double, bound double")
-    summary = placed.groupBy("g").agg(F.max("away").alias("r"), F.min("bound").alias("low"), F.count("*").alias("n")).collect()  # a row a pivot
-    groups = [(r["g"], r["r"], r["low"], -(-r["n"] // GROUP)) for r in summary]
-    parts = max(1, -(-n // BLOCK))
-    known = spark.sparkContext.broadcast(groups)
-    splits = F.create_map(*(F.lit(x) for g, _, _, s in groups for x in (g, s))) if groups else F.create_map(F.lit(0), F.lit(1))
-    split = F.pmod(F.xxhash64("vec_id", "v"), splits[F.col("g")].cast("bigint")).cast("int")
-    queries = placed.select("vec_id", "v", F.xxhash64("v").alias("h"), "g", split.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"))
+            cell, away = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            for at, own, _, high, huge in measured(batch.column("v"), flat):
+                if len(shared.value):
+                    cell[at], away[at] = np.where(huge, -1, own), high[np.arange(len(own)), own]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
+
+    placed = asked.mapInArrow(place, "vec_id bigint, v array<double>, times bigint, cell int, away double")
+    of_cell = placed.groupBy("cell").agg(F.max("away").alias("far"), F.count("*").alias("n")).collect()  # a row a pivot
+    low, high = distances(pivot, squares(pivot), pivot, squares(pivot))
+    usual = {r["cell"]: r["far"] for r in of_cell if r["cell"] >= 0}
+    reach = reaches(high, usual, near, k + 1)
+    # Neighbouring query cells make a group, by the nearest of the first pivots; a group more takes huge queries.
+    heads = max(1, min(len(pivot), int(np.clip(-(-n_asked // (GROUP // 2)), GROUPS, PIVOTS))))
+    group = {i: int(low[i, :heads].argmin()) for i in usual} | {-1: -1}
+    held: dict[int, int] = {}
+    for r in of_cell:
+        held[group[r["cell"]]] = held.get(group[r["cell"]], 0) + r["n"]
+    splits = {g: -(-m // GROUP) for g, m in held.items()}
+    far = np.full(len(pivot), -np.inf)
+    for r in cells:
+        far[r["cell"]] = r["far"]
+    order = sorted(usual, key=lambda i: group[i])
+    wanted = np.array([reach[i] for i in order])
+    meets = low[order] - far[None, :] <= wanted[:, None] if order else np.zeros((0, len(pivot)), bool)
+    blocks = max(1, -(-n // BLOCK))
+    known = spark.sparkContext.broadcast((order, [group[i] for i in order], wanted, meets, splits))
+    pair = lambda d: F.create_map(*(F.lit(x) for kv in (d or {-1: 1}).items() for x in kv))
+    g = pair(group)[F.col("cell")]
+    split = F.pmod(F.xxhash64("vec_id", "v"), pair(splits)[F.col("g")].cast("bigint")).cast("int")
+    queries = placed.withColumn("g", g).select("vec_id", "v", F.xxhash64("v").alias("h"), "g", split.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, _ = shared.value
+        order, group, wanted, meets, splits = known.value
         for batch in batches:
-            x = matrix(batch.column("v"), dim)
-            size = np.sqrt((x * x).sum(axis=1))
             block = np.asarray(batch.column("h")).view(np.uint64) ^ np.asarray(batch.column("vec_id")).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            block = ((block >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            for g, r, low, split in known.value:
-                slack = size * ((r + np.linalg.norm(p[g])) * (1e-9 + dim * 2.0**-49)) + 1  # more than any rounding
-                reach = np.flatnonzero(x @ p[g] + r * size + slack >= low - abs(low) * 1e-9)
-                if len(reach):
-                    for part in range(split):
-                        own = batch.take(pa.array(reach))
-                        same = [pa.array(np.full(len(reach), y, np.int32)) for y in (g, part)]
-                        yield pa.RecordBatch.from_arrays(
-                            [own.column("vec_id"), own.column("v"), own.column("h"), *same, pa.array(block[reach], pa.int32())],
-                            names=["vec_id", "v", "h", "g", "part", "block"],
-                        )
+            block = ((block >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
+            to: dict[int, list[np.ndarray]] = {}
+            for at, cell, low, _, huge in measured(batch.column("v"), lambda x: lifted(x, most)) if order else ():
+                need = (meets[:, cell].T & (low[:, order] <= wanted[None, :])) | huge[:, None]
+                for g in set(group):
+                    own = need[:, [n for n, x in enumerate(group) if x == g]].any(axis=1)
+                    to.setdefault(g, []).append(at.start + np.flatnonzero(own))
+            if -1 in splits:
+                to[-1] = [np.arange(batch.num_rows)]
+            for g, found in to.items():
+                found = np.concatenate(found)
+                if len(found):
+                    own = batch.take(pa.array(found))
+                    for part in range(splits[g]):
+                        same = [pa.array(np.full(len(found), y, np.int32)) for y in (g, part)]
+                        yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("v"), own.column("h"), *same, pa.array(block[found], pa.int32())], names=["vec_id", "v", "h", "g", "part", "block"])
 
     dealt = data.mapInArrow(deal, "vec_id bigint, v array<double>, h bigint, g int, part int, block int")
 
