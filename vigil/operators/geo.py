@@ -56,25 +56,24 @@ def _thinned(rings: DataFrame, tol: Column, keys: Sequence[str]) -> DataFrame:
     ends = rings.groupBy(*keys).agg(F.min_by(vertex, "seq").alias("_a"), F.max_by(vertex, "seq").alias("_b"))
     kept = ends.select(*keys, F.explode(F.array("_a.seq", "_b.seq")).alias("seq")).distinct()
     inner = rings.select(*keys, "seq", "lon", "lat", "_tol").join(ends, list(keys))
-    done = [checkpointed(kept)]
+    done = [kept]
     dx, dy = F.col("_b.lon") - F.col("_a.lon"), F.col("_b.lat") - F.col("_a.lat")
     px, py = F.col("lon") - F.col("_a.lon"), F.col("lat") - F.col("_a.lat")
     long = F.sqrt(dx * dx + dy * dy)
     away = F.when(long > 0, F.abs(dx * py - dy * px) / long).otherwise(F.sqrt(px * px + py * py))
     while True:
-        inner = checkpointed(inner.where((F.col("seq") > F.col("_a.seq")) & (F.col("seq") < F.col("_b.seq"))))
+        inner = inner.where((F.col("seq") > F.col("_a.seq")) & (F.col("seq") < F.col("_b.seq"))).withColumn("_at", F.col("_a.seq"))
         far = F.max_by(vertex, F.struct(away, -F.col("seq")))
-        split = inner.where(away > F.col("_tol")).groupBy(*keys, F.col("_a.seq").alias("_at")).agg(far.alias("_m"))
-        split = checkpointed(split)
-        if split.isEmpty():
+        split = inner.where(away > F.col("_tol")).groupBy(*keys, "_at").agg(far.alias("_m"))
+        met = checkpointed(inner.join(split, [*keys, "_at"]))  # the vertices of segments that are split
+        if met.isEmpty():
             break
-        done.append(split.select(*keys, "_m.seq"))
-        met = inner.withColumn("_at", F.col("_a.seq")).join(split, [*keys, "_at"])
+        done.append(met.where(F.col("seq") == F.col("_m.seq")).select(*keys, "seq"))
         before = F.col("seq") < F.col("_m.seq")
         inner = met.withColumns({"_a": F.when(before, F.col("_a")).otherwise(F.col("_m")), "_b": F.when(before, F.col("_m")).otherwise(F.col("_b"))}).drop("_m", "_at")
-        if len(done) == 64:
+        if len(done) == 32:
             done = [checkpointed(reduce(DataFrame.unionByName, done))]
-    return rings.drop("_tol").join(reduce(DataFrame.unionByName, done), [*keys, "seq"], "left_semi")
+    return rings.drop("_tol").join(checkpointed(reduce(DataFrame.unionByName, done)), [*keys, "seq"], "left_semi")
 
 
 def simplify_rings(vertices: DataFrame, tol: Column, keys: Sequence[str] = ("zone_id", "ring_no"), least: int = 4) -> DataFrame:
@@ -82,10 +81,10 @@ def simplify_rings(vertices: DataFrame, tol: Column, keys: Sequence[str] = ("zon
     rest, done = vertices, None
     for part in (1, 4, 16):
         thin = _thinned(rest, tol / part, keys)
-        good = thin.groupBy(*keys).count().where(F.col("count") >= least).select(*keys)
+        good = checkpointed(thin.groupBy(*keys).count().where(F.col("count") >= least).select(*keys))
         kept = thin.join(good, list(keys), "left_semi")
         done = kept if done is None else done.unionByName(kept)
-        rest = rest.join(good, list(keys), "left_anti")
+        rest = checkpointed(rest.join(good, list(keys), "left_anti"))
     return done.unionByName(rest)
 
 

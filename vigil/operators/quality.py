@@ -109,7 +109,7 @@ def gate(zones: DataFrame, provinces: DataFrame, national: DataFrame, key: str,
     summed by (key, province, zone), (key, province) and (key). Of a level both its own published values and
     the sums of the finer ones are then in one row. Nation: provinces' sums, declared zones, detailed
     zones (not blocking), rate. Province: zones' sums where there is detail (not blocking), rate. Zones: those below zero
-    or with more deaths than cases, as rows that are not ok; a zone that is fine has none. Null sums count as 0.
+    or with more deaths than cases, as rows that are not ok; a zone that is fine has none. Nulls count as 0; without cases there is no rate to check.
     """
     lead = lambda p, names: [F.col(n).alias(f"{p}_{n}") for n in names]
     told = (*fields, "cfr", "zones")
@@ -121,32 +121,33 @@ def gate(zones: DataFrame, provinces: DataFrame, national: DataFrame, key: str,
     sets = [[F.col(key), F.col("province"), F.col("zone")], [F.col(key), F.col("province")], [F.col(key)]]
     sums = rows.groupingSets(sets, F.col(key), F.col("province"), F.col("zone")).agg(F.grouping_id().alias("_level"), *(F.sum(c).alias(c) for c in measures))
 
-    def own(prefix: str) -> Column:
-        return F.round(100.0 * F.col(f"{prefix}_{fields[1]}") / F.when(F.col(f"{prefix}_{fields[0]}") > 0, F.col(f"{prefix}_{fields[0]}")), 1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
 
     def equal(name: str, a: str, b: str, blocking: bool) -> tuple[str, Column, Column, Column, bool]:
-        a, b = F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0))
-        return name, a, b, a == b, blocking
+        return name, zero(a), zero(b), zero(a) == zero(b), blocking
 
     def rate(prefix: str, slack: float) -> tuple[str, Column, Column, Column, bool]:
-        return "rate", own(prefix), F.col(f"{prefix}_cfr"), F.abs(own(prefix) - F.col(f"{prefix}_cfr")) <= slack + 1e-9, True
+        own, cfr = F.round(100.0 * zero(f"{prefix}_{fields[1]}") / cases(prefix), 1), zero(f"{prefix}_cfr")
+        return "rate", own, cfr, F.abs(own - cfr) <= slack + 1e-9, True
 
-    def level(of: int, there: str, scope: Column, checks: Sequence[tuple[str, Column, Column, Column, bool]]) -> Column:
+    def cases(prefix: str) -> Column:
+        return F.when(F.col(f"{prefix}_{fields[0]}") > 0, F.col(f"{prefix}_{fields[0]}"))
+
+    def level(of: int, there: Column, scope: Column, checks: Sequence[tuple[str, Column, Column, Column, bool]]) -> Column:
         made = [F.struct(F.lit(i).alias("check_id"), scope.cast("string").alias("scope"), e.cast("double").alias("expected"), a.cast("double").alias("actual"), F.coalesce(ok, F.lit(False)).alias("ok"), F.lit(b).alias("blocking")) for i, e, a, ok, b in checks]
-        return F.when((F.col("_level") == of) & (F.col(there) > 0), F.array(*made))
+        return F.when((F.col("_level") == of) & (there > 0), F.array(*made))
 
     nation = [equal(f"rollup_{f}", f"n_{f}", f"p_{f}", True) for f in fields]
-    nation += [equal("declared_zones", "n_zones", "p_zones", True), equal("zone_count", "p_zones", "z_n", False), rate("n", tolerance[0])]
-    province = [equal("zone_sums", f"p_{fields[0]}", f"z_{fields[0]}", False)]
-    zone = [("non_negative", F.lit(0), F.least(*(f"z_{f}" for f in fields)), F.least(*(f"z_{f}" for f in fields)) >= 0, True), ("deaths_le_cases", F.col(f"z_{fields[0]}"), F.col(f"z_{fields[1]}"), F.col(f"z_{fields[1]}") <= F.col(f"z_{fields[0]}"), True)]
+    nation += [equal("declared_zones", "n_zones", "p_zones", True), equal("zone_count", "p_zones", "z_n", False)]
+    low, some, dead = zero(F.least(*(f"z_{f}" for f in fields))), zero(f"z_{fields[0]}"), zero(f"z_{fields[1]}")
+    zone = [("non_negative", F.lit(0), low, low >= 0, True), ("deaths_le_cases", some, dead, dead <= some, True)]
     at = F.concat_ws("/", key, "province")
-    detail = F.when(F.col("p_n") > 0, F.col("z_n"))
-    both = sums.withColumn("_detail", detail)
-    rated = level(1, "p_n", at, [rate("p", tolerance[1])])
-    summed = level(1, "_detail", at, province)
-    bad = F.filter(level(0, "z_n", F.concat_ws("/", key, "province", "zone"), zone), lambda c: ~c["ok"])
-    levels = F.array(level(3, "n_n", F.col(key), nation), rated, summed, bad)
-    return both.select(F.inline(F.flatten(F.array_compact(levels))))
+    levels = [
+        level(3, F.col("n_n"), F.col(key), nation), level(3, cases("n"), F.col(key), [rate("n", tolerance[0])]),
+        level(1, F.when(F.col("p_n") > 0, F.col("z_n")), at, [equal("zone_sums", f"p_{fields[0]}", f"z_{fields[0]}", False)]), level(1, cases("p"), at, [rate("p", tolerance[1])]),
+        F.filter(level(0, F.col("z_n"), F.concat_ws("/", key, "province", "zone"), zone), lambda c: ~c["ok"]),
+    ]
+    return sums.select(F.inline(F.flatten(F.array_compact(F.array(*levels)))))
 
 
 def verdict(checks: DataFrame) -> DataFrame:

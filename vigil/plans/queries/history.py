@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigil.functions import text as T
+from vigil.functions.session import shared_dir
 from vigil.operators import history as H
 from vigil.operators import match as M
 from vigil.plans.registry import query
+from vigil.streaming import ingest as I
 
 UPDATES = """SELECT province, d, confirmed + 1 AS confirmed FROM fx_province_history WHERE DAY(d) = 5
 UNION ALL SELECT province, d + INTERVAL 10000 DAY, confirmed FROM fx_province_history WHERE DAY(d) = 5 AND MONTH(d) = 1"""
@@ -147,6 +151,20 @@ def _(fx):
     return H.recompute_from(h, h.where((F.dayofmonth("d") == 29) & (F.year("d") == 2000)), ["province", "zone"], ["cases"])
 
 
+@query("t2_late_report", """
+WITH h AS (SELECT province, zone, d, cases FROM fx_zone_history), r AS (SELECT DISTINCT d FROM h), n AS (SELECT province, zone, MIN(d) AS first FROM h GROUP BY province, zone),
+g AS (SELECT r.d, n.province, n.zone, h.cases, h.d AS seen FROM r JOIN n ON r.d >= n.first LEFT JOIN h ON h.d = r.d AND h.zone = n.zone AND h.province = n.province),
+f AS (SELECT province, zone, d, LAST_VALUE(cases IGNORE NULLS) OVER (PARTITION BY province, zone ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cases, seen IS NULL AS carried FROM g)
+SELECT * FROM f WHERE d >= (SELECT MIN(d) FROM h WHERE DAY(d) = 29 AND YEAR(d) >= 1999)""")
+def _(fx):
+    """The history without some reports, then these, late: what they change is returned."""
+    h = fx.zone_history.select("province", "zone", "d", "cases")
+    late = (F.dayofmonth("d") == 29) & (F.year("d") >= 1999)
+    root = f"{shared_dir(fx.spark)}/reports-{uuid.uuid4().hex}"
+    I.put_reports(fx.spark, root, h.where(~late), ["province", "zone"], ["cases"])
+    return I.put_reports(fx.spark, root, h.where(late), ["province", "zone"], ["cases"])
+
+
 @query("j1_join_zone", """
 SELECT a.province, a.zone, a.d, a.cases, n.n_nationkey AS code FROM fx_zone_history a JOIN nation n ON a.zone = n.n_name""")
 def _(fx):

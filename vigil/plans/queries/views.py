@@ -280,6 +280,35 @@ def _(fx):
     return Q.verdict(rollup_check(fx))
 
 
+@query("q15_gate", """
+WITH z AS (SELECT province, zone, d, cases - CASE WHEN DAY(d) = 2 THEN 3 ELSE 0 END AS cases, deaths FROM fx_zone_history),
+p AS (SELECT province, d, SUM(cases) + CASE WHEN DAY(d) = 4 THEN 1 ELSE 0 END AS cases, SUM(deaths) AS deaths, COUNT(*) AS zones FROM fx_zone_history GROUP BY province, d),
+q AS (SELECT *, CASE WHEN cases > 0 THEN ROUND(100.0E0 * deaths / cases, 1) END AS own FROM p),
+pr AS (SELECT *, own + CASE WHEN DAY(d) = 8 THEN 0.2E0 ELSE 0.0E0 END AS cfr FROM q),
+n AS (SELECT d, SUM(cases) AS cases, SUM(deaths) + CASE WHEN DAY(d) = 6 THEN 1 ELSE 0 END AS deaths, SUM(zones) + CASE WHEN DAY(d) = 9 THEN 1 ELSE 0 END AS zones, 50.0E0 AS cfr FROM p GROUP BY d),
+s AS (SELECT d, SUM(p.cases) AS cases, SUM(p.deaths) AS deaths, SUM(p.zones) AS zones FROM p GROUP BY d),
+zs AS (SELECT d, province, SUM(cases) AS cases FROM z GROUP BY d, province), zn AS (SELECT d, COUNT(*) AS n FROM z GROUP BY d),
+c AS (SELECT 'rollup_cases' AS check_id, CAST(n.d AS VARCHAR) AS scope, n.cases AS e, s.cases AS a, TRUE AS blocking FROM n JOIN s ON n.d = s.d
+  UNION ALL SELECT 'rollup_deaths', CAST(n.d AS VARCHAR), n.deaths, s.deaths, TRUE FROM n JOIN s ON n.d = s.d
+  UNION ALL SELECT 'declared_zones', CAST(n.d AS VARCHAR), n.zones, s.zones, TRUE FROM n JOIN s ON n.d = s.d
+  UNION ALL SELECT 'zone_count', CAST(s.d AS VARCHAR), s.zones, zn.n, FALSE FROM s JOIN zn ON zn.d = s.d
+  UNION ALL SELECT 'zone_sums', CAST(p.d AS VARCHAR) || '/' || p.province, p.cases, zs.cases, FALSE FROM p JOIN zs ON p.d = zs.d AND p.province = zs.province),
+r AS (SELECT 'rate' AS check_id, CAST(d AS VARCHAR) AS scope, ROUND(100.0E0 * deaths / cases, 1) AS e, cfr AS a, 0.1E0 AS slack FROM n WHERE cases > 0
+  UNION ALL SELECT 'rate', CAST(d AS VARCHAR) || '/' || province, own, cfr, 0.15E0 FROM pr WHERE cases > 0)
+SELECT check_id, scope, CAST(e AS DOUBLE) AS expected, CAST(a AS DOUBLE) AS actual, e = a AS ok, blocking FROM c
+UNION ALL SELECT check_id, scope, e, a, ABS(e - a) <= slack + 1E-9, TRUE FROM r
+UNION ALL SELECT 'non_negative', CAST(d AS VARCHAR) || '/' || province || '/' || zone, 0.0E0, CAST(LEAST(cases, deaths) AS DOUBLE), FALSE, TRUE FROM z WHERE LEAST(cases, deaths) < 0
+UNION ALL SELECT 'deaths_le_cases', CAST(d AS VARCHAR) || '/' || province || '/' || zone, CAST(cases AS DOUBLE), CAST(deaths AS DOUBLE), FALSE, TRUE FROM z WHERE deaths > cases""")
+def _(fx):
+    on = lambda n, x: F.when(F.dayofmonth("d") == n, x).otherwise(0)
+    h = fx.zone_history
+    zones = h.withColumn("cases", F.col("cases") - on(2, 3))
+    p = h.groupBy("province", "d").agg((F.sum("cases") + on(4, 1)).alias("cases"), F.sum("deaths").alias("deaths"), F.count("*").alias("zones"))
+    own = F.round(100.0 * F.col("deaths") / F.when(F.col("cases") > 0, F.col("cases")), 1)
+    n = p.groupBy("d").agg(F.sum("cases").alias("cases"), (F.sum("deaths") + on(6, 1)).alias("deaths"), (F.sum("zones") + on(9, 1)).alias("zones"), F.lit(50.0).alias("cfr"))
+    return Q.gate(zones, p.withColumn("cfr", own + on(8, 0.2)), n, "d")
+
+
 @query("a9_stage_success", """
 WITH g AS (SELECT doc_id + 1 AS number, doc_id % 3 <> 0 AS identity, doc_id % 7 <> 0 AS totals FROM documents),
 l AS (SELECT number, 'identity' AS stage, identity AS fine FROM g UNION ALL SELECT number, 'totals', totals FROM g)
