@@ -77,9 +77,13 @@ def report_links(pages: DataFrame, word: str = "sitrep", within: str = r"h[23]",
     return links.where(F.lower("title").contains(word.lower())).select(key, "title", "href")
 
 
+# Fixed value: the attribute in which pages embed a document's address, as base64 JSON.
+EMBEDDED = r"pdfemb-data=([A-Za-z0-9+/=]+)"
+
+
 def embedded_doc_url(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, url): the url in the first embedded base64 JSON that has one, else the first link to a .pdf."""
-    tokens = F.regexp_extract_all(html, F.lit(r"pdfemb-data=([A-Za-z0-9+/=]+)"), F.lit(1))
+    tokens = F.regexp_extract_all(html, F.lit(EMBEDDED), F.lit(1))
     padded = lambda t: F.rpad(t, (F.ceil(F.length(t) / 4) * 4).cast("int"), "=")
     urls = F.transform(tokens, lambda t: F.get_json_object(F.try_to_binary(padded(t), F.lit("base64")).cast("string"), "$.url"))
     first = F.get(F.filter(urls, lambda u: u.isNotNull()), F.lit(0))
