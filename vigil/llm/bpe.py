@@ -7,7 +7,8 @@ quadratic, take the same merges from a heap of ranks over linked parts.
 
 Null and empty texts have no tokens and decode to the empty text. Rows are kept one to one,
 repeated rows included; other columns pass through unchanged, and an existing column with an
-output's name is replaced.
+output's name is replaced. Very long texts are encoded whole, one at a time; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import pieces
+from vigil.llm.common import given_back, pieces
 
 LONG = 200
 NO_RANK = 1 << 60
@@ -203,7 +204,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", decoded: bo
                 out.append(pa.array([codec.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *(f.name for f in new)])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(given_back(run), schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids") -> DataFrame:
@@ -219,7 +220,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids") -> DataFra
             out = pa.array([codec.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(given_back(run), schema)
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import buckets, fresh, pieces, spans, texts, written
+from vigil.llm.common import buckets, fresh, given_back, pieces, spans, texts, written
 from vigil.llm.graph import components
 
 SHORT = 64
@@ -52,6 +52,8 @@ WIDE = 64
 TRIPLES = np.array([[(i + d) % WIDE for d in step] for step in ((0, 1, 3), (0, 5, 12)) for i in range(WIDE)])
 #: Differing bits, of 64 and of 8 * WIDE, up to which a pair of such a list is verified.
 LOOSE, CLOSE = 14, 100
+#: Bytes of text that are profiled, and nodes that are posted, at a time.
+PIECE, POSTED = 1 << 19, 2048
 #: Pairs up to which their fingerprints (two of 8 bytes each) are sent to all tasks.
 SENT = 1_000_000
 #: For each byte, its bits in eight lanes of a byte each.
@@ -177,7 +179,7 @@ def profiled(docs: DataFrame, words: int) -> DataFrame:
     more = [T.StructField("bits", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "t"):
+        for batch in pieces(batches, "t", PIECE):
             found = [np.array(shingle_hashes(x, words), "<u8") for x in texts(batch.column("t"))]
             single = [np.unique(x) for x in found]
             flat, sizes = np.concatenate(single), np.array([len(x) for x in single])
@@ -187,7 +189,7 @@ def profiled(docs: DataFrame, words: int) -> DataFrame:
             out = [pa.array(bits.view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + out, names=[*names, "bits", "wide", "shingles"])
 
-    return docs.mapInArrow(run, T.StructType([*kept.schema.fields, *more])).withColumn("f", F.xxhash64("shingles"))
+    return docs.mapInArrow(given_back(run), T.StructType([*kept.schema.fields, *more])).withColumn("f", F.xxhash64("shingles"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -209,7 +211,7 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 fine.append(both >= least * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b").mapInArrow(given_back(run), "a long, b long")
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -234,9 +236,7 @@ def posted(nodes: DataFrame) -> DataFrame:
     of = buckets(nodes.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(a, POSTED) for whole in batches for a in range(0, whole.num_rows, POSTED)):
             f = np.stack((np.asarray(batch.column("f")), np.asarray(batch.column("bits"))), axis=1)
             wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE).astype(np.uint32)
             key = (np.arange(len(TRIPLES), dtype=np.uint32) << 24) | (wide[:, TRIPLES[:, 0]] << 16) | (wide[:, TRIPLES[:, 1]] << 8) | wide[:, TRIPLES[:, 2]]
@@ -249,7 +249,7 @@ def posted(nodes: DataFrame) -> DataFrame:
                 [pa.array(used.astype(np.int32)), pa.array([key[x].tobytes() for x in cuts], pa.binary()), pa.array([own[x].tobytes() for x in cuts], pa.binary())], names=["bucket", "keys", "nodes"]
             )
 
-    return nodes.select("f", "bits", "wide").mapInArrow(post, "bucket int, keys binary, nodes binary")
+    return nodes.select("f", "bits", "wide").mapInArrow(given_back(post), "bucket int, keys binary, nodes binary")
 
 
 def first_pairs(nodes: DataFrame) -> DataFrame:
@@ -306,16 +306,8 @@ def other_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return mixed.select(bucket, "list", "f", "bits", "wide", "root").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """The documents, one row of each group linked by likenesses of `least` or more: one with the smallest key (a null key only where it has no other).
-
-    Rows are told apart by two 64-bit hashes of key and text; of rows that share both one stays.
-    Columns stay as they are.
-    """
-    h, g = fresh(docs, "_h", "_g")
-    hashes = {h: F.xxhash64(key, text), g: F.xxhash64(F.lit("second"), key, text)}
-    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), hashes[h].alias("h"), hashes[g].alias("g"))
-    marked = written(profiled(marked, words))
+def alike_groups(marked: DataFrame, least: float) -> DataFrame:
+    """marked: rows of profiled(), several of one f alike. (f, root): one value for each group of sets linked by likenesses of `least` or more."""
     sets = marked.select("f", "shingles")
     same = F.min(F.struct("bits", "wide", (F.length("shingles") > 0).alias("full"))).alias("_s")
     nodes = written(marked.groupBy("f").agg(same).select("f", "_s.*"))
@@ -337,7 +329,19 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     side = lambda c: ids.select(F.col("f").alias(c), F.col("root").alias(f"_{c}"))
     ids = joined(ids, others.join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     ids = ids.select(F.col("f").alias("root"), F.col("root").alias("_to"))
-    group = group.join(ids, "root", "left").select("f", F.coalesce("_to", "root").alias("root"))
+    return group.join(ids, "root", "left").select("f", F.coalesce("_to", "root").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The documents, one row of each group linked by likenesses of `least` or more: one with the smallest key (a null key only where it has no other).
+
+    Rows are told apart by two 64-bit hashes of key and text; of rows that share both one stays.
+    Columns stay as they are.
+    """
+    h, g = fresh(docs, "_h", "_g")
+    hashes = {h: F.xxhash64(key, text), g: F.xxhash64(F.lit("second"), key, text)}
+    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), hashes[h].alias("h"), hashes[g].alias("g"))
+    marked = written(profiled(marked, words))
     order = F.min(F.struct(F.col("k").isNull(), "k", "h", "g")).alias("first")
-    chosen = marked.select("k", "h", "g", "f").join(group, "f").groupBy("root").agg(order).select(F.col("first.h").alias(h), F.col("first.g").alias(g))
+    chosen = marked.select("k", "h", "g", "f").join(alike_groups(marked, least), "f").groupBy("root").agg(order).select(F.col("first.h").alias(h), F.col("first.g").alias(g))
     return docs.withColumns(hashes).join(chosen, [h, g], "left_semi").dropDuplicates([h, g]).drop(h, g)

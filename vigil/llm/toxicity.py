@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.calibration import platt
-from vigil.llm.common import fresh, held_out, pieces, sampled, spans, written
+from vigil.llm.common import fresh, given_back, held_out, pieces, sampled, spans, written
 
 BITS = 20
 MOST = 16_000
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         weights = np.zeros(1 << BITS, np.float32)
         weights[at] = w
         kept = WordHashes()
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, 1 << 20):
             found, offsets = features(batch.column(text).to_pylist(), kept)
             some = np.flatnonzero(weights[found])  # the others add nothing, so only these are made distinct
             owner = np.searchsorted(offsets, some, "right") - 1
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
             out = pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, name])
 
-    return kept_rows.mapInArrow(run, schema)
+    return kept_rows.mapInArrow(given_back(run), schema)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm import repeats as R
-from vigil.llm.common import buckets, pieces, texts
+from vigil.llm.common import buckets, given_back, pieces, texts
 
 CACHE = 150_000
 #: Times that the wanted length is halved.
@@ -148,11 +148,11 @@ def removed_words(docs: DataFrame, text: str = "text", length: int = 35) -> Data
         start = run[which, 1] + np.arange(len(key)) - R.offsets(counts)[which]
         return R.stretched(run[:, 0], which, start, R.again(key, anchor[which]))
 
-    found = R.met(marked.select("k1", "k2", "_text").mapInArrow(level(0), R.SENT), repeated)
+    found = R.met(marked.select("k1", "k2", "_text").mapInArrow(given_back(level(0)), R.SENT), repeated)
     # All joins take the same columns, so that the texts are dealt out once for all of them.
     for k in range(1, len(sizes) - 1):
-        found = R.met(marked.join(found, ["k1", "k2"]).mapInArrow(level(k), R.SENT), repeated)
-    ranges = R.met(marked.join(found, ["k1", "k2"]).mapInArrow(full, R.SENT), full_repeated)
+        found = R.met(marked.join(found, ["k1", "k2"]).mapInArrow(given_back(level(k)), R.SENT), repeated)
+    ranges = R.met(marked.join(found, ["k1", "k2"]).mapInArrow(given_back(full), R.SENT), full_repeated)
     schema = T.StructType([marked.schema["_row"], T.StructField("_text", T.StringType()), *new])
 
     def take(batches: R.Pieces) -> R.Pieces:
@@ -173,7 +173,7 @@ def removed_words(docs: DataFrame, text: str = "text", length: int = 35) -> Data
             out = [pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), *out], names=schema.names)
 
-    out = marked.join(ranges, ["k1", "k2"], "left").mapInArrow(take, schema)
+    out = marked.join(ranges, ["k1", "k2"], "left").mapInArrow(given_back(take), schema)
     return R.restored(out, docs, text, [f.name for f in new])
 
 
