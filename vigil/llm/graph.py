@@ -11,7 +11,7 @@ ROUNDS = 60
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b): longs, not null. Returns (node, root), root the smallest node reachable; for nodes with links only.
+    """edges(a, b): values of one type that has an order (longs, bytes), not null. Returns (node, root), root the smallest node reachable; for nodes with links only.
 
     Loops and repeated edges are allowed; no edges give no rows. Each round hangs neighbours on the
     smallest node near them; rounds end when the set of edges no longer changes.
