@@ -486,6 +486,74 @@ def test_repeats_hard_cases(spark):
     assert windows.digests(docs.limit(0)).count() == 0 == suffixes.digests(docs.limit(0)).count()
 
 
+def shared_passage(spark, n=400):
+    """Texts of which two of three hold one passage of 45 words, each at another place among words of its own; some twice."""
+    rng = random.Random(8)
+    own = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passage = own(45)
+    rows = []
+    for i in range(n):
+        words = own(rng.randrange(40, 120))
+        if i % 3:
+            at = rng.randrange(len(words))
+            words[at:at] = passage[rng.randrange(3) : 45 - rng.randrange(3)]
+        rows.append((i, " ".join(words)))
+    rows += [(n + i, rows[7 * i][1]) for i in range(20)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("sample, often", [(16_000, 8), (60, 3), (16_000, 10**9)])
+def test_hot_passages_lose_nothing(spark, monkeypatch, sample, often):
+    monkeypatch.setattr(repeats, "SAMPLE", sample)
+    monkeypatch.setattr(repeats, "OFTEN", often)
+    docs = shared_passage(spark)
+    rows = docs.collect()
+    assert collected(suffixes.digests(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows, 400)
+    assert collected(windows.digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(rows, 35)
+    for length in (60, 150):
+        got = suffixes.removed_bytes(docs, length=length).select("doc_id", F.length("text").cast("long"), "n_removed", "n_spans", F.sha2("kept", 256))
+        assert sorted(map(tuple, got.collect())) == brute_bytes(rows, length)
+
+
+def largest_share(spark, monkeypatch, work):
+    """The largest part of the loads of one exchange of runs that one bucket of 32 gets."""
+    shares, met = [0.0], repeats.met
+
+    def watched(dealt, repeated):
+        loads = [r.n for r in dealt.groupBy("bucket").agg(F.sum(F.length("load")).alias("n")).collect()]
+        if sum(loads):
+            shares.append(max(loads) / sum(loads))
+        return met(dealt, repeated)
+
+    monkeypatch.setattr(repeats, "met", watched)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        work()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        monkeypatch.setattr(repeats, "met", met)
+    return max(shares)
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """One short passage in two thirds of the texts, between other words: its runs are dealt to many buckets."""
+    docs = shared_passage(spark, 900)
+    work = {"words": lambda: windows.removed_words(docs, length=50), "bytes": lambda: suffixes.removed_bytes(docs, length=400)}
+    split = {k: largest_share(spark, monkeypatch, w) for k, w in work.items()}
+    monkeypatch.setattr(repeats, "OFTEN", 10**9)
+    whole = {k: largest_share(spark, monkeypatch, w) for k, w in work.items()}
+    assert all(split[k] < 0.2 < whole[k] for k in work), (split, whole)
+
+
+def test_known_pairs():
+    known = repeats.Known([(-1, 2), (5, 7), (5, 1 << 63), (5, -3)])
+    one = np.array([5, 5, 5, 4, (1 << 64) - 1, 5], np.uint64)
+    two = np.array([7, 1 << 63, 8, 7, 2, (1 << 64) - 3], np.uint64)
+    assert known.holds(one, two).tolist() == [True, True, False, False, True, True]
+    assert not repeats.Known([]).holds(one, 7).any()
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 700).astype(np.uint8)

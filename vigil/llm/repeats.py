@@ -5,6 +5,11 @@ a content-chosen place, so that equal stretches lie in runs of equal anchors. Re
 piece are settled in the piece; of stretches that are equal there, only the first is sent on, so a
 passage that millions of texts share reaches a bucket once a piece. Texts are named by two 64-bit
 hashes, so equal texts share a name.
+
+Hot keys: what occurs often in a bounded sample of the texts (`common`) repeats for certain, so it is
+settled wherever it is met and not sent at all; and where such a key would only bring different
+stretches together, the callers deal these by more of their content. The sample decides how
+stretches travel, never whether they repeat.
 """
 
 from __future__ import annotations
@@ -16,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import spans
+from vigil.llm.common import pieces, sampled, spans, texts
 
 #: Odd multipliers of two rolling hashes, and their inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 SENT = "bucket int, names binary, run binary, anchor binary, load binary, settled binary"
 FOUND = "k1 bigint, k2 bigint, first array<int>, last array<int>"
+#: Texts of the sample, occurrences in it from which a key is hot, and hot keys at most (the most frequent; the others travel like all).
+SAMPLE, OFTEN, HOT = 16_000, 8, 1 << 14
 _POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -55,18 +62,16 @@ def rolled(values: np.ndarray, length: int, which: int = 0) -> np.ndarray:
 
 def anchors(grams: np.ndarray, wide: int) -> np.ndarray:
     """For each start, the place of the least of the `wide` grams from there on (the first of equals)."""
-    n = len(grams) - wide + 1
-    if n <= 0:
+    if len(grams) < wide:
         return np.zeros(0, np.int64)
-    bits = max(1, int(len(grams)).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    least, place = grams, np.arange(len(grams))
     have = 1
     while have < wide:
         step = min(have, wide - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
+        place = np.where(least[step:] < least[:-step], place[step:], place[:-step])
+        least = np.minimum(least[step:], least[:-step])
         have += step
-    return (least[:n] & low).astype(np.int64)
+    return place
 
 
 def starts_within(at: np.ndarray, length: int) -> np.ndarray:
@@ -145,6 +150,45 @@ def again(keys: np.ndarray, also: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
+class Known:
+    """Pairs of 64-bit hashes that are known to repeat."""
+
+    def __init__(self, pairs: list[tuple[int, int]]) -> None:
+        both = np.array(sorted((a % (1 << 64), b % (1 << 64)) for a, b in pairs), np.uint64).reshape(-1, 2)
+        self.one, self.two = both[:, 0].copy(), both[:, 1].copy()
+
+    def holds(self, one: np.ndarray, two: np.ndarray | int) -> np.ndarray:
+        """For each pair whether it is among them."""
+        out = np.zeros(len(one), bool)
+        two = np.broadcast_to(np.asarray(two, np.uint64), len(one))
+        at, end = np.searchsorted(self.one, one, "left"), np.searchsorted(self.one, one, "right")
+        todo = np.flatnonzero(at < end)
+        at = at[todo]
+        while len(todo):
+            out[todo] = self.two[at] == two[todo]
+            on = ~out[todo] & (at + 1 < end[todo])
+            todo, at = todo[on], at[on] + 1
+        return out
+
+
+def common(named_texts: DataFrame, keys: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], piece: int) -> Known:
+    """named_texts(k1, k2, _text): pairs of hashes that occur OFTEN times or more in about SAMPLE different texts, HOT pairs at most.
+
+    keys(texts) gives the pairs of a piece, one for each occurrence; only those that the piece has twice are counted.
+    """
+    some = sampled(named_texts.select("k1", "k2", "_text"), F.col("k1"), SAMPLE).dropDuplicates(["k1", "k2"])
+
+    def count(batches: Pieces) -> Pieces:
+        for batch in pieces(batches, "_text", piece):
+            one, two = keys(texts(batch.column("_text")))
+            more = again(one, two)
+            pairs, n = np.unique(np.stack((one[more], two[more]), axis=1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.uint64).view(np.int64)), pa.array(pairs[:, 1].astype(np.uint64).view(np.int64)), pa.array(n)], names=["one", "two", "n"])
+
+    counted = some.mapInArrow(count, "one long, two long, n long").groupBy("one", "two").agg(F.sum("n").alias("n"))
+    return Known([(r.one, r.two) for r in counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "one", "two").limit(HOT).collect()])
+
+
 def first_of_each(keys: np.ndarray) -> np.ndarray:
     """True for the first of equal keys."""
     out = np.zeros(len(keys), bool)
@@ -193,6 +237,8 @@ def met(dealt: DataFrame, repeated: Callable[[np.ndarray, np.ndarray, list[bytes
         own = which[np.concatenate((hits[:, 0], done[:, 0]))]
         order = np.lexsort((last, first, own))
         own, first, last = own[order], first[order], last[order]
+        new = np.append(True, (np.diff(own) != 0) | (np.diff(first) != 0) | (np.diff(last) != 0))[: len(own)]
+        own, first, last = own[new], first[new], last[new]  # copies of a text bring the same ones
         at = np.searchsorted(own, np.arange(len(who) + 1))
         rows = [(who[n], first[a:b], last[a:b]) for n, (a, b) in enumerate(zip(at, at[1:])) if b > a]
         return pa.table(
@@ -220,6 +266,11 @@ def named(docs: DataFrame, text: str, without: list[str]) -> DataFrame:
     return docs.select(row, t.alias("_text"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit("second"), t).alias("k2"))
 
 
+def beside(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts that have found stretches, with these; in the order of their names, so that a task that is run again makes the same pieces."""
+    return marked.join(found, ["k1", "k2"]).sortWithinPartitions("k1", "k2")
+
+
 def restored(out: DataFrame, docs: DataFrame, text: str, new: list[str]) -> DataFrame:
     """The columns of `docs` in their order, then the new ones."""
     rest = docs.drop(*new).columns

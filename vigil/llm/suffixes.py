@@ -11,7 +11,10 @@ prefixes of the wanted length are repeats within the shard. Across shards, the s
 kind in their shard meet by anchor. There they are dealt to slices of a bounded number by a hash, so
 that equal ones come together; strings that share their hash with no other are done with. In a slice
 the bytes of the shards' strings are merged into one sorted array and each string is looked up in it
-by binary search: one that is found more than once is a repeat. Equality is that of bytes throughout.
+by binary search: one that is found more than once is a repeat. Equality is that of bytes, but for
+strings that are frequent in a sample of the texts: these are known by two 64-bit hashes and settled
+where they are met. Strings of an anchor that is frequent there are dealt by both their ends too, so
+that an anchor in very many texts with different surroundings is split over many buckets.
 
 Texts are UTF-8 bytes, null and empty ones have none. Every covered byte goes, the first occurrence
 included; strings never reach over documents and are judged on the input. Equal texts share their
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm import repeats as R
-from vigil.llm.common import buckets, pieces, texts
+from vigil.llm.common import buckets, given_back, pieces, texts
 
 GRAM = 64
 SHARD = 2 << 20
@@ -183,6 +186,13 @@ def across_shards(length: int):
     return merge
 
 
+def at_ends(grams: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string the places of the least gram of its first quarter and of its last."""
+    quarter = max(gram, length // 4)
+    least = R.anchors(grams, quarter - gram + 1)
+    return least[starts], least[starts + length - quarter]
+
+
 def removed_bytes(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
     """The documents with `kept` (binary: the bytes that stay), `n_bytes`, `n_removed` and `n_spans` (removed runs); a null text becomes empty."""
     gram = min(GRAM, max(1, length // 2))
@@ -198,12 +208,30 @@ def removed_bytes(docs: DataFrame, text: str = "text", length: int = 400) -> Dat
             raw = [all_texts[n] for n in use.tolist()]
             yield batch, names[use], use, np.frombuffer(b"".join(raw), np.uint8), R.offsets([len(x) for x in raw])
 
+    def keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors with zero, strings at anchors that the piece has twice by two hashes."""
+        data, at = np.frombuffer(b"".join(raw), np.uint8), R.offsets([len(x) for x in raw])
+        starts, anchor, grams = anchored(data, at, length, gram)
+        place = np.unique(anchor)
+        twice = np.zeros(len(grams), bool)
+        twice[place[R.again(grams[place])]] = True
+        one, two = string_keys(data, starts[twice[anchor]])
+        return np.concatenate((grams[place], one)), np.concatenate((np.zeros(len(place), np.uint64), two))
+
+    def string_keys(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return R.rolled(VALUE[data], length)[starts], R.rolled(VALUE[data], length, 1)[starts] | np.uint64(1)
+
+    known = R.common(marked, keys, SHARD)
+
     def find_anchors(batches: R.Pieces) -> R.Pieces:
         for _, names, _, data, at in shards(batches):
             _, anchor, grams = anchored(data, at, length, gram)
             place = np.unique(anchor)
             key = grams[place]
-            twice, send = R.again(key), R.first_of_each(key)
+            sure = known.holds(key, 0)
+            twice, send = R.again(key) | sure, R.first_of_each(key) & ~sure
             yield R.sent(of, names, at, (place[send], place[send]), key[send], None, R.stretches(place[twice], R.text_of(at, place[twice])))
 
     def sort_shards(batches: R.Pieces) -> R.Pieces:
@@ -216,17 +244,28 @@ def removed_bytes(docs: DataFrame, text: str = "text", length: int = 400) -> Dat
             starts, anchor, grams = anchored(data, at, length, gram)
             own = candidate[anchor]
             starts, anchor = starts[own], anchor[own]
+            hot = known.holds(grams[anchor], 0)
+            sure = np.zeros(len(starts), bool)
+            sure[hot] = known.holds(*string_keys(data, starts[hot]))
+            settled, starts, anchor, hot = starts[sure], starts[~sure], anchor[~sure], hot[~sure]
             twice, kind = in_shard(data, starts, length)
-            first, last = R.stretches(starts, anchor)
+            key, cut = grams[anchor], anchor
+            if hot.any():  # runs of their own, dealt by both ends of the strings too
+                a, b = at_ends(grams, starts[hot], length, gram)
+                key[hot] = R.mixed(key[hot] ^ R.mixed(grams[a] ^ R.mixed(grams[b])))
+                cut = np.stack((anchor, np.full(len(starts), -1), np.full(len(starts), -1)), axis=1)
+                cut[hot, 1], cut[hot, 2] = a, b
+                cut = np.append(0, np.cumsum((np.diff(cut, axis=0) != 0).any(axis=1)))
+            first, last = R.stretches(starts, cut)
             begun = np.searchsorted(starts, first)
             send = np.add.reduceat(kind, begun, dtype=np.int64) > 0 if len(begun) else np.zeros(0, bool)
             first, last = first[send], last[send]
-            loads = [data[a : b + length].tobytes() for a, b in zip(first, last)]
-            yield R.sent(of, names, at, (first, last), grams[anchor[begun[send]]], loads, R.stretches(starts[twice]))
+            loads = [data[x : y + length].tobytes() for x, y in zip(first, last)]
+            yield R.sent(of, names, at, (first, last), key[begun[send]], loads, R.stretches(np.sort(np.concatenate((starts[twice], settled)))))
 
-    candidates = R.met(marked.select("k1", "k2", "_text").mapInArrow(find_anchors, R.SENT), lambda run, anchor, _: run[R.again(anchor)])
+    candidates = R.met(marked.select("k1", "k2", "_text").mapInArrow(given_back(find_anchors), R.SENT), lambda run, anchor, _: run[R.again(anchor)])
     # The same columns as below, so that the texts are dealt out once for both joins.
-    ranges = R.met(marked.join(candidates, ["k1", "k2"]).mapInArrow(sort_shards, R.SENT), across_shards(length))
+    ranges = R.met(R.beside(marked, candidates).mapInArrow(given_back(sort_shards), R.SENT), across_shards(length))
     schema = T.StructType([marked.schema["_row"], T.StructField("_text", T.StringType()), *new])
 
     def take(batches: R.Pieces) -> R.Pieces:
@@ -243,7 +282,7 @@ def removed_bytes(docs: DataFrame, text: str = "text", length: int = 400) -> Dat
             out = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in zip(*counts))]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), *out], names=schema.names)
 
-    out = marked.join(ranges, ["k1", "k2"], "left").mapInArrow(take, schema)
+    out = marked.join(ranges, ["k1", "k2"], "left").mapInArrow(given_back(take), schema)
     return R.restored(out, docs, text, [f.name for f in new])
 
 

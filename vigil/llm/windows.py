@@ -10,7 +10,8 @@ The first level is thinned without loss: a full window is stood for by one of it
 the one with the least hash. Which one that is, and how it is extended, depends on the words of the
 full window alone, so equal full windows climb by equal windows: if one of these occurs nowhere
 else, neither does the full window. Every level meets by content in buckets (see repeats.py); repeats
-within a piece of some megabytes are settled before anything is sent.
+within a piece of some megabytes are settled before anything is sent, so are windows that are frequent in a
+sample of the texts, and full windows that climbed by such a one are dealt by their own hashes.
 
 Words are runs of other characters than space, tab, line feed, vertical tab, form feed and carriage
 return. Every covered word goes, the first occurrence included; windows never reach over documents
@@ -36,6 +37,8 @@ from vigil.llm.common import buckets, given_back, pieces, texts
 CACHE = 150_000
 #: Times that the wanted length is halved.
 STEPS = 2
+#: Bytes of a piece of the sample.
+SAMPLED = 4 << 20
 
 
 class WordHashes(dict):
@@ -88,6 +91,18 @@ def removed_words(docs: DataFrame, text: str = "text", length: int = 35) -> Data
     of, sizes = buckets(docs.sparkSession), levels(length)
     new = [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     marked = R.named(docs, text, [f.name for f in new])
+    last_gram = len(sizes) - 2
+
+    def keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of each level with the level, full windows with the one of the last level that they hold."""
+        values, at = hashed(raw, WordHashes())
+        starts, places, grams = climbed(values, at, sizes)
+        short = [g[np.unique(p)] for g, p in zip(grams, places)]
+        levels_of = [np.full(len(x), k, np.uint64) for k, x in enumerate(short)]
+        full_keys = R.rolled(values, length)[starts] if len(starts) else np.zeros(0, np.uint64)
+        return np.concatenate((*short, full_keys)), np.concatenate((*levels_of, grams[-1][places[-1]]))
+
+    known = R.common(marked, keys, SAMPLED)
 
     def hashes(batches: R.Pieces):
         kept = WordHashes()
@@ -117,26 +132,31 @@ def removed_words(docs: DataFrame, text: str = "text", length: int = 35) -> Data
                     place = place[survivors(batch, use, at, len(values))[places[k - 1]]]
                 place = np.unique(place)
                 key = grams[k][place]
-                twice, send = R.again(key), R.first_of_each(key)
+                sure = known.holds(key, k)
+                twice, send = R.again(key) | sure, R.first_of_each(key) & ~sure
                 yield R.sent(of, names, at, (place[send], place[send]), key[send], None, R.stretches(place[twice], R.text_of(at, place[twice])))
 
         return run
 
     def full(batches: R.Pieces) -> R.Pieces:
-        """Sends the full windows that hold a survivor, as runs that climbed by the same one."""
+        """Sends the full windows that hold a survivor: as runs that climbed by the same one, each for itself where that one is hot."""
         for batch, names, use, values, at in hashes(batches):
             starts, places, grams = climbed(values, at, sizes)
             own = survivors(batch, use, at, len(values))[places[-1]]
             starts, anchor = starts[own], places[-1][own]
-            key = R.rolled(values, length)[starts]
-            twice = R.again(key)
-            first, last = R.stretches(starts, anchor)
+            key, gram = R.rolled(values, length)[starts], grams[-1][anchor]
+            sure, hot = known.holds(key, gram), known.holds(gram, last_gram)
+            twice, wanted = R.again(key) | sure, R.first_of_each(key) & ~sure
             # A run is sent if it holds the first of any equal windows; the others are settled here.
-            begun = np.searchsorted(starts, first)
-            send = np.add.reduceat(R.first_of_each(key), begun) > 0 if len(begun) else np.zeros(0, bool)
-            keys = [key[a:b].tobytes() for a, b in zip(begun, np.append(begun[1:], len(starts)))]
-            runs, met = (first[send], last[send]), grams[-1][anchor[begun[send]]]
-            yield R.sent(of, names, at, runs, met, [x for x, s in zip(keys, send) if s], R.stretches(starts[twice]))
+            cold, alone = np.flatnonzero(~hot), np.flatnonzero(hot & wanted)
+            first, last = R.stretches(starts[cold], anchor[cold])
+            begun = np.searchsorted(starts[cold], first)
+            send = np.add.reduceat(wanted[cold], begun, dtype=np.int64) > 0 if len(begun) else np.zeros(0, bool)
+            loads = [key[cold[a:b]].tobytes() for a, b, s in zip(begun, np.append(begun[1:], len(cold)), send) if s]
+            loads += [x.tobytes() for x in key[alone]]
+            met = np.concatenate((gram[cold[begun[send]]], R.mixed(gram[alone] ^ R.mixed(key[alone]))))
+            runs = (np.concatenate((first[send], starts[alone])), np.concatenate((last[send], starts[alone])))
+            yield R.sent(of, names, at, runs, met, loads, R.stretches(starts[twice]))
 
     def repeated(run: np.ndarray, anchor: np.ndarray, loads: list[bytes]) -> np.ndarray:
         return run[R.again(anchor)]
@@ -151,8 +171,8 @@ def removed_words(docs: DataFrame, text: str = "text", length: int = 35) -> Data
     found = R.met(marked.select("k1", "k2", "_text").mapInArrow(given_back(level(0)), R.SENT), repeated)
     # All joins take the same columns, so that the texts are dealt out once for all of them.
     for k in range(1, len(sizes) - 1):
-        found = R.met(marked.join(found, ["k1", "k2"]).mapInArrow(given_back(level(k)), R.SENT), repeated)
-    ranges = R.met(marked.join(found, ["k1", "k2"]).mapInArrow(given_back(full), R.SENT), full_repeated)
+        found = R.met(R.beside(marked, found).mapInArrow(given_back(level(k)), R.SENT), repeated)
+    ranges = R.met(R.beside(marked, found).mapInArrow(given_back(full), R.SENT), full_repeated)
     schema = T.StructType([marked.schema["_row"], T.StructField("_text", T.StringType()), *new])
 
     def take(batches: R.Pieces) -> R.Pieces:
