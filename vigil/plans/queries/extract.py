@@ -25,12 +25,12 @@ def _(fx):
 
 @query("x2_bulletin_meta", r"""
 WITH t AS (SELECT doc_id, doc_id % 4 AS k, lpad(CAST(n_chars % 900 AS VARCHAR), 3, '0') AS a, lpad(CAST((n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) % 900 AS VARCHAR), 3, '0') AS b,
-  lpad(NULLIF(regexp_extract(regexp_replace(text, '\s+', '', 'g'), '(?i)sitrepn[°o]?0*(\d{1,3})', 1), ''), 3, '0') AS own FROM documents)
+  lpad(NULLIF(regexp_extract(regexp_replace(text, '\s+', '', 'g'), '(?i)sitrep(?:mve)?n\D?0*(\d{1,3})', 1), ''), 3, '0') AS own FROM documents)
 SELECT doc_id, CASE WHEN k <> 0 THEN a WHEN doc_id % 8 = 0 THEN b ELSE own END AS sitrep, CASE WHEN k <> 0 THEN CASE WHEN k = 2 THEN CASE WHEN a <> b THEN b END WHEN own <> a THEN own END END AS source_number_mismatch,
  CASE WHEN k = 0 AND doc_id % 8 <> 0 AND own IS NULL THEN 'no number' END AS error FROM t""")
 def _(fx):
     k, n = F.col("doc_id"), F.col("n_chars")
-    printed = F.concat(F.lit("Sit Rep  N° "), ((n + F.when(k % 5 == 0, 1).otherwise(0)) % 900).cast("string"), F.lit(" \n"), "text")
+    printed = F.concat(F.when(k % 3 == 0, "SitRep MVE N° ").otherwise("Sit Rep  N° "), ((n + F.when(k % 5 == 0, 1).otherwise(0)) % 900).cast("string"), F.lit(" \n"), "text")
     docs = fx.table("documents").select("doc_id", F.when((k % 4 == 2) | (k % 8 == 0), printed).otherwise(F.col("text")).alias("text"), F.when(k % 4 != 0, F.lpad((n % 900).cast("string"), 3, "0")).alias("file_id"))
     return X.bulletin_meta(docs).select("doc_id", "sitrep", "source_number_mismatch", "error")
 
