@@ -293,3 +293,11 @@ def test_stale_artifacts_as_not_in(spark):
     prev = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "path string")
     stale = lambda *paths: sorted((r[0] for r in V.stale_artifacts(prev, spark.createDataFrame([(p,) for p in paths], "path string")).collect()), key=str)
     assert stale("b", "c") == ["a", "a"] and stale("b", None) == [] and stale() == [None, "a", "a", "b"]
+
+
+def test_split_by_rate_keeps_thousands_whole(spark):
+    cut = lambda words, rate: tuple(one(spark, X.split_by_rate(F.split(F.lit(words), " "), F.lit(rate))))
+    assert cut("21 000 0", 0.0) == (21000, 0) and cut("1 400 000 0", 0.0) == (1400000, 0) and cut("21 000 000 7 000", 0.0) == (21000000, 7000)
+    assert cut("3240 000 0", 0.0) == (3240000, 0) and cut("42 57 18 78", 44.1) == (4257, 1878)
+    lines = lines_of(spark, "Ituri 21 000 0 0,0% 1 204 30 2 9", "Total 21 000 0 0,0% 1 204 30 2 9")
+    assert [r["cases"] for r in X.province_subtotals(lines, ["doc"]).collect()] == [21000] and X.detail_total(lines, ["doc"]).first()["cases"] == 21000
