@@ -301,3 +301,9 @@ def test_split_by_rate_keeps_thousands_whole(spark):
     assert cut("3240 000 0", 0.0) == (3240000, 0) and cut("42 57 18 78", 44.1) == (4257, 1878)
     lines = lines_of(spark, "Ituri 21 000 0 0,0% 1 204 30 2 9", "Total 21 000 0 0,0% 1 204 30 2 9")
     assert [r["cases"] for r in X.province_subtotals(lines, ["doc"]).collect()] == [21000] and X.detail_total(lines, ["doc"]).first()["cases"] == 21000
+
+
+def test_text_rows_only_where_a_document_has_no_cell_rows(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "doc string, name string")
+    out, rejects = X.province_summary(rows(("a", "x"), ("a", "y")), rows(("a", "z"), ("b", "w")), rows(("a", ""), ("b", ""), ("c", "")).select("doc"), ["doc"])
+    assert sorted(map(tuple, out.collect())) == [("a", "x", "cells"), ("a", "y", "cells"), ("b", "w", "text")] and [r[0] for r in rejects.collect()] == ["c"]
