@@ -7,7 +7,9 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
+from compare import rows
 from pyspark.sql import functions as F
 
 from vigil.functions import text as T
@@ -18,6 +20,7 @@ from vigil.operators import match as M
 from vigil.operators import quality as Q
 from vigil.operators import series as S
 from vigil.operators import views as V
+from vigil.plans.queries import ORACLES, QUERIES
 from vigil.sources import catalog as C
 from vigil.sources import parts as P
 from vigil.streaming import ingest as I
@@ -307,3 +310,20 @@ def test_text_rows_only_where_a_document_has_no_cell_rows(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "doc string, name string")
     out, rejects = X.province_summary(rows(("a", "x"), ("a", "y")), rows(("a", "z"), ("b", "w")), rows(("a", ""), ("b", ""), ("c", "")).select("doc"), ["doc"])
     assert sorted(map(tuple, out.collect())) == [("a", "x", "cells"), ("a", "y", "cells"), ("b", "w", "text")] and [r[0] for r in rejects.collect()] == ["c"]
+
+
+def against_sql(spark, folder, name, **tables):
+    """A query's rows over these tables, and those of its SQL."""
+    db = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, str(folder)), db.sql(ORACLES[name])
+    return rows(got.columns, [tuple(r) for r in got.collect()]), rows(want.columns, want.fetchall())
+
+
+def test_printed_number_before_a_text_of_digits(spark, tmp_path):
+    texts = ["5 mai", "12", None, "", "SitRep N° 0 7", "7 sitrep\nn 12 a", "x"]
+    docs = spark.createDataFrame([(n, texts[n % 7], 40 + n) for n in range(56)], "doc_id bigint, text string, n_chars bigint")
+    got, want = against_sql(spark, tmp_path, "x2_bulletin_meta", documents=docs)
+    assert got == want and len(got[1]) == 56
