@@ -327,3 +327,11 @@ def test_printed_number_before_a_text_of_digits(spark, tmp_path):
     docs = spark.createDataFrame([(n, texts[n % 7], 40 + n) for n in range(56)], "doc_id bigint, text string, n_chars bigint")
     got, want = against_sql(spark, tmp_path, "x2_bulletin_meta", documents=docs)
     assert got == want and len(got[1]) == 56
+
+
+def test_known_values_of_a_million(spark, tmp_path):
+    day = F.date_add(F.lit("2026-05-30").cast("date"), (F.col("id") % 2).cast("int"))
+    orders = spark.range(2_100_000).select(F.col("id").alias("o_orderkey"), F.lit(1).alias("o_custkey"), day.alias("o_orderdate"), F.lit("F").alias("o_orderstatus"))
+    made = {"customer": "1 AS c_custkey, 1 AS c_nationkey", "nation": "1 AS n_nationkey, 'N' AS n_name, 1 AS n_regionkey", "region": "1 AS r_regionkey, 'ASIA' AS r_name"}
+    got, want = against_sql(spark, tmp_path, "x9_split_to_known", orders=orders, **{t: spark.sql(f"SELECT {c}") for t, c in made.items()})
+    assert got == want and len(got[1]) == 2
