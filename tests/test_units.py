@@ -335,3 +335,13 @@ def test_known_values_of_a_million(spark, tmp_path):
     made = {"customer": "1 AS c_custkey, 1 AS c_nationkey", "nation": "1 AS n_nationkey, 'N' AS n_name, 1 AS n_regionkey", "region": "1 AS r_regionkey, 'ASIA' AS r_name"}
     got, want = against_sql(spark, tmp_path, "x9_split_to_known", orders=orders, **{t: spark.sql(f"SELECT {c}") for t, c in made.items()})
     assert got == want and len(got[1]) == 2
+
+
+def test_words_end_at_ascii_letters(spark, tmp_path):
+    texts = ["mod\u00e8les", "les", "bless", "une 5 %", None, "", "\u00ebthe the the the the", "der der \u00fcder", "les\u00e9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for name in ("x35_coverage_scan", "x36_classify_format"):
+        got, want = against_sql(spark, tmp_path / name, name, documents=docs)
+        assert got == want and got[1]
+    assert [(r["found"], r["missing"]) for r in X.coverage_scan(docs.limit(0), {"m": "x"}).collect()] == [(0, 0)]
+    assert T.ascii_edges(r"\\b\d\b") == r"\\b\d" + T.EDGE

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
@@ -33,6 +34,15 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# Fixed value: a place between a word character and none.
+EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    r"""The pattern with its \b between ASCII words, as in RE2 and in Java from 19 on; older Java knows more letters."""
+    return re.sub(r"\\(.)", lambda m: EDGE if m[1] == "b" else m[0], pattern, flags=re.DOTALL)
+
+
 def norm_int(c: Column) -> Column:
     """The digits as a number; null for none, NA and ND."""
     digits = F.regexp_replace(c, r"[^0-9]", "")
