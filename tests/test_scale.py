@@ -256,3 +256,14 @@ def test_printed_numbers(spark, text, number):
     df = spark.createDataFrame([(text, None), (text, "059")], "text string, file_id string")
     one, other = X.bulletin_meta(df).orderBy(F.col("file_id").asc_nulls_first()).collect()
     assert one["sitrep"] == number and other["sitrep"] == "059" and other["source_number_mismatch"] == number
+
+
+def test_pairs_of_one_key_are_dealt_to_many_tasks(spark):
+    """Before, all pairs of all keys were made in the one task that read the points."""
+    points = spark.range(600).select(F.when(F.col("id") < 500, 1).when(F.col("id") < 590, 2).alias("zone"), F.col("id").alias("p"), (F.col("id") * 0.5).alias("lon")).coalesce(1)
+    pairs = G.pairs_within(points, "zone", "p", 64).withColumn("task", F.spark_partition_id())
+    want = points.alias("a").join(points.alias("b"), F.expr("a.zone = b.zone AND a.p < b.p")).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+    assert rows(pairs, "a", "b") == rows(want, "a", "b")
+    most = pairs.groupBy("task").count().agg(F.max("count")).first()[0]
+    assert most < pairs.count() / 6
+    assert G.pairs_within(points.limit(0), "zone", "p").count() == 0

@@ -112,6 +112,22 @@ def audit_coordinates(current: DataFrame, candidates: DataFrame, key: str, box:
     return df.select(f"c.{key}", F.round(km, 6).alias("km"), (km > max_km).alias("moved"), in_box(F.col("n.lat"), F.col("n.lon"), box).alias("in_country"), (F.col("c.province") == F.col("n.province")).alias("same_province"))
 
 
+def pairs_within(points: DataFrame, key: str, order: str, block: int = 1024) -> DataFrame:
+    """(a, b): every pair of points of one key as structs, a before b; `order` tells a key's points apart.
+
+    As many pairs as there are: a key's points are dealt by hash to blocks of about so many, each pair of blocks is a key of
+    its own, and there is a task for each of these (65,536 at most), so a task holds blocks, whatever one key has.
+    """
+    sizes = points.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    tasks = min(sizes.agg(F.sum(F.col("_n").cast("bigint") * F.col("_n"))).first()[0] or 1, 65_536)
+    own = points.join(sizes, F.col(key) == F.col("_key")).withColumn("_i", F.pmod(F.xxhash64(order), F.col("_n")).cast("int"))
+    others, point = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)), F.struct(*points.columns)
+    a = own.select("_key", F.col("_i").alias("_a"), others.alias("_b"), point.alias("a")).repartition(tasks, "_key", "_a", "_b")
+    b = own.select("_key", others.alias("_a"), F.col("_i").alias("_b"), point.alias("b")).repartition(tasks, "_key", "_a", "_b")
+    before = F.col(f"a.{order}") < F.col(f"b.{order}")
+    return a.join(b.hint("merge"), ["_key", "_a", "_b"]).where(before).select("a", "b")
+
+
 def unmatched_zones(ours: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
     return ours.join(polygons.select(key).distinct(), key, "left_anti")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions import text as T
+from vigil.operators import geo as G
 from vigil.plans.registry import query
 
 
@@ -123,9 +124,8 @@ SELECT a.point_id AS a, b.point_id AS b, ROUND(2 * 6371.0E0 * atan2(sqrt(h), sqr
  SELECT *, 0 AS z FROM fx_points) a JOIN fx_points b ON a.zone_id = b.zone_id AND a.point_id < b.point_id,
  LATERAL (SELECT pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h) x""")
 def _(fx):
-    a, b = fx.points.alias("a"), fx.points.alias("b")
     km = T.haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    pairs = a.join(b, (F.col("a.zone_id") == F.col("b.zone_id")) & (F.col("a.point_id") < F.col("b.point_id")))
+    pairs = G.pairs_within(fx.points, "zone_id", "point_id")
     return pairs.select(F.col("a.point_id").alias("a"), F.col("b.point_id").alias("b"), F.round(km, 6).alias("km"))
 
 
