@@ -119,8 +119,9 @@ def pairs_within(points: DataFrame, key: str, order: str, block: int = 1024) ->
     its own, and there is a task for each of these (65,536 at most), so a task holds blocks, whatever one key has.
     """
     sizes = points.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    tasks = min(sizes.agg(F.sum(F.col("_n").cast("bigint") * F.col("_n"))).first()[0] or 1, 65_536)
-    own = points.join(sizes, F.col(key) == F.col("_key")).withColumn("_i", F.pmod(F.xxhash64(order), F.col("_n")).cast("int"))
+    n = F.col("_n").cast("bigint")
+    blocks, tasks = (min(c or 1, 65_536) for c in sizes.agg(F.sum(n), F.sum(n * n)).first())
+    own = points.join(sizes, F.col(key) == F.col("_key")).withColumn("_i", F.pmod(F.xxhash64(order), F.col("_n")).cast("int")).repartition(blocks, "_key", "_i")
     others, point = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)), F.struct(*points.columns)
     a = own.select("_key", F.col("_i").alias("_a"), others.alias("_b"), point.alias("a")).repartition(tasks, "_key", "_a", "_b")
     b = own.select("_key", others.alias("_a"), F.col("_i").alias("_b"), point.alias("b")).repartition(tasks, "_key", "_a", "_b")
